@@ -1,4 +1,4 @@
 """Registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import filters, joins, learning, sources, streams, vectors  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
