@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
 #: A word: a run of anything but ASCII space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,20 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, as Spark sends any dependency; once a Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_rankfold_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    fd, name = tempfile.mkstemp(prefix="rankfold-", suffix=".zip")
-    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(name)
-    sc._rankfold_shipped = True
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null; native."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -112,7 +112,7 @@ def fit(slim: DataFrame, mix: Mix) -> DataFrame:
 
 
 def with_copies(prepared: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
-    """Adds source_size, target and copies to rows that _prepared() made; narrow but for a join with the per-source plan."""
+    """Adds the plan's columns and the number of copies to rows that _prepared() made; narrow but for a join with the per-source plan."""
     df = _ranked(prepared.join(plan, "__key", "left"), mix)
     taken = (F.col("__bucket") < F.col("__cut")) | ((F.col("__bucket") == F.col("__cut")) & (F.col("__z") <= F.col("__last")))
     return df.withColumn("__copies", (F.col("__sure") + F.coalesce(taken, F.lit(False)).cast("int")).cast("int"))
@@ -131,5 +131,6 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
     names = docs.columns
     ready = _prepared(docs, id_col, text_col, source_col, mix)
     slim = written(ready.select("__key", "__size", "__h"), "mix-docs")
-    taken = with_copies(ready, fit(slim, mix), mix).filter(F.col("__copies") > 0)
+    plan = fit(slim, mix).select("__key", "__rate", "__cut", "__last")
+    taken = with_copies(ready, plan, mix).filter(F.col("__copies") > 0)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)

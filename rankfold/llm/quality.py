@@ -132,14 +132,14 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int, cuts: int) ->
     return rule
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, support: int = 5, longest: int = 4, most: int = 16, cuts: int = 33) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, support: int = 3, longest: int = 4, most: int = 16, cuts: int = 33) -> list[Rule]:
     """Ordered rules for bad rows. Every third row is held back to prune and to accept rules."""
     held = np.arange(len(bad)) % 3 == 2
     left = np.ones(len(bad), bool)
     rules: list[Rule] = []
     while len(rules) < most:
         g, h = left & ~held, left & held
-        if bad[g].sum() < 2 * support:
+        if bad[g].sum() < support:
             break
         rule = _grow({k: v[g] for k, v in x.items()}, bad[g], longest, cuts)
         xh, bh = {k: v[h] for k, v in x.items()}, bad[h]
