@@ -11,11 +11,11 @@ from ..sources import files as S
 from ..sources import views as V
 from .registry import query
 
-EPOCH = "CAST(floor(epoch({0})) AS BIGINT)"
+EPOCH = "CAST(floor(epoch({0})) AS DOUBLE)"
 
 
 def _seconds(c: str):
-    return F.unix_timestamp(c)
+    return F.unix_timestamp(c).cast("double")
 
 
 @query("SELECT f.idx, coalesce(user_rating, model_rating) AS score FROM files f LEFT JOIN library ON file_path = path")

@@ -80,22 +80,23 @@ def _tables(spark, sf_dir):
 
 
 @query(f"""
-SELECT 0 AS section, NULL::BIGINT AS key, 'library.idx,library.hash,library.file_path,library.user_rating,library.user_rating_date' AS line
+SELECT 0 AS section, -1::BIGINT AS key, 'library.idx,library.hash,library.file_path,library.user_rating,library.user_rating_date' AS line
 UNION ALL SELECT 0, idx, idx || ',' || hash || ',' || file_path || ',' || coalesce(CAST(user_rating AS VARCHAR), '') || ',' || coalesce(strftime(user_rating_date, '%Y-%m-%d %H:%M:%S'), '') FROM library
-UNION ALL SELECT 1, NULL, 'notes.item_id,notes.note' UNION ALL SELECT 1, item_id, item_id || ',' || {_CELL.format("text")} FROM benchmark
+UNION ALL SELECT 1, -1, 'notes.item_id,notes.note' UNION ALL SELECT 1, item_id, item_id || ',' || {_CELL.format("text")} FROM benchmark
 """)
 def export_sectioned_csv(spark, sf_dir):
-    return export_csv(_tables(spark, sf_dir), frozenset({"blob"}), {"library": "idx", "notes": "item_id"})
+    lines = export_csv(_tables(spark, sf_dir), frozenset({"blob"}), {"library": "idx", "notes": "item_id"})
+    return lines.withColumn("key", F.coalesce("key", F.lit(-1).cast("long")))
 
 
-@query("""SELECT idx, hash, file_path, user_rating, CAST(epoch(user_rating_date) AS BIGINT) AS rated_at FROM library""")
+@query("""SELECT idx, hash, file_path, user_rating, CAST(epoch(user_rating_date) AS DOUBLE) AS rated_at FROM library""")
 def import_sectioned_csv(spark, sf_dir):
     tables = {"library": _tables(spark, sf_dir)["library"], "unknown": V.tags(spark, sf_dir).select("tag_no", "tag")}
     lines = export_csv(tables, order={"library": "idx", "unknown": "tag_no"})
     # Line numbers that keep the sections apart, headers first.
     lines = lines.select((F.col("section").cast("long") * (1 << 40) + F.coalesce(F.col("key") + 1, F.lit(0))).alias("line_no"), "line")
     got = read_sections(lines, {"library": {"idx": "long", "hash": "string", "file_path": "string", "user_rating": "double", "user_rating_date": "timestamp"}})["library"]
-    return got.select("idx", "hash", "file_path", "user_rating", F.unix_timestamp("user_rating_date").alias("rated_at"))
+    return got.select("idx", "hash", "file_path", "user_rating", F.unix_timestamp("user_rating_date").cast("double").alias("rated_at"))
 
 
 @query("""

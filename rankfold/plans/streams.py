@@ -16,10 +16,10 @@ def _events(spark, sf_dir):
     return s.select(F.col("user_id").alias("item"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.least(F.col("value") / 49.1, F.lit(10.0)).alias("rating"))
 
 
-@query("SELECT user_id AS item, count(*) FILTER (event_type = 'purchase') AS full_play_count, count(*) FILTER (event_type = 'error') AS skip_count, CAST(floor(epoch(max(ts) FILTER (event_type = 'view'))) AS BIGINT) AS last_played FROM events GROUP BY user_id")
+@query("SELECT user_id AS item, count(*) FILTER (event_type = 'purchase') AS full_play_count, count(*) FILTER (event_type = 'error') AS skip_count, CAST(floor(epoch(max(ts) FILTER (event_type = 'view'))) AS DOUBLE) AS last_played FROM events GROUP BY user_id")
 def play_event_counters(spark, sf_dir):
     state = E.drained(E.play_counters(E.without_repeats(_events(spark, sf_dir))))
-    return state.select("item", "full_play_count", "skip_count", F.unix_timestamp("last_played").alias("last_played"))
+    return state.select("item", "full_play_count", "skip_count", F.unix_timestamp("last_played").cast("double").alias("last_played"))
 
 
 @query("SELECT item, round(rating, 6) AS rating, CAST(floor(epoch(ts)) AS BIGINT) AS rated_at FROM item_events WHERE kind = 'click' QUALIFY row_number() OVER (PARTITION BY item ORDER BY ts DESC, event_id DESC) = 1")
