@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,11 @@ def scan_files(spark: SparkSession, roots: list[str], extensions: set[str] | Non
     """(path, size, mtime, ext) of all files under the roots; a root that can't be reached is empty. Contents aren't read."""
     out = spark.createDataFrame([], "path string, size long, mtime timestamp, ext string")
     for root in roots:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
         try:
-            there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        except Exception:
-            there = False
-        if there:
             found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-            out = out.unionByName(found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), extension(F.col("path")).alias("ext")))
+        except (AnalysisException, Py4JJavaError):  # not there, or not reachable
+            continue
+        out = out.unionByName(found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), extension(F.col("path")).alias("ext")))
     return out.filter(F.col("ext").isin(sorted(extensions))) if extensions else out
 
 
