@@ -16,6 +16,7 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -148,10 +149,25 @@ class Model:
         return self.margin(x) >= F.lit(self.threshold)
 
 
-def _tree(node) -> tuple:
-    if node.subtreeDepth() == 0:
-        return (node.prediction(),)
-    return (node.split().featureIndex(), node.split().threshold(), _tree(node.leftChild()), _tree(node.rightChild()))
+def _parsed(description: str) -> tuple[list[tuple], list[float]]:
+    """Trees and weights from a model's printed form: nested (feature, threshold, left, right), or (value,)."""
+    lines = iter(x.strip() for x in description.splitlines())
+
+    def node() -> tuple:
+        line = next(lines)
+        if line.startswith("Predict:"):
+            return (float(line.split(":")[1]),)
+        feature, threshold = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+        left = node()
+        next(lines)  # Else
+        return int(feature), float(threshold), left, node()
+
+    trees, weights = [], []
+    for line in lines:
+        if m := re.match(r"Tree \d+ \(weight (\S+)\):", line):
+            weights.append(float(m[1]))
+            trees.append(node())
+    return trees, weights
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -175,9 +191,8 @@ def fit(docs: DataFrame) -> Model | None:
     good = held["margin"][(right >= PRECISION) & (held["margin"] != held["margin"].shift(-1))]
     if not len(good):
         return None
-    # rawPrediction is half of the margin of the log loss' odds: the weighted sum of trees itself.
-    trees = [_tree(t._java_obj.rootNode()) for t in model.trees]
-    return Model(trees, [float(w) for w in model.treeWeights], max(0.0, float(good.min())) - 1e-9)
+    # The margin is the weighted sum of the trees.
+    return Model(*_parsed(model.toDebugString), max(0.0, float(good.min())) - 1e-9)
 
 
 def with_spans(docs: DataFrame, model: Model | None) -> DataFrame:

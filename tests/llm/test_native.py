@@ -133,6 +133,23 @@ def test_model_adds_spans_and_keeps_base(spark, sf):
     assert all(got[i] == "" for i in clean)
 
 
+def test_column_expression_equals_the_model(spark):
+    """The printed trees as a column give the margins of the fitted model."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spark.range(600).select(*[(F.rand(k) * 9).alias(f) for k, f in enumerate(pii.FEATURES)])
+    rows = rows.withColumn("label", ((F.col("n_digits") > 4) & (F.col("dots") + F.rand(99) < 6)).cast("double")).cache()
+    data = VectorAssembler(inputCols=list(pii.FEATURES), outputCol="features").transform(rows)
+    fitted = GBTClassifier(maxIter=4, maxDepth=3, seed=1, labelCol="label").fit(data)
+    model = pii.Model(*pii._parsed(fitted.toDebugString), 0.0)
+    margin = model.margin(F.struct(*pii.FEATURES))
+    got = fitted.transform(data).select(vector_to_array("rawPrediction")[1].alias("raw"), margin.alias("own")).toPandas()
+    ratio = (got["raw"] / got["own"]).round(9).unique()
+    assert ratio.tolist() == [1.0]
+
+
 def test_redacted(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.co or 1.2.3.4!"), (2, None), (3, "4111 1111 1111 1111")], "doc_id long, text string")
     assert [r.text for r in pii.redacted(docs).orderBy("doc_id").collect()] == ["é mail [email] or [ip]!", "", "[card]"]
