@@ -17,6 +17,8 @@ carried along or ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-Q, PROBE, EDITS, STEP = 8, 96, 0.1, 16
+Q, PROBE, EDITS, STEP, NEAR = 8, 96, 0.1, 16, 32
 #: Bytes of benchmark text in one block, and of document text in one numpy pass.
 BLOCK, CHUNK = 2 << 20, 4 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -90,6 +92,7 @@ class Index:
         n = np.array([min(len(x), PROBE) for x in self.items] or [0])
         self.need = np.maximum(1, n - Q + 1 - Q * (n * EDITS).astype(int))
         self.reach = n + (n * EDITS).astype(int)
+        self.probe_grams: dict[tuple[int, int], list[bytes]] = {}
         #: A probe at least every half probe, the last one at the item's end.
         self.probes = [sorted({*range(0, max(1, len(x) - PROBE + 1), PROBE // 2), max(0, len(x) - PROBE)}) for x in self.items]
 
@@ -98,7 +101,15 @@ class Index:
         v = _grams(buf)
         if not len(self.grams) or not len(v):
             return []
-        pos = np.flatnonzero(self.there[_slot(v)])
+        hit = self.there[_slot(v)]
+        # A region needs so many hits within so many bytes, whatever the item: other hits can be forgotten.
+        reach, need = int(self.reach.max()) + 1, int(self.need.min())
+        total = np.concatenate(([0], np.cumsum(hit)))
+        ahead = total[np.minimum(np.arange(len(hit)) + reach, len(hit))] - total[:-1] >= need
+        edge = np.zeros(len(hit) + 1, np.int32)
+        edge[:-1] += ahead
+        edge[reach:] -= ahead[: max(0, len(hit) + 1 - reach)]
+        pos = np.flatnonzero(hit & (np.cumsum(edge)[:-1] > 0))
         at = np.minimum(np.searchsorted(self.grams, v[pos]), len(self.grams) - 1)
         same = self.grams[at] == v[pos]
         pos, at = pos[same], at[same]
@@ -108,15 +119,25 @@ class Index:
         longest = max(map(len, self.items))
         band = (pos - off + longest) // STEP + 1
         bands = (len(buf) + longest) // STEP + 3
-        key = np.concatenate([item * bands + band, item * bands + band - 1])
-        pos = np.concatenate([pos, pos])
-        both = np.unique(key.astype(np.int64) << 24 | pos)
+        key = item * bands + band
+        both = np.sort(np.concatenate([key, key - 1]).astype(np.int64) << 24 | np.concatenate([pos, pos]))
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
         key, pos = both >> 24, both & ((1 << 24) - 1)
         last = np.arange(len(key)) + self.need[key // bands] - 1
         ok = last < len(key)
         ok[ok] = (key[last[ok]] == key[ok]) & (pos[last[ok]] - pos[ok] <= self.reach[key[ok] // bands])
-        key, pos = key[ok], pos[ok]
-        return [(int(a // bands), int((a % bands - 1) * STEP - longest), int(p)) for a, p in zip(key, pos, strict=True)]
+        # One place for every NEAR bytes of a band.
+        key, pos = key[ok], pos[ok] // NEAR
+        both = np.unique(key << 24 | pos)
+        return [(int(a // bands), int((a % bands - 1) * STEP - longest), int(p) * NEAR) for a, p in zip(both >> 24, both & ((1 << 24) - 1), strict=True)]
+
+    def enough(self, item: int, o: int, text: bytes) -> bool:
+        """The lemma for one probe: so many of its q-grams are in the text."""
+        if (item, o) not in self.probe_grams:
+            probe = self.items[item][o : o + PROBE]
+            self.probe_grams[item, o] = [probe[k : k + Q] for k in range(len(probe) - Q + 1)]
+        there = {text[k : k + Q] for k in range(len(text) - Q + 1)}
+        return sum(g in there for g in self.probe_grams[item, o]) >= self.need[item]
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of all verified regions, in bytes; those of one item that touch are joined."""
@@ -136,26 +157,30 @@ class Index:
                 out += sorted(pieces)
         return out
 
+    def _verify(self, x: bytes, item: int, of: int, diagonal: int, p: int, buf: bytes, lo: int, hi: int, tried: set, found: dict) -> None:
+        """Aligns the probes that may have hits at p, each once in a text and band."""
+        for o in self.probes[item]:
+            probe = x[o : o + PROBE]
+            most = budget(len(probe))
+            a, b = max(lo, diagonal + o - most), min(hi, diagonal + o + 2 * STEP + len(probe) + most)
+            if p + NEAR <= a or p > b or b - a < len(probe) - most or (of, item, diagonal, o) in tried:
+                continue
+            tried.add((of, item, diagonal, o))
+            text = buf[a:b]
+            hit = align(probe, text, most) if self.enough(item, o, text) else None
+            if hit:
+                found.setdefault((of, item), []).append((a + hit[1] - lo, a + hit[2] - lo, hit[0]))
+
     def _find(self, texts: list[bytes], first: int) -> list[tuple[int, int, int, int, int]]:
         gap = b"\xff" * Q
-        starts = np.cumsum([0, *[len(t) + Q for t in texts]])
+        starts = np.cumsum([0, *[len(t) + Q for t in texts]]).tolist()[:-1]
         buf = fold(gap.join(texts) + gap)
-        tried: dict[tuple[int, int, int, int], tuple[int, int, int] | None] = {}
+        tried: set[tuple[int, int, int, int]] = set()
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for item, diagonal, p in self.regions(buf):
-            of = int(np.searchsorted(starts, p, "right")) - 1
-            lo, hi = int(starts[of]), int(starts[of]) + len(texts[of])
             x = self.items[item]
-            for o in self.probes[item]:
-                probe = x[o : o + PROBE]
-                most = budget(len(probe))
-                a, b = max(lo, diagonal + o - most), min(hi, diagonal + o + 2 * STEP + len(probe) + most)
-                if not (a <= p <= b) or b - a < len(probe) - most:
-                    continue
-                if (of, item, diagonal, o) not in tried:
-                    hit = tried[of, item, diagonal, o] = align(probe, buf[a:b], most)
-                    if hit:
-                        found.setdefault((of, item), []).append((a + hit[1] - lo, a + hit[2] - lo, hit[0]))
+            for of in {bisect_right(starts, p) - 1, bisect_right(starts, p + NEAR - 1) - 1}:
+                self._verify(x, item, of, diagonal, p, buf, starts[of], starts[of] + len(texts[of]), tried, found)
         out = []
         for (of, item), spans in sorted(found.items()):
             spans.sort()
