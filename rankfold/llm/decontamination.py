@@ -17,6 +17,7 @@ carried along or ignored.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
 
 import numpy as np
@@ -196,6 +197,8 @@ class Index:
 
 
 _indexes: dict[int, Index] = {}
+#: Numbers of the blocks that this driver has sent.
+_numbers = itertools.count()
 
 
 def _index(block) -> Index:
@@ -225,7 +228,7 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     for k in range(n):
         rows = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
         shared = sc.broadcast([(r.i, r.t.encode()) for r in sorted(rows, key=lambda r: (r.i is None, r.i, r.t))])
-        yield _Block(shared, shared._jbroadcast.id())
+        yield _Block(shared, next(_numbers))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
