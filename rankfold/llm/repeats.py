@@ -156,11 +156,20 @@ class RunLengthIndex:
         return [m[a : a + n] for a, n in zip(self.first, self.windows, strict=True)]
 
 
+def _parts(batches, column: str, most: int = 2 << 20):
+    """The batches cut so that a column holds about `most` bytes in each, whatever the rows' lengths."""
+    for batch in batches:
+        sizes = np.cumsum([len(x) for x in batch.column(column).cast(pa.large_binary()).fill_null(b"").to_pylist()]) // most
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _anchored(docs: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
     """One row per text and distinct context: (id, th, a, c, n)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches, "t"):
             texts = [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
             seen: dict[tuple, int] = {}
             for t, _, _, a, c in contexts(texts, width, gram):
@@ -296,7 +305,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = mixed.groupBy(F.col("by.id").alias("wid"), F.col("by.th").alias("wth")).agg(F.collect_set("c").alias("cs"))  # at most a text's contexts
 
     def hand_in(batches):
-        for batch in batches:
+        for batch in _parts(batches, "z", 1 << 20):
             texts = _unpacked(batch.column("z"))
             cs = [set(x) for x in batch.column("cs").to_pylist()]
             rows, done = [], set()
@@ -317,7 +326,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_doc = again.select("id", "th", "a", "c").distinct().join(marks, ["a", "c"]).groupBy(F.col("id").alias("mid"), F.col("th").alias("mth")).agg(F.collect_list(F.struct("a", "c", "mask")).alias("marks"))
 
     def clean(batches):
-        for batch in batches:
+        for batch in _parts(batches, "z", 1 << 20):
             texts = _unpacked(batch.column("z"))
             marks = [{(x["a"], x["c"]): x["mask"] for x in (m or ())} for m in batch.column("marks").to_pylist()]
             busy = [k for k, m in enumerate(marks) if m]
