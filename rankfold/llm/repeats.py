@@ -14,7 +14,7 @@ A byte goes if a window of WIDTH bytes that covers it also starts anywhere else.
    place before. Windows whose statistic reaches WIDTH are repeated.
 4. Marks go back to all texts that have the context, which cut out what the marked windows cover.
 
-An anchor with more than HOT contexts (a passage that very many texts share, each in other surroundings) is not
+An anchor with more than HOT windows in different contexts (a passage that very many texts share, each in other surroundings) is not
 indexed in one task: its windows are counted by their hashes, which is exact too and splits at will.
 Hashes of anchor and context together have 128 bits.
 
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import ship, written
 
 WIDTH, GRAM = 200, 32
-#: Contexts of one anchor beyond which windows are counted by hash; window starts in one index; bytes in one numpy pass.
-HOT, STARTS, CHUNK = 20_000, 40_000, 1 << 20
+#: Window starts of one anchor beyond which windows are counted by hash (an index takes some 400 bytes a start);
+#: window starts in one index of several anchors; bytes in one numpy pass.
+HOT, STARTS, CHUNK = 300_000, 40_000, 1 << 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
 #: 0 pads contexts in the index; texts are UTF-8, in which 255 doesn't occur.
@@ -256,7 +257,7 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
                     a, c, k, p, q = [], [], [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, c, k, p, q)], names=["a", "c", "k", "p", "q"])
 
-    windows = rows.mapInArrow(spread, "a long, c long, k long, p long, q long")
+    windows = rows.repartition("a", "c").mapInArrow(spread, "a long, c long, k long, p long, q long")
     often = windows.groupBy("p", "q").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("p", "q")
     found = windows.join(often, ["p", "q"]).groupBy("a", "c").agg(F.collect_list("k").alias("ks"))  # at most a context's windows
 
@@ -301,7 +302,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = written(distinct, "repeats-contexts")
     whole = distinct.filter(F.col("n") > 1).select("a", "c", F.lit(None).cast("binary").alias("mask"))
     mixed = distinct.filter("mixed")
-    crowd = mixed.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("a", F.lit(True).alias("hot"))
     wanted = mixed.groupBy(F.col("by.id").alias("wid"), F.col("by.th").alias("wth")).agg(F.collect_set("c").alias("cs"))  # at most a text's contexts
 
     def hand_in(batches):
@@ -319,9 +319,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = _packed(d, kind)
     same = packed["id"].eqNullSafe(F.col("wid")) & (packed["th"] == F.col("wth"))
     handed = packed.join(wanted, same).dropDuplicates(["id", "th"]).select("z", "cs").mapInArrow(hand_in, "a long, c long, text binary")
-    handed = handed.join(mixed.select("a", "c"), ["a", "c"], "left_semi").join(crowd, "a", "left")
-    handed = written(handed, "repeats-bytes")
-    masks = _indexed(handed.filter(F.col("hot").isNull()).select("a", "c", "text"), width).unionByName(_counted(handed.filter("hot").select("a", "c", "text"), width))
+    handed = written(handed.join(mixed.select("a", "c"), ["a", "c"], "left_semi"), "repeats-bytes")
+    crowd = handed.groupBy("a").agg(F.sum(F.octet_length("text") - (width - 1)).alias("m")).filter(F.col("m") > hot).select("a")
+    masks = _indexed(handed.join(crowd, "a", "left_anti"), width).unionByName(_counted(handed.join(crowd, "a", "left_semi"), width))
     marks = written(whole.unionByName(masks.join(whole.select("a", "c"), ["a", "c"], "left_anti")), "repeats-marks")
     by_doc = again.select("id", "th", "a", "c").distinct().join(marks, ["a", "c"]).groupBy(F.col("id").alias("mid"), F.col("th").alias("mth")).agg(F.collect_list(F.struct("a", "c", "mask")).alias("marks"))
 
