@@ -13,6 +13,8 @@ one group; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -94,10 +96,13 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one of least id (of several with that id, the one of least text hash)."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = grouped) -> DataFrame:
+    """One document of each group, the one of least id (of several with that id, the one of least text hash).
+
+    groups: what makes the groups, grouped() above or that of similar.
+    """
     names = docs.columns
-    found = grouped(docs, id_col, text_col)
+    found = groups(docs, id_col, text_col)
     # Null ids: a group without any id keeps its row of least text hash.
     best = found.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("__f")).agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("best"))
     keep = written(best.select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th")).distinct(), "simhash-kept")

@@ -1,0 +1,171 @@
+"""Near copies by the similarity of their word shingles, exact at any threshold.
+
+The similarity of two texts is the share of common members (Jaccard) of their sets of five-word shingles. Shingles
+are ordered by the number of distinct sets that hold them, rare ones first. Two sets of similarity t or more share one
+of the first n - ceil(t n) + 1 members of either in any such order (prefix filter), and a shingle that only one set
+holds can't be shared: so the shingles are shuffled once, those of one set only are forgotten, and a set whose prefix
+is made of such has no near copy at all. Prefixes that meet give candidates, each verified on the whole sets.
+
+No group is squared while it needn't be: sets that are neighbours in a prefix group are compared first and their
+components found; then only pairs that lie in different components are left, as many as a group has strangers. Where
+those are still many, further rounds in other orders go before; the last round compares all that is left.
+
+Edge cases: A-Z count as lower case, words are runs of anything but ASCII white space; a text of fewer words has one
+shingle of all of them; null texts are empty ones, and all texts without words are alike; null ids, repeated rows and
+further columns as in simhash.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import ship, written
+from .components import components
+
+SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
+#: Pairs left for each row of the prefix groups at which all of them are compared, and rounds before that at most.
+SPARE, ROUNDS = 16, 6
+_P, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles, as longs."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    one = xxhash.xxh64_intdigest
+    w = np.array([one(x, SEED) for x in words], np.uint64)
+    k = min(shingle, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = (h ^ w[j : len(w) - k + 1 + j]) * _P
+        h ^= h >> np.uint64(29)
+    h *= _MIX
+    return np.unique((h ^ h >> np.uint64(32)).view(np.int64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of shingles are so similar; empty ones are alike."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _set_id(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts: (th, t). (th, s, n): the id and size of each text's set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), shingle) for t in batch.column("t").cast(pa.binary())]
+            cols = [batch.column("th"), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["th", "s", "n"])
+
+    return texts.mapInArrow(run, "th long, s long, n long")
+
+
+def _members(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts: (th, t). (h, s): a row for every shingle of every text's set."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                sets = [shingles(t.as_py(), shingle) for t in batch.column("t").slice(k, 256).cast(pa.binary())]
+                ids = np.repeat(np.array([_set_id(s) for s in sets], np.int64), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(ids)], names=["h", "s"])
+
+    return texts.mapInArrow(run, "h long, s long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, of: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets that are similar. texts: (th, t); of: (s, th), a text of every set."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+
+    def pack(batches):
+        for batch in batches:
+            packed = [shingles(t.as_py(), shingle).tobytes() for t in batch.column("t").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(packed, pa.binary())], names=["s", "m"])
+
+    packed = written(of.join(nodes, "s").join(texts, "th").select("s", "t").mapInArrow(pack, "s long, m binary"), "similar-sets")
+
+    def compare(batches):
+        for batch in batches:
+            sides = [[np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in ("x", "y")]
+            yield batch.select(["a", "b"]).filter(pa.array([alike(x, y, similarity) for x, y in zip(*sides, strict=True)], pa.bool_()))
+
+    joined = pairs.join(packed.select(F.col("s").alias("a"), F.col("m").alias("x")), "a").join(packed.select(F.col("s").alias("b"), F.col("m").alias("y")), "b")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar-links")
+
+
+def prefixes(members: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """members: (h, s); sizes: (s, n). (h, s, n): the prefixes of all sets, without shingles of one set only."""
+    # A set that several texts have repeats its rows: equal neighbours count once.
+    by = W.partitionBy("h")
+    fresh = members.withColumn("new", F.coalesce((F.col("s") != F.lag("s").over(by.orderBy("s"))).cast("int"), F.lit(1))).filter("new = 1")
+    shared = written(fresh.select("h", "s", F.count("*").over(by).alias("df")).filter("df > 1"), "similar-shared")
+    # Shingles of one set only come first in the order; what they leave of the prefix goes to the rarest of the others.
+    room = sizes.join(shared.groupBy("s").agg(F.count("*").alias("m")), "s")
+    room = room.withColumn("room", F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1 - (F.col("n") - F.col("m"))).filter("room > 0")
+    ranked = shared.join(room.select("s", "n", "room"), "s").withColumn("rank", F.row_number().over(W.partitionBy("s").orderBy("df", "h")))
+    return ranked.filter("rank <= room").select("h", "s", "n")
+
+
+def links(texts: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """texts: (th, t), distinct th; sets: (th, s, n). (a, b): similar pairs of sets that connect all similar pairs."""
+    of = sets.groupBy("s").agg(F.min("th").alias("th"), F.min("n").alias("n"))
+    found = prefixes(_members(texts, shingle), of.select("s", "n"), similarity)
+    near = F.least("n", "n0") >= F.greatest("n", "n0") * F.lit(similarity) - F.lit(1e-9)
+    groups = written(found, "similar-prefixes").withColumn("r", F.col("s"))
+    linked = tested = None
+    for k in range(ROUNDS + 1):
+        # Rows of the groups that still hold sets of several components.
+        state = groups.groupBy("h", "r").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("rs"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("rs > 1")
+        state = written(state, "similar-state")
+        left, rows = state.agg(F.coalesce(F.sum((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()  # two numbers
+        if not left:
+            break
+        groups = written(groups.join(state.select("h"), "h", "left_semi"), "similar-groups")
+        last = k == ROUNDS or left <= SPARE * rows
+        if last:
+            other = groups.select("h", F.col("s").alias("s0"), F.col("n").alias("n0"), F.col("r").alias("r0"))
+            pairs = groups.join(other, "h").filter((F.col("r") < F.col("r0")) & near)
+        else:
+            order = W.partitionBy("h").orderBy(F.xxhash64("s", F.lit(k)), "s")
+            beside = lambda c: F.lag(c).over(order).alias(c + "0")
+            pairs = groups.select("s", "n", "r", beside("s"), beside("n"), beside("r")).filter((F.col("r") != F.col("r0")) & near)
+        pairs = pairs.select(F.least("s", "s0").alias("a"), F.greatest("s", "s0").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
+        good = _verified(pairs, texts, of.select("s", "th"), shingle, similarity)
+        linked = good if linked is None else linked.unionByName(good)
+        if last:
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = components(linked)
+        groups = groups.drop("r").join(roots.select(F.col("node").alias("s"), F.col("root").alias("r")), "s", "left").select("h", "s", "n", F.coalesce("r", "s").alias("r"))
+    return linked if linked is not None else texts.sparkSession.createDataFrame([], "a long, b long")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, th, fp, component) as simhash.grouped gives them; fp: one number for each group."""
+    if not 0 < similarity <= 1 or shingle < 1 or not math.isfinite(similarity):
+        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least")
+    ship(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    texts = written(slim.groupBy("th").agg(F.first("t").alias("t")), "similar-texts")
+    sets = written(_sets(texts, shingle), "similar-hashed")
+    roots = components(links(texts, sets, shingle, similarity)).select(F.col("node").alias("s"), "root")
+    rooted = sets.join(roots, "s", "left").select("th", F.coalesce("root", "s").alias("fp"))
+    found = written(slim.select("id", "th").join(rooted, "th"), "similar-docs")
+    least = found.groupBy("fp").agg(F.min("id").alias("component"))
+    return found.join(least, "fp").select("id", "th", "fp", "component")
