@@ -4,7 +4,9 @@ Every benchmark item is covered by overlapping probes of 96 bytes (a shorter ite
 a probe of n bytes there are at least n - q + 1 - k q of its q-grams, all in one band of diagonals: hits of
 document q-grams are counted in overlapping diagonal bands (width 32, step 16, so any drift of up to 16 lies
 within one band), regions that hold enough of them within a probe's length are retained, and each is verified by
-aligning the probe inside the band with an edit budget of a tenth of its length.
+aligning the probe inside the band with an edit budget of a tenth of its length. Where no probe is found, every other
+stretch of 96 bytes of the item that may have hits there and holds enough of its q-grams is aligned too, all of them
+in one banded pass, so a passage is found wherever in the item it begins; the stretch of least edits is reported.
 
 Letters A-Z count as lower case and all white space as spaces; both keep byte positions. The benchmark is the
 stated query set: it is taken in blocks of bounded size, each broadcast and run against all documents, so any
@@ -77,6 +79,36 @@ def align(probe: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
     return edits, max(0, end - back), end
 
 
+def align_all(x: bytes, offsets: np.ndarray, text: bytes, first: int, width: int, most: int) -> np.ndarray:
+    """The least edits of each stretch x[o : o + PROBE] on the diagonals first to first + width - 1 of text, most + 1 if more.
+
+    Diagonal d: byte o + k of the item lies beside byte o + k + d of the text, edits may drift by most to either side.
+    """
+    best = np.full(len(offsets), most + 1, np.int64)
+    item = np.frombuffer(x, np.uint8)
+    # No byte of the item is 255: places outside the text cost as much as bytes that are missing.
+    low = int(offsets.min()) + first - most
+    high = int(offsets.max()) + PROBE + first + width + most
+    t = np.full(high - low, 255, np.uint8)
+    a, b = max(0, low), min(len(text), high)
+    if a < b:
+        t[a - low : b - low] = np.frombuffer(text, np.uint8)[a:b]
+    cells = np.arange(width + 2 * most)
+    live, rows = np.arange(len(offsets)), np.zeros((len(offsets), len(cells)), np.int64)
+    at = offsets + first - most - low
+    for k in range(PROBE):
+        new = rows + (t[at[live, None] + k + cells] != item[offsets[live] + k][:, None])
+        new[:, :-1] = np.minimum(new[:, :-1], rows[:, 1:] + 1)
+        rows = np.minimum.accumulate(new - cells, axis=1) + cells
+        going = rows.min(axis=1) <= most
+        if not going.all():
+            live, rows = live[going], rows[going]
+            if not len(live):
+                return best
+    best[live] = rows.min(axis=1)
+    return best
+
+
 class Index:
     """The q-grams of one block of items."""
 
@@ -171,6 +203,31 @@ class Index:
             hit = align(probe, text, most) if self.enough(item, o, text) else None
             if hit:
                 found.setdefault((of, item), []).append((a + hit[1] - lo, a + hit[2] - lo, hit[0]))
+        if len(x) > PROBE and not any(s + lo < p + NEAR and p < t + lo for s, t, _ in found.get((of, item), ())):
+            self._stretches(x, item, of, diagonal, p, buf, lo, hi, tried, found)
+
+    def _stretches(self, x: bytes, item: int, of: int, diagonal: int, p: int, buf: bytes, lo: int, hi: int, tried: set, found: dict) -> None:
+        """The same for the stretches that begin between probes."""
+        most = budget(PROBE)
+        from_, to = max(0, p - diagonal - 2 * STEP - PROBE - most), min(len(x) - PROBE, p + NEAR - diagonal + most)
+        if from_ > to:
+            return
+        a, b = max(lo, diagonal + from_ - most), min(hi, diagonal + to + 2 * STEP + PROBE + most)
+        text = buf[a:b]
+        there = {text[k : k + Q] for k in range(len(text) - Q + 1)}
+        total = np.cumsum([0, *[x[k : k + Q] in there for k in range(from_, to + PROBE - Q + 1)]])
+        offsets = from_ + np.flatnonzero(total[PROBE - Q + 1 :] - total[: -(PROBE - Q + 1)] >= self.need[item])
+        offsets = np.array([o for o in offsets.tolist() if (of, item, diagonal, o) not in tried], np.int64)
+        if not len(offsets):
+            return
+        tried.update((of, item, diagonal, o) for o in offsets.tolist())
+        edits = align_all(x, offsets, buf[lo:hi], diagonal - lo, 2 * STEP, most)
+        k = int(edits.argmin())
+        if edits[k] <= most:
+            o = int(offsets[k])
+            a = max(lo, diagonal + o - most)
+            _, start, end = align(x[o : o + PROBE], buf[a : min(hi, diagonal + o + 2 * STEP + PROBE + most)], most)
+            found.setdefault((of, item), []).append((a + start - lo, a + end - lo, int(edits[k])))
 
     def _find(self, texts: list[bytes], first: int) -> list[tuple[int, int, int, int, int]]:
         gap = b"\xff" * Q
