@@ -11,53 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankfold.llm import html, quality, tokens, toxicity
+from rankfold.llm import quality, tokens, toxicity
 
 from .conftest import story
 
 
-@pytest.mark.parametrize(
-    ("page", "text"),
-    [
-        ("<main><header>Site</header><p>a<p>b &amp c&lt;</main><footer>f</footer>", "Site\n\na\n\nb & c<"),
-        ("<article><h1>T</h1><p>x <b>y</b>z<br>w\n v</p><div class='comments'><p>no</p></div><form>q<input></form><p>end</article>", "T\n\nx yz w v\n\nend"),
-        ("<nav>menu</nav><div class=ad>buy</div><article><p>one</p><script>var x='</p>';</script><p>two</p></article><aside>s</aside>", "one\n\ntwo"),
-        ("<body><div id='cookie-notice'>c</div><div>yes <span class=ad>no</span>more</div></body>", "yes more"),
-        ("<article><p>cut &am", "cut &am"),
-        ("<article><p title='a>b'>t</p><!-- <p>hidden</p> --></article>", "t"),
-        ("<article><p>&#233;&nbsp;&#x41;</p></article>", "é A"),
-        ("", ""),
-        (None, ""),
-        ("plain text", "plain text"),
-        ("<<<>>> <p", "<<<>>> <p"),
-    ],
-)
-def test_main_text(page, text):
-    b = html.blocks(page)
-    article = [t for s, t in b if s]
-    assert "\n\n".join(article or [t for _, t in b]) == text
-
-
-def test_sample_pages_hold_their_documents(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    docs = {re.sub(r"\s+", " ", r.text).strip() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = html.extracted(pages).collect()
-    assert len(got) == pages.count()
-    inside = sum(re.sub(r"\s+", " ", r.text.split("\n\n", 1)[1] if "\n\n" in r.text else r.text) in docs for r in got)
-    assert inside >= 0.95 * len(got) and all(r.n_chars == len(r.text) for r in got)
-
-
-def test_host_suffix_array_removes_repeats_across_pages(spark):
-    boiler = "share this page with all of your many friends and family today"
-    rows = [(k, f"https://H.example/{k}", f"<div>{boiler}</div><div>{story(k, 30)}</div><div>tiny</div>") for k in range(4)]
-    rows += [(10, "https://other.example/", f"<div>{boiler}</div>"), (11, None, None), (12, "https://h.example/x", ""), (13, "https://solo.example/", f"<div>{boiler} {boiler}</div>"), (13, "https://solo.example/", f"<div>{boiler} {boiler}</div>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
-    got = Counter((r.page_id, r.text) for r in html.extracted(pages).collect())
-    want = Counter({(k, f"{story(k, 30)}\n\ntiny"): 1 for k in range(4)})
-    assert got == want + Counter({(10, boiler): 1, (11, ""): 1, (12, ""): 1, (13, f"{boiler} {boiler}"): 2})
-    assert html.extracted(pages.limit(0)).count() == 0
-
-
 def slow_statistics(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
