@@ -8,30 +8,35 @@ aligning the probe inside the band with an edit budget of a tenth of its length.
 stretch of 96 bytes of the item that may have hits there and holds enough of its q-grams is aligned too, all of them
 in one banded pass, so a passage is found wherever in the item it begins; the stretch of least edits is reported.
 
+q is 8, and 5 for short items (10 to 15, 20 to 23, 30 and 31 bytes) for which the bound at 8 would be 0 or less: at 5 it
+is 1 or more, so nothing within the budget is lost at any length.
+
 Letters A-Z count as lower case and all white space as spaces; both keep byte positions. The benchmark is the
-stated query set: it is taken in blocks of bounded size, each broadcast and run against all documents, so any
-number of items works; documents are never shuffled.
+stated query set: its distinct texts, long ones in overlapping pieces, are taken in blocks of bounded size, each
+broadcast; documents are read once, every batch runs against one block after the other, and none is shuffled.
 
-Edge cases: null texts are empty and match nothing; items of fewer than 8 bytes match nothing (q-grams can't find
-them); equal items are all reported; repeated rows repeat; empty tables give an empty result; further columns are
-carried along or ignored.
+Edge cases: null texts are empty and match nothing; items of fewer than SHORTEST = 8 bytes match nothing (they would be
+common words); equal items are all reported; repeated rows repeat; empty tables give an empty result; further columns
+are carried along or ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
 from bisect import bisect_right
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, written
 
-Q, PROBE, EDITS, STEP, NEAR = 8, 96, 0.1, 16, 32
-#: Bytes of benchmark text in one block, and of document text in one numpy pass.
-BLOCK, CHUNK = 2 << 20, 4 << 20
+Q, SHORT_Q, SHORTEST, PROBE, EDITS, STEP, NEAR = 8, 5, 8, 96, 0.1, 16, 32
+#: Bytes of benchmark text in one block, of one piece of a long item, and of document text in one numpy pass; hits that
+#: are spread to bands at once; indexes that a worker holds.
+BLOCK, PIECE, CHUNK, HITS, HELD = 2 << 20, 32 << 10, 4 << 20, 2 << 20, 2
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
 
@@ -40,8 +45,12 @@ def fold(text: bytes) -> bytes:
     return text.translate(_FOLD)
 
 
-def _grams(buf: bytes) -> np.ndarray:
-    return np.ndarray((max(0, len(buf) - Q + 1),), "<u8", buf, strides=(1,)) if len(buf) >= Q else np.zeros(0, "<u8")
+def _grams(buf: bytes, q: int = Q) -> np.ndarray:
+    """The q-grams of buf as numbers; q is 8 at most."""
+    if len(buf) < q:
+        return np.zeros(0, "<u8")
+    v = np.ndarray((len(buf) - q + 1,), "<u8", buf + bytes(8 - q), strides=(1,))
+    return v if q == 8 else v & np.uint64((1 << 8 * q) - 1)
 
 
 def _slot(v: np.ndarray) -> np.ndarray:
@@ -109,13 +118,19 @@ def align_all(x: bytes, offsets: np.ndarray, text: bytes, first: int, width: int
     return best
 
 
+def gram_of(n: int) -> int:
+    """The q for a probe of n bytes: at Q the lemma's bound must be 1 or more, at SHORT_Q it is for any n of SHORTEST or more."""
+    return Q if n - Q + 1 - Q * budget(n) >= 1 else SHORT_Q
+
+
 class Index:
-    """The q-grams of one block of items."""
+    """The q-grams of one block of items, all of one q."""
 
-    def __init__(self, items: list[bytes]):
+    def __init__(self, items: list[bytes], q: int = Q):
+        self.q = q
         self.items = [fold(x) for x in items]
-        sizes = [max(0, len(x) - Q + 1) for x in self.items]
-        values = np.concatenate([_grams(x) for x in self.items] or [np.zeros(0, "<u8")])
+        sizes = [max(0, len(x) - q + 1) for x in self.items]
+        values = np.concatenate([_grams(x, q) for x in self.items] or [np.zeros(0, "<u8")])
         item, off = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)])
         order = np.argsort(values, kind="stable")
         self.item, self.off = item[order], off[order]
@@ -123,7 +138,7 @@ class Index:
         self.there = np.zeros(1 << _BITS, bool)
         self.there[_slot(self.grams)] = True
         n = np.array([min(len(x), PROBE) for x in self.items] or [0])
-        self.need = np.maximum(1, n - Q + 1 - Q * (n * EDITS).astype(int))
+        self.need = np.maximum(1, n - q + 1 - q * (n * EDITS).astype(int))
         self.reach = n + (n * EDITS).astype(int)
         self.probe_grams: dict[tuple[int, int], list[bytes]] = {}
         #: A probe at least every half probe, the last one at the item's end.
@@ -131,7 +146,7 @@ class Index:
 
     def regions(self, buf: bytes) -> list[tuple[int, int, int]]:
         """(item, diagonal where a band begins, position) wherever a band has enough hits within a probe's reach."""
-        v = _grams(buf)
+        v = _grams(buf, self.q)
         if not len(self.grams) or not len(v):
             return []
         hit = self.there[_slot(v)]
@@ -146,12 +161,26 @@ class Index:
         at = np.minimum(np.searchsorted(self.grams, v[pos]), len(self.grams) - 1)
         same = self.grams[at] == v[pos]
         pos, at = pos[same], at[same]
+        # In pieces of bounded work that overlap by a probe's reach, however many items have a q-gram.
+        work = np.cumsum(self.count[at])
+        out: set[tuple[int, int, int]] = set()
+        k = 0
+        while k < len(pos):
+            end = int(np.searchsorted(work, (work[k - 1] if k else 0) + HITS, "right"))
+            end = max(end, int(np.searchsorted(pos, pos[k] + 2 * reach, "right")))
+            out.update(self._banded(pos[k:end], at[k:end], len(buf)))
+            if end >= len(pos):
+                break
+            k = max(k + 1, int(np.searchsorted(pos, pos[end] - reach)))
+        return sorted(out)
+
+    def _banded(self, pos: np.ndarray, at: np.ndarray, size: int) -> list[tuple[int, int, int]]:
         n = self.count[at]
         k = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
         pos, item, off = np.repeat(pos, n), self.item[k], self.off[k]
         longest = max(map(len, self.items))
         band = (pos - off + longest) // STEP + 1
-        bands = (len(buf) + longest) // STEP + 3
+        bands = (size + longest) // STEP + 3
         key = item * bands + band
         both = np.sort(np.concatenate([key, key - 1]).astype(np.int64) << 24 | np.concatenate([pos, pos]))
         both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
@@ -168,8 +197,8 @@ class Index:
         """The lemma for one probe: so many of its q-grams are in the text."""
         if (item, o) not in self.probe_grams:
             probe = self.items[item][o : o + PROBE]
-            self.probe_grams[item, o] = [probe[k : k + Q] for k in range(len(probe) - Q + 1)]
-        there = {text[k : k + Q] for k in range(len(text) - Q + 1)}
+            self.probe_grams[item, o] = [probe[k : k + self.q] for k in range(len(probe) - self.q + 1)]
+        there = {text[k : k + self.q] for k in range(len(text) - self.q + 1)}
         return sum(g in there for g in self.probe_grams[item, o]) >= self.need[item]
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
@@ -253,20 +282,38 @@ class Index:
         return out
 
 
-_indexes: dict[int, Index] = {}
+class Indexes:
+    """The indexes of one block: its items by the q that their length takes. Finds like Index, items by their place in the block."""
+
+    def __init__(self, items: list[bytes]):
+        of = [gram_of(min(len(x), PROBE)) for x in items]
+        self.parts = []
+        for q in sorted(set(of)):
+            at = [k for k, x in enumerate(of) if x == q and len(items[k]) >= SHORTEST]
+            if at:
+                self.parts.append((at, Index([items[k] for k in at], q)))
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        return [(t, at[i], a, b, e) for at, index in self.parts for t, i, a, b, e in index.find(texts)]
+
+
+_indexes: OrderedDict[int, Indexes] = OrderedDict()
 #: Numbers of the blocks that this driver has sent.
 _numbers = itertools.count()
 
 
-def _index(block) -> Index:
-    if block.id not in _indexes:
-        _indexes.clear()
-        _indexes[block.id] = Index([x for _, x in block.value])
+def _index(block) -> Indexes:
+    if block.id in _indexes:
+        _indexes.move_to_end(block.id)
+    else:
+        _indexes[block.id] = Indexes([x for _, x in block.value])
+        while len(_indexes) > HELD:
+            _indexes.popitem(last=False)
     return _indexes[block.id]
 
 
 class _Block:
-    """A broadcast list of (item id, text), known by a number."""
+    """A broadcast list of (hash of the item's text, piece of it), known by a number."""
 
     def __init__(self, shared, number: int):
         self.shared, self.id = shared, number
@@ -276,57 +323,74 @@ class _Block:
         return self.shared.value
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
-    """The benchmark in blocks of about BLOCK bytes; each is fetched and broadcast when it is due."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t")).filter(F.octet_length("t") >= SHORTEST)
+
+
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[_Block]:
+    """The benchmark's distinct texts, in pieces, in blocks of about BLOCK bytes; one at a time is fetched and broadcast."""
     sc = benchmark.sparkSession.sparkContext
-    b = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter(F.octet_length("t") >= Q)
-    total = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    texts = _items(benchmark, item_col, text_col).groupBy("h").agg(F.first("t").alias("t"))
+    # Pieces overlap by more than a probe, so every stretch of 96 bytes lies within one.
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("t") - 2 * PROBE), F.lit(PIECE))
+    pieces = texts.select("h", "t", F.explode(starts).alias("at")).select("h", "at", F.substring("t", F.col("at"), F.lit(PIECE + 2 * PROBE)).alias("x"))
+    pieces = written(pieces, "benchmark-pieces")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0]
     n = -(-total // BLOCK)
+    out = []
     for k in range(n):
-        rows = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        shared = sc.broadcast([(r.i, r.t.encode()) for r in sorted(rows, key=lambda r: (r.i is None, r.i, r.t))])
-        yield _Block(shared, next(_numbers))
+        rows = pieces.filter(F.pmod(F.xxhash64("h", "at"), F.lit(n)) == k).orderBy("h", "at").collect()  # about BLOCK bytes
+        out.append(_Block(sc.broadcast([(r.h, bytes(r.x)) for r in rows]), next(_numbers)))
+    return out
+
+
+def _merged(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits), those of one text and item that touch joined."""
+    out: list[list[int]] = []
+    for t, i, a, b, e in sorted(found):
+        if out and out[-1][:2] == [t, i] and a <= out[-1][3]:
+            out[-1][3:] = max(out[-1][3], b), max(out[-1][4], e)
+        else:
+            out.append([t, i, a, b, e])
+    return [tuple(x) for x in out]
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc, item, start, end, edits): every region of a document that holds a passage of an item, in code points."""
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    kinds = dict(d.dtypes)["d"], dict(benchmark.dtypes)[item_col]
-    schema = f"d {kinds[0]}, i {kinds[1]}, start long, end long, edits int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, item_col, item_text_col):
-
-        def run(batches, block=block):
-            index, items = _index(block), block.value
-            for batch in batches:
-                texts = [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
-                found = index.find(texts)
-                at = pa.array([f[0] for f in found], pa.int64())
-                place = lambda f, k: len(texts[f[0]][: f[k]].decode("utf-8", "ignore"))  # noqa: B023, E731
-                cols = [pa.array([items[f[1]][0] for f in found], batch_kind), pa.array([place(f, 2) for f in found], pa.int64()), pa.array([place(f, 3) for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(at), *cols], names=["d", "i", "start", "end", "edits"])
-
-        batch_kind = _arrow(kinds[1])
-        out = out.unionByName(d.mapInArrow(run, schema))
+    queries = blocks(benchmark, item_col, item_text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
+            found = []
+            for block in queries:
+                items = block.value
+                found += [(t, items[i][0], a, b, e) for t, i, a, b, e in _index(block).find(texts)]
+            found = _merged(found)
+            place = lambda f, k: len(texts[f[0]][: f[k]].decode("utf-8", "ignore"))  # noqa: B023, E731
+            cols = [pa.array([f[1] for f in found], pa.int64()), pa.array([place(f, 2) for f in found], pa.int64()), pa.array([place(f, 3) for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array([f[0] for f in found], pa.int64())), *cols], names=["d", "h", "start", "end", "edits"])
+
+    found = d.mapInArrow(run, f"d {dict(d.dtypes)['d']}, h long, start long, end long, edits int")
+    out = found.join(_items(benchmark, item_col, item_text_col).select("h", "i"), "h")
     return out.select(F.col("d").alias(id_col), F.col("i").alias(item_col), "start", "end", "edits")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind) or pa.type_for_alias(kind)
-
-
 def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents without any contaminated region, with their columns; a filter, nothing is shuffled."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for block in blocks(benchmark, item_col, item_text_col):
-
-        def run(batches, block=block):
-            index = _index(block)
-            for batch in batches:
-                found = {f[0] for f in index.find([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()])}
-                yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    queries = blocks(benchmark, item_col, item_text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            left = list(range(len(texts)))
+            for block in queries:
+                found = {f[0] for f in _index(block).find([texts[k] for k in left])}
+                left = [k for n, k in enumerate(left) if n not in found]
+            yield batch.take(pa.array(left, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from rankfold.llm import decontamination as D
 
@@ -41,3 +44,68 @@ def test_edited_passages_at_every_offset(size):
     for t in got - set(want):
         assert any(D.align(item[k : k + 96], texts[t], 9) for k in range(len(item) - 95))
     assert not list(index.find([story(6000 + k, 60).encode() for k in range(20)]))
+
+
+def substituted(r, item: bytes, k: int) -> bytes:
+    out = bytearray(item)
+    for at in r.sample(range(len(item)), k):
+        out[at] = r.choice([c for c in b"abcdefghijklmnopqrstuvwxyz" if c != out[at]])
+    return bytes(out)
+
+
+@pytest.mark.parametrize("n", range(8, 41))
+def test_short_items_lose_nothing(n):
+    """With as many edits as the budget allows, at every length; and nothing beyond it."""
+    r = random.Random(n)
+    items = [bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(6)]
+    index = D.Indexes([*items, b"tiny"])
+    texts, want = [], []
+    for k in range(24):
+        i = r.randrange(6)
+        edits = D.budget(n)
+        core = substituted(r, items[i], edits)
+        if k % 3 == 1 and edits:
+            at = r.randrange(n)
+            core = substituted(r, items[i][:at] + items[i][at + 1 :], edits - 1)
+        if k % 3 == 2 and edits:
+            at = r.randrange(n)
+            core = substituted(r, items[i][:at] + b"~" + items[i][at:], edits - 1)
+        texts.append(b"zz ZZ 00 " + core + b" zz 11 zz")
+        want.append((k, i))
+    texts += [substituted(r, x, D.budget(n) + 3) for x in items]
+    got = {(t, i) for t, i, *_ in index.find(texts)}
+    assert set(want) <= got
+    for t, i in got:
+        assert slow_distance(items[i], texts[t]) <= D.budget(n)
+    brute = {(t, i) for t, x in enumerate(texts) for i, item in enumerate(items) if slow_distance(item, x) <= D.budget(n)}
+    assert got == brute
+
+
+def test_common_grams_are_taken_in_pieces(monkeypatch):
+    """A stock phrase in all items and texts: the same result whatever the bound on hits at once."""
+    items = [f"{story(k, 6)} in accordance with the terms and conditions {story(50 + k, 8)}".encode() for k in range(40)]
+    texts = [b" and then ".join(items[k : k + 3]) for k in range(0, 40, 5)] + [b"in accordance with the terms and conditions " * 4]
+    index = D.Index(items)
+    want = index.find(texts)
+    assert {i for t, i, *_ in want if t < 8} >= {k + j for k in range(0, 38, 5) for j in range(3)}
+    monkeypatch.setattr(D, "HITS", 500)
+    assert index.find(texts) == want
+
+
+def test_blocks_pieces_and_equal_items(spark, monkeypatch):
+    """Many blocks, one item longer than a piece, equal items: as with one block; found through the whole query."""
+    monkeypatch.setattr(D, "BLOCK", 2000)
+    monkeypatch.setattr(D, "PIECE", 1000)
+    long = story(5, 600)
+    bench = [(k, story(100 + k, 15)) for k in range(12)] + [(20, story(100, 15)), (21, long), (None, story(300, 12)), (22, None), (23, "tiny"), (24, "abcdefghij")]
+    docs = [(k, f"{story(500 + k, 20)} {story(100 + k, 15)}") for k in range(12)]
+    docs += [(50 + k, f"{story(700 + k, 9)} {long[o : o + 120]} x") for k, o in enumerate(range(0, len(long) - 120, 97))]
+    docs += [(390, "zz zz abcdeXghij zz zz"), (391, "tiny"), (392, None), (None, story(300, 12)), (393, story(900, 50))]
+    b = spark.createDataFrame(bench, "item_id long, text string").withColumn("h", F.lit("clash")).withColumn("i", F.lit("clash"))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit("clash")).withColumn("d", F.lit("clash"))
+    got = {(r.doc_id, r.item_id) for r in D.contaminations(d, b).collect()}
+    want = {(k, k) for k in range(12)} | {(0, 20), (390, 24), (None, None)} | {(i, 21) for i, _ in docs if i is not None and 50 <= i < 390}
+    assert got == want
+    kept = D.cleaned(d, b)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {391, 392, 393}
+    assert D.contaminations(d.limit(0), b).count() == 0 and D.contaminations(d, b.limit(0)).count() == 0 and D.cleaned(d, b.limit(0)).count() == len(docs)
