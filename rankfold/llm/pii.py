@@ -1,21 +1,26 @@
 """Personal data by candidate gradient boosting, with DataFrame operations only.
 
 Base rules find well-formed e-mail addresses, IP addresses, card and phone numbers. High-recall generators propose
-further, overlapping spans (spelled-out addresses, any number-like run). Boosted trees (Spark ML) are fitted on the
-candidates of a bounded sample, weakly labelled by the base rules (positive) and by hard violations (negative;
-all others are left unlabelled), over format and context features; the threshold is the lowest whose precision on
-held-back candidates meets a target. The trees become one column expression, so candidates are scored inside
-their document's row: nothing is exploded or shuffled.
+further, overlapping spans (spelled-out addresses, any number-like run). Boosted trees (Spark ML) decide on them over
+format and context features. Their labels don't come from the base rules: spans of known kind are planted in the texts
+of a bounded sample in forms that the base rules miss (spelled-out signs, other separators, no plus, masked or without
+a cue before them), and look-alikes (dates, times, serial numbers, scores, prices, digit groups with a wrong check
+digit) as negatives. Every third planting is held back; the threshold is the lowest whose precision on those meets a
+target, and the recall there is part of the model. The trees become one column expression, so candidates are scored
+inside their document's row: nothing is exploded or shuffled.
+
+The four kinds are those of the base rules; other secrets (keys, tokens, passwords) are out of scope.
 
 Positions are code points, end exclusive. They come from cutting the text at the matches and adding up lengths.
 
-Edge cases: a null text is an empty one; texts without candidates have empty results; with too few labelled
-candidates there are no trees and base spans alone count; repeated rows are treated alike; an empty table gives
-an empty result; further columns are ignored.
+Edge cases: a null text is an empty one; texts without candidates have empty results; in a table of a few rows only
+there are no trees and base spans alone count; repeated rows are treated alike; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -37,14 +42,14 @@ BASE = {
 }
 #: Generators: addresses with a spelled-out sign, and number-like runs.
 WIDE = {
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[(\[](?i:at)[)\]]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?i:dot)[)\]]) ?[A-Za-z0-9-]++)++",
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[().\x20/-]{0,2}+[0-9]){7,21}+(?![0-9A-Za-z])",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:@|[(\[{](?i:at)[)\]}]) ?| (?i:at) (?=[A-Za-z0-9-]++ (?i:dot) ))[A-Za-z0-9-]++(?:(?: ?\. ?(?=[A-Za-z0-9-])| ?[(\[{](?i:dot)[)\]}] ?| (?i:dot) )[A-Za-z0-9-]++)++",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:(?:\[\.\]|\(\.\)|[().\x20/_\u2013-]{0,3}+)[0-9]){6,21}+(?![0-9A-Za-z])",
 }
-#: Documents of the training sample, candidates used of them, size of the model, and precision asked for.
-SAMPLE, CANDIDATES, TREES, DEPTH, PRECISION = 10_000, 20_000, 8, 3, 0.995
+#: Documents of the training sample, plantings in each, size of the model, and the precision asked for.
+SAMPLE, PLANTINGS, TREES, DEPTH, PRECISION = 2_500, 4, 12, 4, 0.98
 AROUND = 24
 SPAN = "array<struct<s:int,e:int,v:string>>"
-FEATURES = ("n_digits", "n_chars", "n_separators", "n_groups", "longest", "has_at", "letters", "luhn", "octets", "plus", "dots", "dashes", "spaces", "varied", "cue", "code_cue", "glued_left", "glued_right", "date")
+FEATURES = ("n_digits", "n_chars", "n_separators", "n_groups", "longest", "shortest", "has_at", "letters", "luhn", "octets", "plus", "dots", "dashes", "spaces", "slashes", "brackets", "varied", "zero", "cue", "code_cue", "glued_left", "glued_right", "date")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -69,14 +74,18 @@ def digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
-def luhn(d: Column) -> Column:
-    """Whether a string of digits has a right check digit."""
+def luhn_sum(d: Column) -> Column:
+    """The weighted sum of a string of digits; a right check digit makes it a multiple of ten."""
 
     def value(c, i):
         x = c.cast("int") * (1 + i % 2)
         return F.when(x > 9, x - 9).otherwise(x)
 
-    return F.aggregate(F.transform(F.split(F.reverse(d), ""), value), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
+    return F.aggregate(F.transform(F.split(F.reverse(d), ""), value), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
+def luhn(d: Column) -> Column:
+    return luhn_sum(d) % 10 == 0
 
 
 def octets(v: Column) -> Column:
@@ -109,22 +118,28 @@ def with_candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("wide", F.transform(F.concat("c_address", "c_number"), lambda x: described(F.col("t"), x))).drop(*[f"{c}_{k}" for c in "wc" for k in WIDE])
 
 
+#: How an address's sign is written.
+AT = r"@|(?i)[(\[{]at[)\]}]| at "
+
+
 def described(text: Column, x: Column) -> Column:
     """A span with its format and context features."""
     v = x["v"]
     d = digits(v)
-    groups = F.filter(F.split(v, "[^0-9A-Za-z]+"), lambda g: g != "")
+    groups = F.transform(F.filter(F.split(v, "[^0-9A-Za-z]+"), lambda g: g != ""), lambda g: F.length(g))
     before = F.lower(F.substring(text, F.greatest(x["s"] + 1 - AROUND, F.lit(1)), F.least(x["s"], F.lit(AROUND))))
     after = F.substring(text, x["e"] + 1, F.lit(2))
     count = lambda pattern: F.regexp_count(v, F.lit(pattern)).cast("double")
     flag = lambda c: c.cast("double")
     n = F.length(d)
+    dotted = F.regexp_replace(v, r"\s*[\[(]?\.[\])]?\s*", ".")
     values = {
         "n_digits": n.cast("double"), "n_chars": F.length(v).cast("double"), "n_separators": count("[^0-9A-Za-z]"), "n_groups": F.size(groups).cast("double"),
-        "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)).cast("double"), "has_at": flag(v.rlike(r"@|(?i)[(\[]at[)\]]")), "letters": count("[A-Za-z]"),
-        "luhn": flag(n.between(13, 19) & luhn(d)), "octets": flag(v.rlike(r"^[0-9]+(\.[0-9]+){3}$") & octets(v)), "plus": flag(v.startswith("+")), "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "),
-        "varied": F.size(F.array_distinct(F.split(d, ""))).cast("double"), "cue": flag(before.rlike("mail|phone|tel|call|fax|mobile|cell|card|visa|credit|contact|address|write")), "code_cue": flag(before.rlike("version|serial|isbn|order|invoice|id|sha|hash|token|key|=")),
-        "glued_left": flag(before.rlike(r"[0-9A-Za-z.,:/#-]$")), "glued_right": flag(after.rlike(r"^[.,:/#-]?[0-9A-Za-z]")), "date": flag(v.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}")),
+        "longest": F.coalesce(F.array_max(groups), F.lit(0)).cast("double"), "shortest": F.coalesce(F.array_min(groups), F.lit(0)).cast("double"), "has_at": flag(v.rlike(AT)), "letters": count("[A-Za-z]"),
+        "luhn": flag(n.between(13, 19) & luhn(d)), "octets": flag(dotted.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & octets(dotted)), "plus": flag(v.startswith("+")), "dots": count(r"\."), "dashes": count("-"), "spaces": count(" "),
+        "slashes": count("/"), "brackets": count(r"[\[\](){}]"), "varied": F.size(F.array_distinct(F.split(d, ""))).cast("double"), "zero": flag(v.rlike(r"^\(?0")),
+        "cue": flag(before.rlike("mail|phone|tel|call|fax|mobile|cell|card|visa|credit|contact|address|write|reach|host|server|from|whatsapp|number is")), "code_cue": flag(before.rlike("version|serial|isbn|order|invoice|sha|hash|token|key|=|score|date|time|since|price|total|page|ref|build")),
+        "glued_left": flag(before.rlike(r"[0-9A-Za-z.,:/#-]$")), "glued_right": flag(after.rlike(r"^[.,:/#-]?[0-9A-Za-z]")), "date": flag(v.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|^[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)[0-9]{2}")),
     }
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), v.alias("v"), *[values[f].alias(f) for f in FEATURES])
 
@@ -134,10 +149,10 @@ def _overlaps(x: Column, spans: Column) -> Column:
 
 
 class Model:
-    """Boosted trees as a column expression: margin(span) and the threshold on it."""
+    """Boosted trees as a column expression: margin(span) and the threshold on it; precision and recall on held-back plantings."""
 
-    def __init__(self, trees: list, weights: list[float], threshold: float):
-        self.trees, self.weights, self.threshold = trees, weights, threshold
+    def __init__(self, trees: list, weights: list[float], threshold: float, precision: float = math.nan, recall: float = math.nan):
+        self.trees, self.weights, self.threshold, self.precision, self.recall = trees, weights, threshold, precision, recall
 
     def margin(self, x: Column) -> Column:
         def value(t) -> Column:
@@ -170,29 +185,90 @@ def _parsed(description: str) -> tuple[list[tuple], list[float]]:
     return trees, weights
 
 
+def _pick(seed: Column, *choices) -> Column:
+    """One of the choices (strings or columns) by a hash."""
+    return F.element_at(F.array(*[F.lit(c) if isinstance(c, str) else c for c in choices]), (F.pmod(seed, F.lit(len(choices))) + 1).cast("int"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """docs: (id, t). Each row PLANTINGS times with a span put in after one of its first words: (id, k, t, s, e, positive)."""
+    df = docs.select("id", "t", F.explode(F.sequence(F.lit(0), F.lit(PLANTINGS - 1))).alias("k"))
+    h = lambda n: F.xxhash64("id", "k", F.lit(n))
+    number = lambda n, width: F.lpad(F.pmod(h(n), F.lit(10**width)).cast("string"), width, "0")
+    d = F.concat(number(1, 9), number(2, 9), number(3, 9))
+    cut = lambda *sizes: [F.substring(d, 1 + sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+    joined = lambda sep, parts: F.concat_ws(sep, *parts)
+    # A card number with its check digit, and one whose check digit is wrong.
+    body = F.concat(F.lit("4"), F.substring(d, 1, 14))
+    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
+    fours = lambda c: [F.substring(c, k, 4) for k in (1, 5, 9, 13)]
+    right = fours(F.concat(body, check.cast("string")))
+    wrong = fours(F.concat(body, ((check + 1 + F.pmod(h(4), F.lit(8))) % 10).cast("string")))
+    parts = [F.pmod(h(5 + k), F.lit(256)).cast("string") for k in range(4)]
+    name = F.concat(_pick(h(9), "anna", "j.smith", "info", "kontakt", "maria_p", "office", "karl"), _pick(h(10), F.lit(""), F.substring(d, 1, 2)))
+    site, top = _pick(h(11), "example", "mail", "web-box", "uni", "corp", "firma"), _pick(h(12), "com", "org", "de", "net")
+    address = lambda at, dot: F.concat(name, F.lit(at), site, F.lit(dot), top)
+    country, area = _pick(h(13), "49", "1", "44", "33"), F.substring(d, 1, 3)
+    spans = {
+        "email": _pick(h(20), address(" at ", " dot "), address("(at)", "(dot)"), address(" [at] ", " [dot] "), address(" @ ", "."), address("{at}", "."), address("[at]", ".")),
+        "ip": _pick(h(20), *[joined(x, parts) for x in (" . ", "[.]", "(.)")]),
+        "card": _pick(h(20), *[joined(x, right) for x in ("/", ".", " - ", "_", "  ", " / ")]),
+        "phone": _pick(
+            h(20), F.concat(F.lit("00"), country, F.lit(" "), joined(" ", cut(3, 3, 4))), F.concat(F.lit("(0"), area, F.lit(") "), joined("-", cut(3, 3)[1:] + [number(4, 4)])), F.concat(F.lit("0"), area, F.lit("/"), number(3, 7)),
+            joined("-", cut(3, 3, 4)), joined(".", cut(3, 3, 4)), joined(" ", cut(3, 3, 4)), F.concat(F.lit("("), area, F.lit(") "), joined("-", cut(3, 3, 4)[1:])), F.concat(F.lit("0"), number(2, 3), F.lit(" "), number(3, 7)),
+        ),
+    }
+    cues = {
+        "email": ("mail: ", "write to ", "contact ", "reach me: "), "ip": ("host ", "server ", "from ", "address "),
+        "card": ("card ", "visa: ", "credit card no. ", "my card number is "), "phone": ("call ", "tel. ", "phone: ", "mobile ", "fax "),
+    }
+    day = F.concat(F.lit("20"), F.substring(d, 1, 2), F.lit("-0"), (F.pmod(h(14), F.lit(9)) + 1).cast("string"), F.lit("-1"), F.substring(d, 3, 1))
+    decoys = [
+        day, F.concat(day, F.lit(" 1"), F.substring(d, 5, 1), F.lit("."), F.lit("4"), F.substring(d, 6, 1), F.lit(".0"), F.substring(d, 7, 1)), F.concat(F.lit("199"), F.substring(d, 1, 1), F.lit("-200"), F.substring(d, 2, 1)),
+        *[joined(x, wrong) for x in ("/", ".", " - ", " ", "")], joined("-", [F.lit("978"), *cut(1, 2, 6, 1)]), joined(".", cut(1, 2, 2, 3, 2)), joined(".", cut(2, 4, 4, 2)), joined(" ", [joined("-", [F.substring(d, k, 1), F.substring(d, k + 1, 1)]) for k in (1, 3, 5, 7)]),
+        F.concat(joined(".", cut(1, 3, 3)), F.lit(".00")), F.substring(d, 1, 12), F.concat(F.substring(d, 1, 8), F.lit("-"), F.substring(d, 9, 8), F.lit("-"), F.substring(d, 17, 6)), joined(" . ", cut(1, 1, 1, 1, 1, 1, 1, 1)),
+        F.concat(joined(" / ", cut(2, 2, 2)), F.lit(" ("), F.substring(d, 7, 3), F.lit(")")), joined(".", [F.concat(F.lit("9"), F.substring(d, 1 + 2 * k, 2)) for k in range(4)]),
+    ]
+    kinds = [*KINDS, "none", "none", "none", "none"]
+    df = df.withColumn("kind", _pick(h(30), *kinds))
+    of = lambda found: reduce(lambda a, k: a.when(F.col("kind") == k, found[k]), KINDS[1:], F.when(F.col("kind") == KINDS[0], found[KINDS[0]]))
+    span = of(spans).otherwise(_pick(h(31), *decoys))
+    cue = of({k: _pick(h(32), "", "", "", "", *cues[k]) for k in KINDS}).otherwise(_pick(h(32), "", "", "", "", "version ", "order no. ", "score ", "isbn ", "date: ", "total ", "ref ", "since "))
+    left = F.call_function("substring_index", F.col("t"), F.lit(" "), (F.pmod(h(33), F.lit(40)) + 1).cast("int"))
+    df = df.withColumns({"x": span, "cue": cue, "left": left})
+    s = F.length("left") + 1 + F.length("cue")
+    return df.select(
+        "id", "k", F.concat("left", F.lit(" "), "cue", "x", _pick(h(34), "", "", "", ".", ",", ";"), F.substring("t", F.length("left") + 1, F.length("t"))).alias("t"),
+        s.cast("int").alias("s"), (s + F.length("x")).cast("int").alias("e"), (F.col("kind") != "none").alias("positive"),
+    )
+
+
 def fit(docs: DataFrame) -> Model | None:
-    """docs: (id, t). None if there are too few candidates of either label."""
+    """docs: (id, t). None if there are too few plantings of either label."""
     sample = docs.select("id").dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = with_candidates(with_base(docs.join(F.broadcast(sample), "id", "left_semi")))  # SAMPLE ids
-    base = F.concat(*KINDS)
-    rows = rows.select(F.explode(F.transform("wide", lambda x: F.struct(x.alias("x"), _overlaps(x, base).alias("y")))).alias("c")).select("c.y", "c.x.*")
-    broken = (F.col("date") == 1) | ((F.col("has_at") == 0) & ((F.col("n_digits") > 19) | ((F.col("n_digits") >= 16) & (F.col("luhn") == 0)) | ((F.col("dots") == 3) & (F.col("octets") == 0)) | (F.col("glued_right") == 1)))
-    rows = rows.withColumn("label", F.when(F.col("y"), 1.0).when(broken, 0.0)).dropna(subset=["label"])
-    order = F.xxhash64("v", "s", "e")
-    rows = written(rows.orderBy(order, "v").limit(CANDIDATES).withColumn("held", F.pmod(order, F.lit(3)) == 0).select("label", "held", *FEATURES).coalesce(1), "pii-candidates")
-    counts = {(r.label, r.held): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    rows = planted(docs.join(F.broadcast(sample), "id", "left_semi").dropDuplicates(["id"]))  # SAMPLE ids
+    # The candidates on the planted span; all others have no label.
+    rows = with_candidates(rows).withColumn("wide", F.filter("wide", lambda x: (x["s"] < F.col("e")) & (F.col("s") < x["e"])))
+    first = F.array_sort("wide", lambda a, b: (b["e"] - b["s"]) - (a["e"] - a["s"]))[0]
+    held = F.pmod(F.xxhash64("id", "k", F.lit(99)), F.lit(3)) == 0
+    rows = rows.select("id", "k", "positive", held.alias("held"), F.when(F.size("wide") > 0, first).alias("x")).select("id", "k", F.col("positive").cast("double").alias("label"), "held", F.col("x").isNotNull().alias("proposed"), "x.*").drop("s", "e", "v")
+    rows = written(rows.orderBy(F.xxhash64("id", "k"), "id", "k").coalesce(1), "pii-plantings")  # PLANTINGS * SAMPLE rows of numbers
+    counts = {(r.label, r.held): r["count"] for r in rows.filter("proposed").groupBy("label", "held").count().collect()}
     if len(counts) < 4 or min(counts.values()) < 10:
         return None
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.filter("proposed"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, labelCol="label", cacheNodeIds=False).fit(data.filter(~F.col("held")))
-    held = model.transform(data.filter("held")).select("label", vector_to_array("rawPrediction")[1].alias("margin")).toPandas()  # CANDIDATES rows at most
+    held = model.transform(data.filter("held")).select("label", vector_to_array("rawPrediction")[1].alias("margin")).toPandas()  # a third of them
+    wanted = rows.filter("held AND label = 1").count()
     held = held.sort_values("margin", ascending=False)
-    right = held["label"].cumsum() / range(1, len(held) + 1)
-    good = held["margin"][(right >= PRECISION) & (held["margin"] != held["margin"].shift(-1))]
+    right = held["label"].cumsum()
+    precision = right / range(1, len(held) + 1)
+    good = held[(precision >= PRECISION) & (held["margin"] != held["margin"].shift(-1))].index
     if not len(good):
         return None
+    last = good[-1]
     # The margin is the weighted sum of the trees.
-    return Model(*_parsed(model.toDebugString), max(0.0, float(good.min())) - 1e-9)
+    return Model(*_parsed(model.toDebugString), float(held["margin"][last]) - 1e-9, float(precision[last]), float(right[last]) / wanted)
 
 
 def with_spans(docs: DataFrame, model: Model | None) -> DataFrame:
