@@ -34,7 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that written() made and that no frame still to be computed reads."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            to = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(to, True)
 
 
 def n_words(text: Column) -> Column:

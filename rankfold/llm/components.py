@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,4 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = state
-        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
+        large = written(_large_star(edges), "edges")
+        small = written(_small_star(large), "edges")
+        discard(edges, large)
+        edges = small

@@ -8,10 +8,10 @@ group grows with the data, however many copies a text has (grouped()).
 
 Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that can be enumerated. For a stated
 similarity of five-word shingle sets (near_grouped()) every distinct set therefore has BANDS short fingerprints of
-NEAR_BITS bits from independent hashes, each hashed by the same balls of radius 1; colliding pairs are deduplicated and
-verified on the whole sets, and groups are the components of the verified links. One band goes first, so that large
-families are one component before the others pair what still is apart; each set meets its neighbour in a bucket in the
-order of another fingerprint. A link is found if any band lies within two bits: at a similarity of exactly 0.8 that is
+NEAR_BITS bits from independent hashes, each hashed by the same balls of radius 1; colliding pairs are deduplicated,
+tested on all their fingerprint bits, and verified on the whole sets; groups are the components of the verified links.
+One band goes first, so that large families are one component before the others pair what still is apart; each set
+meets its neighbour in a bucket, never all of it. A link is found if any band lies within two bits: at a similarity of exactly 0.8 that is
 97 of 100, more above (README has measured figures).
 
 Edge cases: a null text is an empty one; texts without words have fingerprint 0 and are linked like any others; a text
@@ -22,6 +22,7 @@ columns are ignored or carried along, whatever their names and types.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -31,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import discard, ship, written
 from .components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: For near copies by similarity: words of a shingle, the least similarity, and short fingerprints of so many bits.
 NEAR_SHINGLE, SIMILARITY, BANDS, NEAR_BITS = 5, 0.8, 12, 28
+#: Standard deviations by which all fingerprints of a pair may differ more than expected before its sets aren't compared.
+SPREAD = 5.0
 #: Hashes that are unpacked to bits at once.
 BLOCK = 1 << 14
 
@@ -148,7 +151,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _sketched(docs: DataFrame, kind: str, shingle: int, n_bands: int, bits: int) -> DataFrame:
-    """docs: (id, th, t). With the set's id s, its size n, short fingerprints, and its members as bytes."""
+    """docs: (id, th, t). With the set's id s, its size n, short fingerprints, and its members as 32-bit hashes."""
 
     def run(batches):
         for batch in batches:
@@ -157,36 +160,44 @@ def _sketched(docs: DataFrame, kind: str, shingle: int, n_bands: int, bits: int)
                 sets = [shingles(t.as_py(), shingle) for t in part.column("t").cast(pa.binary())]
                 cols = [
                     pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bands(s, n_bands, bits) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([bands(s, n_bands, bits) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *cols], names=["id", "th", "s", "n", "bands", "members"])
 
     return docs.mapInArrow(run, f"id {kind}, th long, s long, n long, bands array<long>, members binary")
 
 
-def _colliding(nodes: DataFrame, first: int, last: int, bits: int, similarity: float) -> DataFrame:
-    """nodes: (s, n, r, bands). (a, b): neighbours in a bucket of bands first to last - 1 that differ in r and may be similar."""
-    # x: band, variant, and the bits of the next band, by which a bucket is ordered.
-    band = lambda k: F.transform(variants(F.element_at("bands", k + 1), bits), lambda v: F.shiftleft(v + (k << bits), bits) + F.element_at("bands", (k + 1) % BANDS + 1))
-    near = nodes.select("s", "n", "r", F.explode(F.concat(*[band(k) for k in range(first, last)])).alias("x"))
-    order = W.partitionBy(F.shiftright("x", bits)).orderBy("x", "s")
-    pairs = near.select("s", "n", "r", *[F.lag(c).over(order).alias(c + "0") for c in ("s", "n", "r")]).filter((F.col("r") != F.col("r0")) & (F.least("n", "n0") >= F.greatest("n", "n0") * F.lit(similarity) - F.lit(1e-9)))
-    return pairs.select(F.least("s", "s0").alias("a"), F.greatest("s", "s0").alias("b")).distinct()
+def _colliding(nodes: DataFrame, first: int, last: int, bits: int) -> DataFrame:
+    """nodes: (k, bands). (a, b): distinct pairs of neighbours in a bucket of bands first to last - 1."""
+    band = lambda j: F.transform(variants(F.element_at("bands", j + 1), bits), lambda v: v + (j << bits))
+    near = nodes.select("k", F.explode(F.concat(*[band(j) for j in range(first, last)])).alias("x"))
+    chain = near.select(F.lag("k").over(W.partitionBy("x").orderBy("k")).alias("a"), F.col("k").alias("b")).filter(F.col("a").isNotNull())
+    return chain.distinct()
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of sets that are similar; only sets that are in a pair are shuffled."""
-    pairs = written(pairs, "simhash-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    sets = written(sketches.select("s", "members").join(nodes, "s", "left_semi").groupBy("s").agg(F.first("members").alias("m")), "simhash-sets")
+def _apart(a: str, b: str):
+    """Bits in which the short fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarity: float, most: int) -> DataFrame:
+    """The pairs (a, b) of nodes (k, s, n, r, bands) in different components r that are similar. Sets are only shuffled
+    for pairs that differ in `most` fingerprint bits at most."""
+    side = lambda c: nodes.select(F.col("k").alias(c), *[F.col(x).alias(c + x) for x in ("s", "n", "r", "bands")])
+    far = (F.col("ar") == F.col("br")) | (F.least("an", "bn") < F.greatest("an", "bn") * F.lit(similarity) - F.lit(1e-9)) | (_apart("abands", "bbands") > most)
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far).select(F.col("as").alias("a"), F.col("bs").alias("b")), "simhash-pairs")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    sets = written(sketches.select("s", "members").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("members").alias("m")), "simhash-sets")
 
     def compare(batches):
         for batch in batches:
-            sides = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("x", "y")]
+            sides = [[np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in ("x", "y")]
             yield batch.select(["a", "b"]).filter(pa.array([alike(x, y, similarity) for x, y in zip(*sides, strict=True)], pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("s").alias("a"), F.col("m").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("m").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "simhash-links")
+    joined = near.join(sets.select(F.col("s").alias("a"), F.col("m").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("m").alias("y")), "b")
+    links = written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "simhash-links")
+    discard(near, sets)
+    return links
 
 
 def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, n_bands: int = BANDS, bits: int = NEAR_BITS) -> DataFrame:
@@ -194,18 +205,25 @@ def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     More bands find more links; more bits keep strangers out of the buckets (each has distinct texts * bits / 2^bits).
     """
-    if not 0 < similarity <= 1 or shingle < 1 or not 2 <= n_bands <= 64 or not 8 <= bits <= 28:
-        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least; 2 to 64 bands of 8 to 28 bits")
+    if not 0 < similarity <= 1 or shingle < 1 or not 2 <= n_bands <= 64 or not 8 <= bits <= 32:
+        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least; 2 to 64 bands of 8 to 32 bits")
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     sketches = written(_sketched(d, dict(d.dtypes)["id"], shingle, n_bands, bits), "simhash-sketches")
-    nodes = written(sketches.groupBy("s").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "simhash-nodes")
-    links = _verified(_colliding(nodes.withColumn("r", F.col("s")), 0, 1, bits, similarity), sketches, similarity)
+    # Short numbers k for the sets keep the rows of the one large shuffle small.
+    nodes = sketches.groupBy("s").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("k", F.monotonically_increasing_id()), "simhash-nodes")
+    # Bits in which sets of the least similarity may differ: expected by the angle between them, and some deviations more.
+    p, total = math.acos(2 * similarity / (1 + similarity)) / math.pi, n_bands * bits
+    most = math.ceil(p * total + SPREAD * math.sqrt(p * (1 - p) * total))
+    rooted = nodes.withColumn("r", F.col("s"))
+    links = _verified(_colliding(nodes, 0, 1, bits), rooted, sketches, similarity, most)
     roots = components(links).select(F.col("node").alias("s"), F.col("root").alias("r"))
-    rooted = nodes.join(roots, "s", "left").select("s", "n", "bands", F.coalesce("r", "s").alias("r"))
-    more = _verified(_colliding(rooted, 1, n_bands, bits, similarity), sketches, similarity)
+    rooted = nodes.join(roots, "s", "left").select("k", "s", "n", "bands", F.coalesce("r", "s").alias("r"))
+    more = _verified(_colliding(nodes, 1, n_bands, bits), written(rooted, "simhash-rooted"), sketches, similarity, most)
     roots = components(links.unionByName(more)).select(F.col("node").alias("s"), F.col("root").alias("r"))
     found = written(sketches.select("id", "th", "s").join(roots, "s", "left").select("id", "th", F.coalesce("r", "s").alias("fp")), "simhash-docs")
+    discard(sketches, nodes, links, more)
     least = found.groupBy("fp").agg(F.min("id").alias("component"))
     return found.join(least, "fp").select("id", "th", "fp", "component")
 
