@@ -1,10 +1,15 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding lower-cases, strips accents and invisible marks, and maps homoglyphs and digit substitutions to Latin
-letters. The lexicon is learned from labelled training rows: a word's weight is the lower bound of its log odds,
-counted over distinct contexts (previous word), so copies of one text count once. Two-word phrases that hold a
-lexicon word but occur in clean contexts are exceptions and cancel the match inside. A logistic curve over the
-matched weight, its density by length, and the length calibrates the score.
+letters. The lexicon is learned from labelled training rows: whole words, and stems (the first letters of words, for
+languages that inflect), weighted by the lower bound of their log odds, counted over distinct contexts (previous word),
+so copies of one text count once; a stem needs several words. At each word the greatest weight that matches counts.
+Two-word phrases that hold a lexicon word common in clean rows, occur in several clean rows and in no toxic row, are
+exceptions and cancel the match inside. A logistic curve over the matched weight, its density by length, how many and
+how many different words match, and the length calibrates the score.
+
+Nothing of the lexicon is cut off: entries and exceptions are bounded by the words of the labelled sample (each needs
+SUPPORT contexts, or REPEATS rows), whose rows are bounded by SAMPLE. LIMIT checks the size before the broadcast.
 
 Edge cases: null and empty texts get the score of a text without matches; without training rows of both kinds
 the lexicon is empty and all scores are equal; a null id is never held out; an empty table gives an empty
@@ -24,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import discard, ship, written
 
-#: Labelled training rows used at most, in the order of a hash of their id; entries of lexicon and exceptions at most.
-SAMPLE, ENTRIES = 12_000, 2_000
+#: Labelled training rows used at most, in the order of a hash of their id.
+SAMPLE = 12_000
+#: Contexts that an entry needs among toxic rows, clean rows that an exception needs, lengths of stems, words of a stem,
+#: least weight, and entries that are broadcast at most (more raise an error instead of being dropped).
+SUPPORT, REPEATS, STEMS, KIN, LEAST, LIMIT = 5, 2, range(4, 9), 4, 1.0, 1_000_000
 
 #: Look-alikes of Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "з": "3", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g"}
@@ -75,37 +83,52 @@ def _spellings(entry: str) -> list[str]:
 
 
 class Lexicon:
+    """weights: by word, or by stem with a star at its end."""
+
     def __init__(self, weights: dict[str, float], exceptions: set[str]):
         self.machine = ahocorasick.Automaton()
+        # A word and a stem may be spelled alike: whole word's weight, stem's weight, exception.
+        found: dict[str, list] = {}
         for e in sorted(exceptions):
             for s in _spellings(e):
-                self.machine.add_word(s, (len(s), None))
+                found.setdefault(s, [None, None, False])[2] = True
         for e, w in sorted(weights.items()):
-            for s in _spellings(e):
-                if s not in self.machine:
-                    self.machine.add_word(s, (len(s), w))
+            stem = e.endswith("*")
+            for s in _spellings(e.rstrip("*")):
+                slot = found.setdefault(s, [None, None, False])
+                slot[stem] = max(slot[stem] or 0.0, w)
+        for s, (word, stem, free) in found.items():
+            self.machine.add_word(s, (len(s), word, stem, free))
         if len(self.machine):
             self.machine.make_automaton()
 
-    def weigh(self, text: str) -> tuple[float, int]:
-        """The matched weight of whole words outside exception phrases, and the number of words."""
+    def weigh(self, text: str) -> tuple[float, int, int, int]:
+        """The matched weight outside exception phrases, the matches, the different matching words, and the number of words."""
         n = len(text.split())
         if not len(self.machine):
-            return 0.0, n
+            return 0.0, 0, 0, n
         t = fold(text)
-        found, free = [], []
-        for end, (k, w) in self.machine.iter(t):
+        found: dict[int, float] = {}
+        free = []
+        for end, (k, word, stem, exempt) in self.machine.iter(t):
             a, b = end - k + 1, end + 1
-            if (a and t[a - 1].isalpha()) or (b < len(t) and t[b].isalpha()):
+            if a and t[a - 1].isalpha():
                 continue
-            (free if w is None else found).append((a, b, w))
+            whole = b >= len(t) or not t[b].isalpha()
+            if exempt and whole:
+                free.append((a, b))
+            w = max(word if word is not None and whole else 0.0, stem or 0.0)
+            if w > found.get(a, 0.0):
+                found[a] = w
         if free:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in free)]
-        return float(sum(x[2] for x in found)), n
+            found = {a: w for a, w in found.items() if not any(x <= a < y for x, y in free)}
+        different = {_LETTERS.match(t, a)[0] for a in found}
+        return float(sum(found.values())), len(found), len(different), n
 
 
-def inputs(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(weight)), weight > 0, np.log1p(weight), np.log1p(100 * weight / np.maximum(words, 1)), np.log1p(words) / 10])
+def inputs(weight: np.ndarray, hits: np.ndarray, different: np.ndarray, words: np.ndarray) -> np.ndarray:
+    n = np.maximum(words, 1)
+    return np.column_stack([np.ones(len(weight)), weight > 0, np.log1p(weight), np.log1p(100 * weight / n), np.log1p(hits), np.log1p(different), np.log1p(100 * hits / n), np.log1p(words) / 10])
 
 
 def _odds(a: float, b: float, ta: float, tb: float) -> float:
@@ -127,26 +150,34 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], set[str]]:
     def run(batches):
         for batch in batches:
-            rows = set()
+            rows = []
             for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 words = _LETTERS.findall(fold(t or ""))
-                rows.update((w, before, bool(y)) for before, w in zip(["", *words], words, strict=False) if 3 <= len(w) <= 24)
+                rows += {(w, before, bool(y)) for before, w in zip(["", *words], words, strict=False) if 3 <= len(w) <= 24}
             w, before, y = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(before, pa.string()), pa.array(y, pa.bool_())], names=["w", "before", "y"])
 
-    seen = train.mapInArrow(run, "w string, before string, y boolean").groupBy("w", "before").agg(F.max("y").alias("bad"), F.max(~F.col("y")).alias("good"))
-    counts = seen.groupBy("w").agg(F.count_if("bad").alias("a"), F.count_if("good").alias("b"))
-    ta, tb = seen.agg(F.count_if("bad"), F.count_if("good")).first()
-    rows = counts.filter((F.col("a") >= 5) & (F.col("a") > F.col("b"))).orderBy(F.desc(F.col("a") / (F.col("b") + 1)), "w").limit(4 * ENTRIES).collect()
-    scored = sorted(((_odds(r.a, r.b, ta, tb), r.w) for r in rows), key=lambda x: (-x[0], x[1]))
-    weights = {w: o for o, w in scored[:ENTRIES] if o > 1.0}
-    if not weights:
-        return {}, set()
-    clean = seen.filter(F.col("w").isin(*weights) & F.col("good") & ~F.col("bad") & (F.col("before") != ""))
-    # A phrase is an exception if clean rows have it and toxic rows never do, and the word is common in clean rows.
-    often = {r.w for r in rows if r.b >= 3}
-    phrases = clean.select("before", "w").orderBy("w", "before").limit(ENTRIES).collect() if often else []
-    return weights, {f"{r.before} {r.w}" for r in phrases if r.w in often}
+    rows = train.mapInArrow(run, "w string, before string, y boolean").groupBy("w", "before").agg(F.max("y").alias("bad"), F.max(~F.col("y")).alias("good"), F.count_if(~F.col("y")).alias("n"))
+    seen = written(rows, "toxicity-contexts")
+    counts = written(seen.groupBy("w").agg(F.count_if("bad").alias("a"), F.count_if("good").alias("b")), "toxicity-words")
+    ta, tb = (x or 0 for x in counts.agg(F.sum("a"), F.sum("b")).first())
+    stems = counts.select(F.explode(F.array(*[F.when(F.char_length("w") > k, F.substring("w", 1, k)) for k in STEMS])).alias("w"), "a", "b").dropna(subset=["w"])
+    stems = stems.groupBy(F.concat("w", F.lit("*")).alias("w")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("kin")).filter(F.col("kin") >= KIN).drop("kin")
+    fit = counts.unionByName(stems).filter((F.col("a") >= SUPPORT) & (F.col("a") > F.col("b") * F.lit(ta / max(tb, 1))))
+    rows = fit.orderBy("w").limit(LIMIT + 1).collect()
+    if len(rows) > LIMIT:
+        raise ValueError("the lexicon has too many entries to broadcast: raise SUPPORT or lower SAMPLE")
+    weights = {r.w: o for r in rows if (o := _odds(r.a, r.b, ta, tb)) > LEAST}
+    often = [r.w for r in rows if r.w in weights and r.b >= 3]
+    if not often:
+        return weights, set()
+    words = train.sparkSession.createDataFrame([(w,) for w in often], "w string")
+    clean = seen.filter(F.col("good") & ~F.col("bad") & (F.col("before") != "") & (F.col("n") >= REPEATS)).join(words, "w", "left_semi")
+    phrases = clean.select(F.concat_ws(" ", "before", "w")).limit(LIMIT + 1).collect()
+    if len(phrases) > LIMIT:
+        raise ValueError("too many exception phrases to broadcast: raise REPEATS or lower SAMPLE")
+    discard(seen, counts)
+    return weights, {p[0] for p in phrases}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -161,14 +192,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
+WEIGHED = ("weight", "hits", "different", "words")
+
+
 def _weighed(df: DataFrame, keep: str, kind: str, lexicon) -> DataFrame:
     def run(batches):
         machine = Lexicon(*lexicon.value)
         for batch in batches:
             got = [machine.weigh(t or "") for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=[keep, "weight", "words"])
+            cols = list(zip(*got, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(cols[0], pa.float64()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[keep, *WEIGHED])
 
-    return df.select(keep, "t").mapInArrow(run, f"{keep} {kind}, weight double, words long")
+    return df.select(keep, "t").mapInArrow(run, f"{keep} {kind}, weight double, hits long, different long, words long")
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
@@ -176,15 +211,17 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     train = training(docs, labels, id_col, text_col, label_col)
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(train))  # at most ENTRIES of each kind
-    rows = _weighed(train, "y", dict(train.dtypes)["y"], lexicon).limit(2 * SAMPLE).toPandas()
+    lexicon = spark.sparkContext.broadcast(learn_lexicon(train))
+    rows = _weighed(train, "y", dict(train.dtypes)["y"], lexicon).toPandas()  # SAMPLE labels, as often as their id is repeated
+    rows = rows.sort_values(["y", *WEIGHED])  # sums don't depend on the order of partitions
     y = rows["y"].to_numpy(float)
-    x = inputs(rows["weight"].to_numpy(float), rows["words"].to_numpy(float))
-    w = logistic(x, y) if 0 < y.sum() < len(y) else np.zeros(5)
+    x = inputs(*(rows[c].to_numpy(float) for c in WEIGHED))
+    w = logistic(x, y) if 0 < y.sum() < len(y) else np.zeros(x.shape[1])
     c = [float(v) for v in w]
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     d = _weighed(d, "id", dict(d.dtypes)["id"], lexicon)
     hit, n = F.col("weight"), F.greatest(F.col("words"), F.lit(1))
-    z = F.lit(c[0]) + c[1] * (hit > 0).cast("double") + c[2] * F.log1p(hit) + c[3] * F.log1p(100 * hit / n) + c[4] * F.log1p(F.col("words").cast("double")) / 10
+    z = F.lit(c[0]) + c[1] * (hit > 0).cast("double") + c[2] * F.log1p(hit) + c[3] * F.log1p(100 * hit / n) + c[4] * F.log1p(F.col("hits").cast("double"))
+    z = z + c[5] * F.log1p(F.col("different").cast("double")) + c[6] * F.log1p(100 * F.col("hits") / n) + c[7] * F.log1p(F.col("words").cast("double")) / 10
     d = d.withColumn("score", 1 / (1 + F.exp(-z)))
     return d.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

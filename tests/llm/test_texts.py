@@ -106,7 +106,36 @@ def test_lexicon_and_exceptions():
     x = toxicity.Lexicon({"clown": 2.0, "idiot": 3.0}, {"class clown"})
     assert x.weigh("You c1own! 1d10t, i d")[0] == 5.0
     assert x.weigh("the class clown and clowns")[0] == 0.0
-    assert x.weigh("")[1] == 0 and toxicity.Lexicon({}, set()).weigh("a b") == (0.0, 2)
+    assert x.weigh("")[3] == 0 and toxicity.Lexicon({}, set()).weigh("a b") == (0.0, 0, 0, 2)
+    y = toxicity.Lexicon({"clown": 2.0, "clow*": 1.0, "idiot*": 3.0}, {"class clown"})
+    assert y.weigh("clown clowny clow idiotic 1diots class clown, xidiot") == (2.0 + 1.0 + 1.0 + 3.0 + 3.0, 5, 5, 8)
+
+
+@given(st.lists(st.sampled_from("ab abc abcd bc b.c ABC a8c xab the_ab the ab! 4b".split()), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_matcher_against_brute_force(words):
+    """Word by word: the greatest weight of the word itself or of a stem, unless the word ends an exception."""
+    weights, exceptions = {"abc": 5.0, "ab*": 2.0, "bc": 1.0, "abcd*": 7.0}, {"the ab", "xab bc"}
+    text = " ".join(words)
+    folded = toxicity.fold(text)
+    found = [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]+", folded)]
+    free = [(m.start(), m.end()) for e in exceptions for m in re.finditer(rf"(?<![^\W\d_]){e}(?![^\W\d_])", folded)]
+    total, hits = 0.0, []
+    for at, w in found:
+        best = max([x for e, x in weights.items() if (w.startswith(e[:-1]) if e.endswith("*") else w == e)], default=0.0)
+        if best and not any(a <= at < b for a, b in free):
+            total += best
+            hits.append(w)
+    assert toxicity.Lexicon(weights, exceptions).weigh(text) == (total, len(hits), len(set(hits)), len(text.split()))
+
+
+def test_lexicon_is_learned_whole(spark):
+    """Words, stems and exception phrases of planted rows; no phrase is cut off, whatever its place in the alphabet."""
+    rows = [(f"{story(k, 12)} clown {story(k + 500, 6)} zorgish{'abcdefgh'[k % 8]}q {story(k + 900, 3)}", 1) for k in range(40)]
+    rows += [(f"{story(k + 2000, 30)} {p} clown {story(k + 3000, 5)}", 0) for k in range(3) for p in ("class", "zirkus", "birthday")] + [(story(k + 5000, 40), 0) for k in range(80)]
+    weights, exceptions = toxicity.learn_lexicon(spark.createDataFrame(rows, "t string, y int"))
+    assert {"clown", "zorgish*"} <= set(weights) and exceptions == {"class clown", "zirkus clown", "birthday clown"}
+    assert toxicity.learn_lexicon(spark.createDataFrame([], "t string, y int")) == ({}, set())
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
@@ -116,7 +145,7 @@ def test_toxicity_on_held_out_rows(spark, sf):
     held = got.filter("held_out").join(labels, "doc_id").toPandas()
     precision = held[held.predicted == 1].toxic.mean()
     recall = held[held.toxic == 1].predicted.mean()
-    assert precision > 0.95 and recall > 0.85
+    assert precision > 0.95 and recall >= 0.9
     # Labels of held-out rows don't matter.
     turned = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert sorted(tuple(r) for r in toxicity.scored(docs, turned).collect()) == sorted(tuple(r) for r in got.collect())
