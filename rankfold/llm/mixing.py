@@ -10,7 +10,7 @@ the only rows that are sorted within a source are those of the one bucket that h
 
 Edge cases: a null or empty text has 0 words and is never taken; a null source is a source of its own, last;
 rows with equal id and text share one random number and are taken or left together; an empty table gives an
-empty result; further columns are carried along unread.
+empty result; further columns are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,9 +128,10 @@ def decisions(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_co
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix: each row as often as it is taken, with the columns it came with."""
-    names = docs.columns
-    ready = _prepared(docs, id_col, text_col, source_col, mix)
+    # The caller's columns stay in one struct, so their names don't matter.
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
+    ready = _prepared(own, "id", "t", "s", mix).drop("id", "t", "s")
     slim = written(ready.select("__key", "__size", "__h"), "mix-docs")
     plan = fit(slim, mix).select("__key", "__rate", "__cut", "__last")
     taken = with_copies(ready, plan, mix).filter(F.col("__copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")

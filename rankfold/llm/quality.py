@@ -7,7 +7,7 @@ statistics of all documents. Only documents that a rule of high precision covers
 
 Edge cases: a null text is an empty one (no words, so it fails the base rule); without labelled rows of both
 kinds the list is empty and the base rule alone decides; repeated rows are judged alike; an empty table gives an
-empty result; further columns are carried along or ignored.
+empty result; further columns are carried along or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -197,5 +197,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that pass, with their columns."""
     rules = fit(docs, labels, id_col, text_col)
-    d = with_statistics(docs, text_col, "__q_")
-    return d.filter(~base_failed("__q_") & ~rejected(rules, "__q_")).select(*docs.columns)
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    d = with_statistics(docs, text_col, prefix)
+    return d.filter(~base_failed(prefix) & ~rejected(rules, prefix)).select(*[f"`{c}`" for c in docs.columns])

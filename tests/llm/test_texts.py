@@ -159,9 +159,13 @@ def test_toxicity_edges(edges, edge_rows, nothing, labels):
 
 
 def test_pipeline(spark, sf):
+    """Every stage against its operator or brute force on what the stage before kept."""
     import corpus_pipeline as p
+    from rankfold.llm import decontamination
     from rankfold.llm.common import written
 
+    from .test_similar import slow_groups
+
     assert [n for n, _ in p.STAGES] == ["quality_rules", "near_duplicates", "decontaminate", "mix_sources", "shard"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     given = docs
@@ -176,11 +180,28 @@ def test_pipeline(spark, sf):
     quality_in, quality_out = seen[0][1], seen[0][2]
     kept = {r.doc_id for r in quality.judged(quality_in, spark.read.parquet(f"{sf}/labels.parquet")).filter("kept").collect()}
     assert {r.doc_id for r in quality_out.collect()} == kept
-    from rankfold.llm import decontamination, simhash
-
-    groups = simhash.components_of(seen[1][1]).collect()
-    assert {r.doc_id for r in seen[1][2].collect()} == {r.component_id for r in groups}
+    # The stage takes five-word shingles and a similarity of 0.8 or more.
+    rows = sorted((r.doc_id, r.text) for r in seen[1][1].select("doc_id", "text").collect())
+    assert sorted(r.doc_id for r in seen[1][2].collect()) == sorted({rows[k][0] for k in slow_groups([t for _, t in rows])})
     leaked = {r.doc_id for r in decontamination.contaminations(seen[2][1], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in seen[2][2].collect()} == {r.doc_id for r in seen[2][1].collect()} - leaked
     assert seen[3][2].count() == seen[4][2].count()
     assert p.run(spark, sf).count() == seen[4][2].count()
+
+
+CLASHES = ("__th", "__key", "__z", "__h", "__size", "__copies", "__q_n_words", "q_n_words", "_q_x", "row", "nth", "kid", "law", "slot", "shard", "bucket")
+
+
+def test_pipeline_edges(spark, sf, edges, nothing):
+    """Nulls, ties, repeated rows, empty tables, and columns with the names that stages use themselves."""
+    import corpus_pipeline as p
+
+    for docs in (edges, nothing):
+        docs = docs.select("*", *[F.lit("mine").alias(c) for c in CLASHES])
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert all(r[c] == "mine" for r in rows for c in CLASHES)
+            docs = spark.createDataFrame(rows, docs.schema)
+        assert p.STAGES[-1][1](spark, docs, sf).count() == docs.count()
