@@ -5,8 +5,11 @@ strings that byte-pair merges found frequent; as many as the vocabulary has, wha
 on the driver and broadcast. What misses it goes through a cache of bounded size in each Python worker, and only
 what misses both is encoded, a batch of unique pre-tokens at a time. Nothing is shuffled.
 
-The library decides in all cases: at start the pre-token pattern is held against the library's own pre-tokenizer,
-and texts with code points on which they might differ are encoded whole by the library.
+The library decides in all cases. Texts of common code points are cut by the published pattern of byte-level
+vocabularies, all others by the library's own pre-tokenizer; either way pre-tokens go through both tiers. When a worker
+starts, the pattern is held against the library's pre-tokenizer, and the sums over pre-tokens against whole encodings,
+on PROBES: if the pattern differs, the library cuts all texts; if sums differ (a normalizer, a prefix space), or a text
+holds a special string, texts are encoded whole.
 
 Edge cases: null is an empty text, 0 tokens; special strings in a text count as the one token that the library's
 default makes of them; an empty table gives an empty result; repeated rows repeat; further columns are ignored.
@@ -14,6 +17,7 @@ default makes of them; an empty table gives an empty result; repeated rows repea
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pyarrow as pa
@@ -25,11 +29,12 @@ from .common import ship
 
 #: Fixed value: the published pre-token pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points for which pattern and library are known to agree; others go to the library whole.
+#: Code points on which pattern and library are known to agree; texts with others are cut by the library.
 SAFE = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞€]*")
-CACHE = 400_000
-#: Characters of unsafe or odd text that are encoded in one call.
-LIMIT = 40
+#: Entries of a worker's cache; the older half goes when it is full.
+CACHE = 200_000
+#: Fixed texts on which pattern, pre-tokens and library are compared at start.
+PROBES = ["I'll say: it's 3 o'clock, they've 12,345.67 €!", "  two  spaces\n\n\tand tabs \r\n", "Über größe naïve Привет Ωμέγα", "x_y-z/@#$%^&*()[]{}<>|~` \u2014 \u2026 ", "camelCase HTML5 a1b2 \u00a0nbsp", " leading", "trailing ", "a", " ", "don't CAN'T we're"]
 
 _state: dict[str, "Counter"] = {}
 
@@ -60,20 +65,29 @@ class Counter:
         with open(self.path, encoding="utf-8") as f:
             added = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.cut = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN).findall
+        pre = self.tok.pre_tokenizer
+        self.library = (lambda t: [t[a:b] for _, (a, b) in pre.pre_tokenize_str(t)]) if pre is not None else None
+        self.whole = self.library is None or self.tok.normalizer is not None
+        self.agrees = not self.whole and all(self.library(t) == self.pattern(t) for t in PROBES)
+        self.whole = self.whole or any(self.count(t) != self._whole(t) for t in PROBES)
+
+    def _whole(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _misses(self, pieces: list[str]) -> None:
         if len(self.seen) + len(pieces) > CACHE:
-            self.seen.clear()
+            for old in list(itertools.islice(self.seen, len(self.seen) // 2 + 1)):
+                del self.seen[old]
         for p, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.seen[p] = len(e.ids)
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if (self.special and self.special.search(text)) or not SAFE.fullmatch(text):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
-        pieces = self.cut(text)
+        if self.whole or (self.special and self.special.search(text)):
+            return self._whole(text)
+        pieces = self.pattern(text) if self.agrees and SAFE.fullmatch(text) else self.library(text)
         frequent, seen = self.frequent, self.seen
         n, rest = 0, []
         for p in pieces:

@@ -96,6 +96,19 @@ def test_small_cache_still_counts_right(monkeypatch):
     assert c.count(t) == len(c.tok.encode(t, add_special_tokens=False).ids)
 
 
+def test_all_code_points_go_through_both_tiers(monkeypatch):
+    """No text but one with special strings is encoded whole; another pre-tokenizer falls back to the library's cuts."""
+    c = tokens.Counter("byte_bpe_50k.json", {})
+    assert c.agrees and not c.whole
+    texts = [t for t in TEXTS if t and "<|" not in t] + ["\U0001f600\U0001f601 日本語 ก็ ٣٤ ½ ² \u200b\u3000x\x85y", "a\u0301 e\u0308" * 50]
+    want = [c._whole(t) for t in texts]
+    monkeypatch.setattr(c, "_whole", None)
+    assert [c.count(t) for t in texts] == want
+    monkeypatch.setattr(tokens, "PATTERN", r"\\S+|\\s+")
+    d = tokens.Counter("byte_bpe_50k.json", {})
+    assert not d.agrees and [d.count(t) for t in texts] == want
+
+
 def test_folding():
     assert toxicity.fold("ІDІ0Т") == "idiot"
     assert toxicity.fold("ｃｌｏｗｎ m0r0n l​oser") == "clown moron loser"
