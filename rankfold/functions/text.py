@@ -141,3 +141,9 @@ def is_unsafe(value: Column) -> Column:
     parent = F.exists(F.split(F.translate(v, "\\", "/"), "/"), lambda s: s == "..")
     path_like = F.contains(value, F.lit("/")) | F.contains(value, F.lit("\\"))
     return F.contains(F.lower(v), F.lit("/etc/")) | F.contains(F.lower(v), F.lit("/proc/")) | (path_like & parent)
+
+
+def capped_bytes(text: Column, most: int) -> Column:
+    """The longest start of a text that has so many UTF-8 bytes at most."""
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(text) <= most, text).otherwise(cut)

@@ -39,6 +39,25 @@ class HashingEmbedder:
         return out
 
 
+class FixedEmbedder:
+    """Vectors of known texts; others can't be embedded."""
+
+    def __init__(self, known: dict[str, list[float]]):
+        self.known, self.dims, self.version = known, len(next(iter(known.values()))), "fixed"
+
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
+        if unknown := [t for t in texts if t not in self.known]:
+            raise ValueError(f"unknown text: {unknown[0][:40]}")
+        return [np.array(self.known[t]) for t in texts]
+
+
+def _alone(embedder: Embedder, text: str) -> np.ndarray:
+    try:
+        return embedder.embed([text])[0]
+    except ValueError:
+        return np.zeros(embedder.dims)
+
+
 def embedded(items: DataFrame, embedder: Embedder, key: str, text: str) -> DataFrame:
     """(key, embedding, version); what can't be embedded gets a zero vector, which counts as missing."""
     kind = dict(items.dtypes)[key]
@@ -49,7 +68,8 @@ def embedded(items: DataFrame, embedder: Embedder, key: str, text: str) -> DataF
             try:
                 vectors = embedder.embed(texts)
             except ValueError:
-                vectors = [np.zeros(embedder.dims) for _ in texts]
+                # One at a time: only what fails by itself counts as missing.
+                vectors = [_alone(embedder, t) for t in texts]
             yield pd.DataFrame({key: pdf[key], "embedding": [v.tolist() for v in vectors], "version": embedder.version})
 
     return items.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>, version string")
@@ -57,7 +77,8 @@ def embedded(items: DataFrame, embedder: Embedder, key: str, text: str) -> DataF
 
 def embed_missing(items: DataFrame, features: DataFrame, embedder: Embedder, key: str, text: str, cap: int | None = None) -> DataFrame:
     """The features with those of items added that had none of the embedder's version."""
-    current = features.filter(F.col("version") == embedder.version)
+    blank = F.forall("embedding", lambda x: x == 0)
+    current = features.filter((F.col("version") == embedder.version) & ~blank)  # zero vectors are tried again
     missing = items.join(current.select(key), key, "left_anti")
     if cap is not None:
         missing = missing.orderBy(key).limit(cap)

@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
+from ..sources.shared import stored
+from .features import embedded
 from .ranking import Down, global_rank
+from .search import text_chunks
 
 CLASSES = 11
 
@@ -29,6 +32,7 @@ def recency_rank(rows: DataFrame) -> DataFrame:
 
 def recommendation_score(rows: DataFrame) -> DataFrame:
     """rows: idx, path, ratings, play counts, last_played. Adds `score`: rating times skips times recency."""
+    rows = stored(rows, "rated")  # joined once, then ranked and averaged
     placed = recency_rank(rows).crossJoin(F.broadcast(mean_rating(rows)))  # one row
     rating = F.greatest(F.lit(0.1), F.coalesce("user_rating", "model_rating", "mean_rating"))
     skips = 1 / (1 + F.exp(-(5 + F.col("full_play_count") - F.col("skip_count")) / 5))
@@ -88,10 +92,34 @@ def train_test_split(rows: DataFrame, key: str = "id", share: float = 0.1, seed:
     return placed.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("__place") < F.col("__cut"), "test").otherwise("train")).drop("__u", "__place", "__cut")
 
 
-def noise_rows(like: DataFrame, n: int, dims: int, seed: int = 7) -> DataFrame:
-    """(id, features, label): n random vectors of label 0, ids below zero."""
+def noise_rows(like: DataFrame, n: int, dims: int, seed: int = 7, chunks: int = 5) -> DataFrame:
+    """(id, chunk_no, features, label): n random samples of label 0 with 1 to `chunks` vectors each, ids below zero."""
+    many = (F.floor(uniform(F.col("id"), seed) * chunks) + 1).cast("int")
+    rows = like.sparkSession.range(n).select((-1 - F.col("id")).alias("id"), F.posexplode(F.sequence(F.lit(1), many)).alias("chunk_no", "k"))
     v = F.array(*[F.randn(seed + k) for k in range(dims)])
-    return like.sparkSession.range(n).select((-1 - F.col("id")).alias("id"), v.alias("features"), F.lit(0.0).alias("label"))
+    return rows.select("id", "chunk_no", v.alias("features"), F.lit(0.0).alias("label"))
+
+
+def with_noise(rows: DataFrame, dims: int, n: int = 2000, seed: int = 7) -> DataFrame:
+    """rows: (id, features, label, split). n noise samples join the training rows, and their share the test rows."""
+    size = rows.groupBy("split").count().collect()  # two rows
+    counts = {r["split"]: r["count"] for r in size}
+    share = round(counts.get("test", 0) * n / max(1, counts.get("train", 0) + n))
+    noise = noise_rows(rows, n + share, dims, seed).withColumn("split", F.when(F.col("id") < -n, "test").otherwise("train"))
+    own = rows.select("id", F.lit(0).alias("chunk_no"), "features", "label", "split")
+    return own.unionByName(noise)
+
+
+def training_pairs(records: DataFrame, embedder, full: DataFrame | None = None, key: str = "file_stem", size: int = 192, overlap: int = 64, least: int = 10) -> DataFrame:
+    """(key, chunk_no, rating, features), a row for every chunk of an item's text: its description of `least` characters
+    or more, or with `full` (key, text) the whole text where there is one. records: (key, rating, description), one an item."""
+    texts = records.withColumn("text", F.when(F.length("description") >= least, F.col("description")))
+    if full is not None:
+        texts = texts.drop("text").join(full.select(key, F.col("text")), key, "left").withColumn("text", F.coalesce("text", F.when(F.length("description") >= least, F.col("description"))))
+    chunks = text_chunks(texts.filter("text IS NOT NULL"), key, "text", size, overlap)
+    chunks = chunks.select(F.concat_ws("\u0001", key, "chunk_no").alias("part"), key, "chunk_no", "chunk")
+    vectors = embedded(chunks, embedder, "part", "chunk").select("part", F.col("embedding").alias("features"))
+    return chunks.select("part", key, "chunk_no").join(vectors, "part").join(records.select(key, "rating"), key).select(key, "chunk_no", "rating", "features")
 
 
 def oversample_to_median(rows: DataFrame, label: str = "label", key: str = "id", seed: int = 123) -> DataFrame:
@@ -99,7 +127,12 @@ def oversample_to_median(rows: DataFrame, label: str = "label", key: str = "id",
     binned = rows.withColumn("bin", rating_bin(F.col(label)))
     need = rating_histogram(rows, label).withColumn("need", F.col("median_n") - F.col("n")).filter("need > 0")
     draws = need.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need")))).select("bin", "k", (F.floor(uniform(F.concat_ws(":", "bin", "k"), seed) * F.col("n")) + 1).alias("nth"))
-    placed = binned.join(F.broadcast(need.select("bin")), "bin", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("bin").orderBy(key)))  # bins: at most 11
+    # Numbers within a bin, from those within (bin, bucket) and the counts of the buckets before: no bin is one task.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = binned.join(F.broadcast(need.select("bin")), "bin", "left_semi").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)))  # bins: at most 11
+    before = W.partitionBy("bin").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = dealt.groupBy("bin", "bucket").agg(F.count("*").alias("c")).select("bin", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("from"))  # eleven rows a bucket at most
+    placed = dealt.withColumn("nth", F.row_number().over(W.partitionBy("bin", "bucket").orderBy(key))).join(F.broadcast(offsets), ["bin", "bucket"]).withColumn("nth", F.col("nth") + F.col("from")).drop("bucket", "from")
     return placed.join(draws, ["bin", "nth"]).select(*rows.columns, "bin")
 
 

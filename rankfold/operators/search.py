@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_score
 from ..functions.numbers import number, uniform
+from ..sources.shared import stored
 
 BETA, FLOOR = 16.0, -50.0
 
@@ -45,17 +46,19 @@ def smooth_max_search(chunks: DataFrame, query: DataFrame, item: str = "file_id"
     return per.select(item, (F.col("m") + (F.ln(spread) - F.ln(F.size("all").cast("double"))) / BETA).alias("score"))
 
 
-def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "embedding", block: int = 2048) -> DataFrame:
+def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "embedding", block: int = 2048, queries: DataFrame | None = None) -> DataFrame:
     """(key, neighbor, distance) to the nearest other item, least key of equals. Exact: quadratic work in blocks.
 
     Items are dealt into blocks by hash; every pair of blocks is one task of bounded size (two blocks), each item is
-    sent to as many tasks as there are blocks, and minima are merged by aggregation.
+    sent to as many tasks as there are blocks, and minima are merged by aggregation. queries (key): the items asked for.
     """
+    wanted = None if queries is None else queries.select(F.col(key).alias("i"), F.lit(True).alias("w"))
     total = items.count()
     n = max(1, -(-total // block))
     b = items.select(F.col(key).alias("i"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
+    b = b.withColumn("w", F.lit(True)) if queries is None else b.join(wanted, "i", "left").withColumn("w", F.coalesce("w", F.lit(False)))
     other = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("b")).alias("x"), F.greatest(k, F.col("b")).alias("y")))
-    dealt = b.withColumn("p", F.explode(other)).select("i", "v", "b", "p.x", "p.y")
+    dealt = b.withColumn("p", F.explode(other)).select("i", "v", "b", "w", "p.x", "p.y")
 
     def pair(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(key_[0]), int(key_[1])
@@ -63,14 +66,19 @@ def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "em
         right = pdf[pdf["b"] == y].sort_values("i")
         out = []
         for a, c in ((left, right), (right, left)) if x != y else ((left, left),):
-            if not len(a) or not len(c):
+            if not len(a) or not len(c) or not a["w"].any():
                 continue
             p, q = np.stack(a["v"].to_numpy()).astype(float), np.stack(c["v"].to_numpy()).astype(float)
             d = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
             if a is c:
                 np.fill_diagonal(d, np.inf)
             best = d.argmin(1)
-            keep = np.isfinite(d[np.arange(len(p)), best])
+            keep = np.isfinite(d[np.arange(len(p)), best]) & a["w"].to_numpy(bool)
+            # What is as near but for rounding is compared by exact distance, then by key.
+            close = d <= d.min(1)[:, None] + 1e-9 * ((p * p).sum(1)[:, None] + (q * q).sum(1).max())
+            for r in np.flatnonzero(keep & (close.sum(1) > 1)):
+                at = np.flatnonzero(close[r])
+                best[r] = at[((p[r] - q[at]) ** 2).sum(1).argmin()]
             exact = np.sqrt(((p - q[best]) ** 2).sum(1))
             out.append(pd.DataFrame({"i": a["i"].to_numpy()[keep], "j": c["i"].to_numpy()[best][keep], "d": exact[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
@@ -80,14 +88,19 @@ def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "em
 
 
 def nearest_neighbor_lsh(items: DataFrame, key: str = "vec_id", embedding: str = "embedding", width: float = 0.6, tables: int = 24, threshold: float = 1.2, seed: int = 5) -> DataFrame:
-    """Approximate twin for large inputs: random projections bring close items together; recall depends on the parameters."""
+    """Approximate twin for large inputs: random projections bring close items together; recall depends on the parameters.
+
+    Items that meet nothing within the threshold go to the exact block search.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     v = items.select(F.col(key).alias("i"), array_to_vector(embedding).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
     pairs = model.approxSimilarityJoin(v, v, threshold, "d").filter("datasetA.i <> datasetB.i").select(F.col("datasetA.i").alias("i"), F.col("datasetB.i").alias("j"), "d")
-    return pairs.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select(F.col("i").alias(key), F.col("m.j").alias("neighbor"), F.col("m.d").alias("distance"))
+    found = pairs.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select(F.col("i").alias(key), F.col("m.j").alias("neighbor"), F.col("m.d").alias("distance"))
+    found = stored(found, "neighbors")
+    return found.unionByName(nearest_neighbor(items, key, embedding, queries=items.join(found, key, "left_anti").select(key)))
 
 
 def similarity_keys(nearest: DataFrame, sizes: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -173,13 +186,42 @@ def standard_scorers(seed: int = 0) -> Scorers:
     )
 
 
+def semantic_scorers(scorers: Scorers, embedder, vectors: DataFrame, chunks: DataFrame, key: str = "idx") -> Scorers:
+    """Adds what needs embeddings: a listed file as example, a text against the files' own vectors (mode semantic-content)
+    and against the chunks of their descriptions (mode semantic-metadata). vectors, chunks: (key, embedding)."""
+
+    def embedded(files: DataFrame, text: str) -> DataFrame:
+        v = [float(x) for x in embedder.embed([text])[0]]
+        return files.sparkSession.createDataFrame([(v,)], "q array<double>")
+
+    def by_file(files: DataFrame, path: str) -> DataFrame:
+        q = files.filter(F.col("path") == path).select(key).join(vectors, key).select(F.col("embedding").alias("q"))
+        scored = by_example_search(vectors, q)
+        return files.join(scored.select(key, "score"), key, "left")
+
+    def content(files: DataFrame, text: str) -> DataFrame:
+        return files.join(cosine_search(vectors, embedded(files, text)).select(key, "score"), key, "left")
+
+    def metadata(files: DataFrame, text: str) -> DataFrame:
+        return files.join(smooth_max_search(chunks, embedded(files, text), key), key, "left")
+
+    return scorers.add("file", by_file).add_mode("semantic-content", content).add_mode("semantic-metadata", metadata)
+
+
 def text_chunks(texts: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """(key, chunk_no, start, end, chunk): windows of white-space tokens, as character ranges of the text."""
-    tokens = F.split(text, " ")
-    rows = texts.filter(F.length(text) > 0).select(key, F.col(text).alias("__t"), tokens.alias("__w"))
-    rows = rows.select(key, "__w", F.posexplode(T.window_starts(F.size("__w"), size, overlap)).alias("chunk_no", "__k"))
-    before = F.when(F.col("__k") > 0, F.length(F.array_join(F.slice("__w", F.lit(1), F.col("__k")), " ")) + 1).otherwise(0)
-    rows = rows.select(key, "chunk_no", before.alias("start"), F.array_join(F.slice("__w", F.col("__k") + 1, F.lit(size)), " ").alias("chunk"))
+    """(key, chunk_no, start, end, chunk): windows of white-space tokens, as character ranges of the text.
+
+    A chunk's start is the sum of the lengths of the steps before it, so no token is joined more than size / step times.
+    """
+    step = size - overlap if size > overlap else size
+    rows = texts.filter(F.length(text) > 0).select(F.col(key), F.split(text, " ").alias("__w"))
+    rows = rows.withColumn("__k", T.window_starts(F.size("__w"), size, overlap))
+    steps = F.transform("__k", lambda k: F.length(F.array_join(F.slice("__w", k + 1, F.lit(step)), " ")) + 1)
+    rows = rows.withColumn("__n", steps)
+    first = F.aggregate("__n", F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    rows = rows.withColumn("__s", first)
+    chunks = F.transform("__k", lambda k, i: F.struct(i.alias("chunk_no"), F.get("__s", i).alias("start"), F.array_join(F.slice("__w", k + 1, F.lit(size)), " ").alias("chunk")))
+    rows = rows.select(key, F.inline(chunks))
     return rows.select(key, "chunk_no", "start", (F.col("start") + F.length("chunk")).alias("end"), "chunk")
 
 

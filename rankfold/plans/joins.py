@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -62,7 +64,7 @@ def enrich_page(spark, sf_dir):
     """The page is cut first; its hundred rows are then looked up in the large tables."""
     library = V.library(spark, sf_dir)
     files = V.files(spark, sf_dir).select("idx", "path", "size", "hash")
-    rows = R.page(R.rank_by_score(L.effective_rating(files, library)))
+    rows = R.page_by_score(L.effective_rating(files, library))
     info = library.select(F.col("file_path").alias("path"), "user_rating", "model_rating", L.rating_is_stale(F.col("model_rating"), F.col("model_hash"), V.CURRENT).alias("s"))
     played = L.resolve_play_record(rows.select("idx", "path", "hash"), V.plays(spark, sf_dir)).drop("idx", "user_rating", "model_rating")
     side = V.sidecars(spark, sf_dir).select(F.col("path").alias("meta"), F.lit(True).alias("has_meta"))
@@ -222,8 +224,8 @@ def random_order(spark, sf_dir):
 
 @query(f"SELECT rank, idx, path, total FROM (SELECT *, row_number() OVER (ORDER BY score DESC, idx) - 1 AS rank, count(*) OVER () AS total FROM {_SCORES} WHERE score IS NOT NULL) WHERE rank >= 50 AND rank < 150")
 def page(spark, sf_dir):
-    ranked = R.rank_by_score(_scores(spark, sf_dir))
-    return R.page(ranked, 50, 100).crossJoin(F.broadcast(ranked.agg(F.count("*").alias("total")))).select("rank", "idx", "path", "total")  # one row
+    scored = _scores(spark, sf_dir)
+    return R.page_by_score(scored, 50, 100).crossJoin(F.broadcast(R.drop_unscored(scored).agg(F.count("*").alias("total")))).select("rank", "idx", "path", "total")  # one row
 
 
 _RES = "CASE idx % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bad' WHEN 2 THEN idx || 'x0' ELSE idx || 'x' || (idx % 7 + 1) END"
@@ -244,15 +246,33 @@ def keyword_sort(spark, sf_dir):
     return V.files(spark, sf_dir).select("idx", F.coalesce(F.col("size").cast("double"), F.lit(0.0)).alias("by_size"), search.pixels(res).alias("by_pixels"), F.round(search.proportion(res), 9).alias("by_proportion"), length.alias("by_length"))
 
 
-@query("SELECT 'keyword' AS kind, idx, CAST(size AS DOUBLE) AS score FROM files UNION ALL SELECT 'empty', idx, 0.0 FROM files UNION ALL SELECT 'by file', idx, CASE WHEN path = (SELECT path FROM files ORDER BY idx LIMIT 1) THEN 1.0 ELSE 0.0 END FROM files")
+_N = "sqrt(list_dot_product({0}, {0}))"
+_VECTOR_OK = f"{_N.format('embedding')} >= 1e-5"
+_COS = f"CASE WHEN {_VECTOR_OK} THEN list_dot_product(embedding, q) / ({_N.format('embedding')} * {_N.format('q')}) END"
+
+
+@query(f"""
+WITH s AS (SELECT file_id, {_COS} AS s FROM chunks, query_vector), m AS (SELECT file_id, max(s) AS m FROM s GROUP BY file_id),
+meta AS (SELECT file_id, any_value(m) + (ln(sum(exp(greatest(16 * (s - m), -50)))) - ln(count(s))) / 16 AS score FROM s JOIN m USING (file_id) GROUP BY file_id)
+SELECT 'keyword' AS kind, idx, CAST(size AS DOUBLE) AS score FROM files UNION ALL SELECT 'empty', idx, 0.0 FROM files
+UNION ALL SELECT 'by file', idx, round(CASE WHEN {_VECTOR_OK} THEN 1 / (1 + list_distance(embedding, q)) END, 6) FROM files LEFT JOIN vectors ON vec_id = idx, query_vector
+UNION ALL SELECT 'semantic-content', idx, round({_COS}, 6) FROM files LEFT JOIN vectors ON vec_id = idx, query_vector
+UNION ALL SELECT 'semantic-metadata', idx, round(score, 6) FROM files LEFT JOIN meta ON file_id = idx
+""")
 def dispatch_query(spark, sf_dir):
-    from ..operators.search import standard_scorers
+    from ..operators.features import FixedEmbedder
+    from ..operators.search import semantic_scorers, standard_scorers
 
     files = V.files(spark, sf_dir).select("idx", "path", "size")
-    scorers = standard_scorers().add("file", lambda f, q: f.withColumn("score", (F.col("path") == q).cast("double")))
+    text = "what the first vector stands for"
+    embedder = FixedEmbedder({text: V.query_vector(spark, sf_dir).first()["q"]})
+    vectors = V.vectors(spark, sf_dir).select(F.col("vec_id").alias("idx"), "embedding")
+    chunks = V.chunks(spark, sf_dir).select(F.col("file_id").alias("idx"), "embedding")
+    scorers = semantic_scorers(standard_scorers(), embedder, vectors, chunks)
     known = files.orderBy("idx").first()["path"]
-    part = lambda kind, q: scorers.score(files, q).select(F.lit(kind).alias("kind"), "idx", "score")
-    return part("keyword", "file size").unionByName(part("empty", "")).unionByName(part("by file", known))
+    part = lambda kind, q, mode="file-name": scorers.score(files, q, mode).select(F.lit(kind).alias("kind"), "idx", F.round("score", 6).alias("score"))
+    parts = [part("keyword", "file size"), part("empty", ""), part("by file", known), part("semantic-content", text, "semantic-content"), part("semantic-metadata", text, "semantic-metadata")]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("SELECT idx, path FROM (SELECT idx, path, coalesce(model_rating IS NOT NULL AND model_hash IS NOT NULL, false) AS stale FROM (SELECT f.idx, path, model_rating, model_hash FROM files f LEFT JOIN library ON file_path = path) WHERE NOT coalesce(model_rating IS NOT NULL AND model_hash = 'm_cur', false)) ORDER BY stale, path LIMIT 300")

@@ -85,10 +85,12 @@ def dataset_fingerprint(spark, sf_dir):
 
 @query()
 def gather_training_pairs(spark, sf_dir):
-    records = S.parse_memory(V.memory(spark, sf_dir)).filter(F.length("description") >= 10)
-    latest = latest_per_key(records, "file_stem", ["day", "rating", "description"])
-    pairs = features.embedded(latest, features.HashingEmbedder(16), "file_stem", "description")
-    return latest.select("file_stem", "rating").join(pairs, "file_stem").select("file_stem", "rating", F.transform("embedding", lambda x: F.round(x, 6)).alias("features"))
+    """Chunks of descriptions, and of full texts where a file has one."""
+    latest = latest_per_key(S.parse_memory(V.memory(spark, sf_dir)), "file_stem", ["day", "rating", "description"])
+    full = V.files(spark, sf_dir).filter("idx % 2 = 0").groupBy(F.col("hash").alias("file_stem")).agg(F.min("text").alias("text"))
+    embedder = features.HashingEmbedder(16)
+    out = M.training_pairs(latest, embedder).withColumn("content", F.lit("description")).unionByName(M.training_pairs(latest, embedder, full).withColumn("content", F.lit("full text")))
+    return out.select("content", "file_stem", "chunk_no", "rating", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
 @query()
@@ -98,8 +100,8 @@ def train_test_split(spark, sf_dir):
 
 @query()
 def noise_negatives(spark, sf_dir):
-    rows = V.train_rows(spark, sf_dir)
-    return rows.unionByName(M.noise_rows(rows, 2000, 64)).select("id", "label", F.size("features").alias("dims"))
+    rows = M.train_test_split(V.train_rows(spark, sf_dir))
+    return M.with_noise(rows, 64).select("id", "chunk_no", "label", "split", F.size("features").alias("dims"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.library import effective_rating
-from ..operators.ranking import page, rank_by_score
+from ..operators.ranking import page_by_score
 from ..sources import files as S
 from ..sources import views as V
 from ..sources.sectioned_csv import export_csv
@@ -42,6 +42,17 @@ def read_sidecar(spark, sf_dir):
     return S.with_sidecar(V.files(spark, sf_dir).select("path"), V.sidecars(spark, sf_dir), lines=3, chars=200)
 
 
+@query("""
+SELECT f.path, sidecar FROM files f LEFT JOIN (
+  SELECT path, coalesce(string_agg(c, '' ORDER BY i) FILTER (n <= 120), '') AS sidecar FROM (
+    SELECT path, i, c, sum(strlen(c)) OVER (PARTITION BY path ORDER BY i) AS n FROM (SELECT path, i, text[i] AS c FROM (SELECT path, text, unnest(range(1, length(text) + 1)) AS i FROM sidecars)))
+  GROUP BY path) s ON s.path = f.path || '.meta'
+""")
+def read_sidecar_bytes(spark, sf_dir):
+    """The variant with a cap in bytes."""
+    return S.with_sidecar(V.files(spark, sf_dir).select("path"), V.sidecars(spark, sf_dir), most_bytes=120)
+
+
 @query("""
 SELECT idx, CASE WHEN length(head) > 400 THEN head[1:400] || '...' ELSE head END AS preview
 FROM (SELECT idx, array_to_string(string_split(CASE WHEN cut[-1] = chr(10) THEN cut[1:length(cut) - 1] ELSE cut END, chr(10))[1:25], chr(10)) AS head FROM (SELECT idx, substring(text, 1, 4096) AS cut FROM files))
@@ -104,7 +115,7 @@ SELECT rank, '{"path":"' || path || '","size":' || size || ',"search_score":' ||
 FROM (SELECT path, size, score, row_number() OVER (ORDER BY score DESC, idx) - 1 AS rank FROM (SELECT f.idx, f.path, f.size, coalesce(user_rating, model_rating) AS score FROM files f LEFT JOIN library ON file_path = path) WHERE score IS NOT NULL) WHERE rank < 100
 """)
 def result_page_json(spark, sf_dir):
-    ranked = page(rank_by_score(effective_rating(V.files(spark, sf_dir).select("idx", "path", "size"), V.library(spark, sf_dir))))
+    ranked = page_by_score(effective_rating(V.files(spark, sf_dir).select("idx", "path", "size"), V.library(spark, sf_dir)))
     row = F.struct("path", "size", F.when(~F.isnan("score"), F.col("score")).alias("search_score"))
     return ranked.select("rank", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 

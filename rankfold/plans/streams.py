@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features
+from ..operators import features, recommend
 from ..sources import views as V
 from ..streaming import events as E
 from .registry import query
@@ -27,15 +27,29 @@ def latest_rating_state(spark, sf_dir):
     return E.drained(E.latest_ratings(_events(spark, sf_dir))).select("item", F.round("rating", 6).alias("rating"), F.unix_timestamp("ts").alias("rated_at"))
 
 
-@query()
+@query("SELECT DISTINCT conv_id || ':' || turn AS key, CAST(16 AS INTEGER) AS dims, 'hashing-16' AS version, true AS rated FROM conversations")
 def incremental_backfill(spark, sf_dir):
-    """Each tick embeds what has arrived and has no vector yet."""
+    """Each tick takes a capped batch of what has no current vector, embeds it, predicts a rating, and writes both back."""
     embedder = features.HashingEmbedder(16)
     docs = V.table(spark, sf_dir, "conversations")
     stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/conversations*.parquet")
     keyed = stream.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
-    done = E.incremental_backfill(keyed, lambda batch: features.embedded(batch, embedder, "key", "text"), "key string, embedding array<double>, version string")
-    return done.select("key", F.size("embedding").alias("dims"), "version")
+    rows = docs.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.coalesce("text", F.lit("")).alias("text"), (F.length("text") % 11).cast("double").alias("label"))
+    rated = rows.orderBy(F.xxhash64("key"), "key").limit(500)  # a rater needs a bounded sample of ratings
+    train = features.embedded(rated, embedder, "key", "text").select("key", F.col("embedding").alias("features")).join(rated.select("key", "label"), "key")
+    rater = recommend.train_rater(recommend.inverse_frequency_weights(train), weight="weight", iterations=3)
+
+    def missing(arrived, done):
+        current = done.filter((F.col("version") == embedder.version) & F.col("rating").isNotNull())
+        return arrived.join(current.select("key"), "key", "left_anti").dropDuplicates(["key"])
+
+    def process(batch):
+        found = features.embedded(batch, embedder, "key", "text").withColumnRenamed("embedding", "features")
+        return rater.predict(found).select("key", F.col("features").alias("embedding"), "version", F.col("prediction").alias("rating"))
+
+    cap = max(200, -(-docs.count() // 4))  # a few ticks
+    done = E.incremental_backfill(keyed, missing, process, "key string, embedding array<double>, version string, rating double", cap)
+    return done.select("key", F.size("embedding").alias("dims"), "version", F.col("rating").isNotNull().alias("rated"))
 
 
 @query("""

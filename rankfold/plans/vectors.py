@@ -42,6 +42,12 @@ def nearest_neighbor(spark, sf_dir):
     return O.nearest_neighbor(V.vectors(spark, sf_dir)).select("vec_id", "neighbor", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def nearest_neighbor_lsh(spark, sf_dir):
+    """The approximate index; tests hold its recall to the exact search."""
+    return O.nearest_neighbor_lsh(V.vectors(spark, sf_dir).filter("vec_id >= 0")).select("vec_id", "neighbor", F.round("distance", 6).alias("distance"))
+
+
 @query(f"WITH {_NEAREST} SELECT vec_id, round(o.distance, 6) AS neighbor_distance, round(n.distance, 6) AS distance, size, row_number() OVER (ORDER BY round(o.distance, 6), round(n.distance, 6), size, vec_id) - 1 AS rank FROM nearest n JOIN (SELECT vec_id AS neighbor, distance FROM nearest) o USING (neighbor) JOIN vectors USING (vec_id)")
 def similarity_order(spark, sf_dir):
     v = V.vectors(spark, sf_dir)

@@ -34,9 +34,11 @@ def union_roots(*listings: DataFrame) -> DataFrame:
     return out
 
 
-def with_sidecar(files: DataFrame, sidecars: DataFrame, lines: int = 300, chars: int = 30_000) -> DataFrame:
-    """Adds `sidecar`: the capped text of `{path}.meta`, null where there is none."""
-    s = sidecars.select(F.col("path").alias("meta_path"), T.capped_lines(F.col("text"), lines, chars).alias("sidecar"))
+def with_sidecar(files: DataFrame, sidecars: DataFrame, lines: int = 300, chars: int = 30_000, most_bytes: int | None = None) -> DataFrame:
+    """Adds `sidecar`: the text of `{path}.meta`, capped by lines and characters or by bytes, null where there is none."""
+    text = F.col("text")
+    capped = T.capped_lines(text, lines, chars) if most_bytes is None else T.capped_bytes(text, most_bytes)
+    s = sidecars.select(F.col("path").alias("meta_path"), capped.alias("sidecar"))
     return files.join(s, F.concat("path", F.lit(".meta")) == F.col("meta_path"), "left").drop("meta_path")
 
 

@@ -36,36 +36,59 @@ def event_stream(spark: SparkSession, sf_dir: str, like: DataFrame, files: int |
     return reader.parquet(f"{sf_dir}/events*.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream until its source is exhausted; every batch replaces the state table, whose last version is returned."""
+def drained(stream: DataFrame, key: str = "item") -> DataFrame:
+    """Runs a stream of changed rows until its source is exhausted; returns the last version of every key.
+
+    Every batch writes the rows that it changed, once; a batch that is repeated after a failure replaces its own.
+    """
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
-    last: list[str] = []
+    ticks: set[int] = set()
 
     def keep(batch: DataFrame, number: int) -> None:
-        at = f"{path}/state-{number}"
-        batch.write.mode("overwrite").parquet(at)
-        last[:] = [at]
+        batch.withColumn("__tick", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/changes/{number}")
+        ticks.add(number)
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(keep).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
+    if not ticks:
+        return spark.createDataFrame([], stream.schema)
+    changes = spark.read.schema(stream.schema.add("__tick", "long")).parquet(*[f"{path}/changes/{n}" for n in sorted(ticks)])
+    rest = [c for c in stream.columns if c != key]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "__tick").alias("__row"))
+    return last.select(key, "__row.*").select(*stream.columns)
+
 
+def incremental_backfill(arrivals: DataFrame, missing: Callable[[DataFrame, DataFrame], DataFrame], process: Callable[[DataFrame], DataFrame], schema: str, cap: int | None = None) -> DataFrame:
+    """On each tick takes what has arrived and isn't done, at most `cap` rows, and appends what `process` makes of them.
 
-def incremental_backfill(arrivals: DataFrame, process: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
-    """On each tick, runs `process` on the new rows and appends what it makes; ticks are the stream's batches, one after another."""
+    missing(arrived, done): the arrived rows that aren't done. What a capped tick leaves waits for the next one; after
+    the source is exhausted ticks go on until nothing is missing. Ticks run one after another.
+    """
     spark = arrivals.sparkSession
     path = shared_path(spark, "backfill")
-    ticks: set[int] = set()
+    empty = spark.createDataFrame([], schema)
+    arrived: set[int] = set()
+    ticks: set[str] = set()
+
+    def read(kind: str, names, like) -> DataFrame:
+        return spark.read.schema(like.schema).parquet(*[f"{path}/{kind}/{n}" for n in sorted(names)]) if names else like
+
+    def tick(name: str) -> bool:
+        left = missing(read("arrived", arrived, arrivals), read("done", ticks - {name}, empty))
+        process(left if cap is None else left.limit(cap)).write.mode("overwrite").parquet(f"{path}/done/{name}")
+        ticks.add(name)
+        return not read("done", {name}, empty).isEmpty()
 
     def step(batch: DataFrame, number: int) -> None:
         # A batch that is repeated after a failure replaces its own output.
-        process(batch).write.mode("overwrite").parquet(f"{path}/done/{number}")
-        ticks.add(number)
+        batch.write.mode("overwrite").parquet(f"{path}/arrived/{number}")
+        arrived.add(number)
+        tick(f"a{number}")
 
     q = arrivals.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(step).start()
     q.awaitTermination()
-    empty = spark.createDataFrame([], schema)
-    if not ticks:
-        return empty
-    return spark.read.schema(empty.schema).parquet(*[f"{path}/done/{n}" for n in sorted(ticks)])
+    n = 0
+    while arrived and cap is not None and tick(f"b{n}"):
+        n += 1
+    return read("done", ticks, empty)

@@ -263,3 +263,91 @@ def test_scorers(spark):
     assert [r.score for r in s.score(files, "file size").orderBy("idx").collect()] == [5.0, 0.0]
     with pytest.raises(ValueError):
         s.score(files, "cat", mode="nope")
+
+
+def test_pages_equal_the_whole_ranking(spark, monkeypatch):
+    from rankfold.operators import ranking as R
+
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else float(k % 5)) for k in range(200)], "idx long, score double")
+    for order in ("most-relevant", "least-relevant"):
+        want = {(r["rank"], r.idx) for r in R.page(R.rank_by_score(df, order), 30, 25).collect()}
+        assert len(want) == 25
+        assert {(r["rank"], r.idx) for r in R.page_by_score(df, 30, 25, order).collect()} == want
+        monkeypatch.setattr(R, "DEEP", 10)
+        assert {(r["rank"], r.idx) for r in R.page_by_score(df, 30, 25, order).collect()} == want
+        monkeypatch.undo()
+
+
+def test_chunks_of_long_texts(spark):
+    from rankfold.operators import search
+
+    texts = [(k, " ".join("w" * (1 + (j * k) % 5) for j in range(n))) for k, n in enumerate([1, 5, 6, 7, 40, 3000])]
+    got = {(r.k, r.chunk_no): (r.start, r.end, r.chunk) for r in search.text_chunks(spark.createDataFrame(texts, "k int, t string"), "k", "t", 6, 2).collect()}
+    for k, t in texts:
+        w = t.split(" ")
+        starts = [0] if len(w) <= 6 else list(range(0, 4 * (-(-(len(w) - 6) // 4)) + 1, 4))
+        for n, s in enumerate(starts):
+            chunk = " ".join(w[s : s + 6])
+            at = len(" ".join(w[:s])) + (s > 0)
+            assert got.pop((k, n)) == (at, at + len(chunk), chunk)
+    assert not got
+
+
+def test_one_bad_item_spoils_no_other(spark):
+    from rankfold.operators import features
+
+    class Picky(features.HashingEmbedder):
+        def embed(self, texts):
+            if "bad" in texts:
+                raise ValueError("bad")
+            return super().embed(texts)
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "k int, t string").coalesce(1)
+    got = {r.k: r.embedding for r in features.embedded(rows, Picky(4), "k", "t").collect()}
+    assert got[2] == [0.0] * 4 and any(got[1]) and any(got[3])
+    done = features.embedded(rows, Picky(4), "k", "t")
+    assert features.embed_missing(rows, done, features.HashingEmbedder(4), "k", "t").filter("k = 2 AND forall(embedding, x -> x = 0)").count() == 0
+
+
+def test_byte_caps(spark):
+    from rankfold.functions.text import capped_bytes
+
+    rows = spark.createDataFrame([("aéb",), ("😀😀",), ("",), (None,)], "t string")
+    for most in range(0, 9):
+        for r in rows.select("t", capped_bytes(F.col("t"), most).alias("c")).collect():
+            assert r.c == (None if r.t is None else r.t.encode()[:most].decode(errors="ignore"))
+
+
+def test_noise_and_pairs(spark):
+    from rankfold.operators import features
+    from rankfold.operators import recommend as M
+
+    rows = spark.createDataFrame([(k, [0.5] * 4, float(k % 11)) for k in range(100)], "id long, features array<double>, label double")
+    out = M.with_noise(M.train_test_split(rows), 4, n=60).toPandas()
+    noise = out[out["id"] < 0]
+    assert noise.groupby("split")["id"].nunique().to_dict() == {"train": 60, "test": round(10 * 60 / 150)}
+    assert noise.groupby("id").size().between(1, 5).all() and (noise["label"] == 0).all()
+    records = spark.createDataFrame([("a", 3.0, "a long description of it"), ("b", 4.0, "short"), ("c", 5.0, "x " * 30)], "file_stem string, rating double, description string")
+    full = spark.createDataFrame([("b", "full text " * 20)], "file_stem string, text string")
+    pairs = lambda **k: {(r.file_stem, r.chunk_no) for r in M.training_pairs(records, features.HashingEmbedder(4), size=10, overlap=0, **k).collect()}
+    assert pairs() == {("a", 0), ("c", 0), ("c", 1), ("c", 2), ("c", 3)}
+    assert pairs(full=full) == pairs() | {("b", n) for n in range(5)}
+
+
+def test_lsh_recall(spark, sf):
+    from rankfold.operators import search
+    from rankfold.sources import views
+
+    v = views.vectors(spark, f"{sf}/../sf0.01").filter("vec_id >= 0")
+    exact = {r.vec_id: r.neighbor for r in search.nearest_neighbor(v).collect()}
+    got = {r.vec_id: r.neighbor for r in search.nearest_neighbor_lsh(v).collect()}
+    assert set(got) == set(exact)
+    assert sum(got[k] == exact[k] for k in exact) >= 0.9 * len(exact)
+
+
+def test_equal_and_nearly_equal_vectors(spark):
+    from rankfold.operators import search
+
+    rows = [(k, [1.0 + 1e-9 * (k % 3), 1000.0]) for k in range(9)]
+    got = {r.vec_id: r.neighbor for r in search.nearest_neighbor(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {k: min(j for j in range(9) if j != k and j % 3 == k % 3) for k in range(9)}
