@@ -14,9 +14,11 @@ A byte goes if a window of WIDTH bytes that covers it also starts anywhere else.
    place before. Windows whose statistic reaches WIDTH are repeated.
 4. Marks go back to all texts that have the context, which cut out what the marked windows cover.
 
-An anchor with more than HOT windows in different contexts (a passage that very many texts share, each in other surroundings) is not
-indexed in one task: its windows are counted by their hashes, which is exact too and splits at will.
-Hashes of anchor and context together have 128 bits.
+An anchor with more than HOT windows in different contexts (a passage that very many texts share, each in other
+surroundings) is indexed in parts: inside its contexts every window picks a second anchor by another hash, which again
+depends on the window's bytes alone, so equal windows stay together; the parts are what contexts were one level above.
+What is still as hot after LEVELS such divisions (windows that share nearly all of their bytes) is resolved by counting
+window hashes, which is exact too and splits at will. Hashes of anchor and context together have 128 bits.
 
 Edge cases: null texts are empty; texts shorter than WIDTH have nothing to remove; equal rows are repeats of each
 other; null ids are treated like any id; an empty table gives an empty result; further columns are ignored.
@@ -37,9 +39,9 @@ from pyspark.sql import functions as F
 from .common import ship, written
 
 WIDTH, GRAM = 200, 32
-#: Window starts of one anchor beyond which windows are counted by hash (an index takes some 400 bytes a start);
-#: window starts in one index of several anchors; bytes in one numpy pass.
-HOT, STARTS, CHUNK = 300_000, 40_000, 1 << 20
+#: Window starts of one anchor beyond which it is divided (an index takes some 400 bytes a start), and how often at
+#: most; window starts in one index of several anchors; bytes in one numpy pass.
+HOT, LEVELS, STARTS, CHUNK = 300_000, 3, 40_000, 1 << 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
 #: 0 pads contexts in the index; texts are UTF-8, in which 255 doesn't occur.
@@ -58,7 +60,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(left[: n - w + 1], right[w - 1 : n])
 
 
-def _contexts(texts: list[bytes], first: int, base: int, width: int, gram: int, out: list) -> None:
+def _contexts(texts: list[bytes], first: int, base: int, width: int, gram: int, out: list, level: int = 0) -> None:
     buf = b"".join(texts) + bytes(8)
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -68,7 +70,7 @@ def _contexts(texts: list[bytes], first: int, base: int, width: int, gram: int,
         h = (h[:-k] ^ (h[:-k] >> np.uint64(29))) * _M2 + h[k:]
         k *= 2
     h ^= h >> np.uint64(32)
-    h *= _M3
+    h *= _M3 + np.uint64(2 * level)  # another order of the grams at every level
     h ^= h >> np.uint64(29)
     least = _sliding_min((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), width - gram + 1) & _LOW
     n = np.maximum(sizes - width + 1, 0)
@@ -86,21 +88,21 @@ def _contexts(texts: list[bytes], first: int, base: int, width: int, gram: int,
         out.append((first + t, base + s - int(starts[t]), m, a, digest(view[s : s + m + width - 1], 7) - (1 << 63)))
 
 
-def contexts(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> list[tuple[int, int, int, int, int]]:
+def contexts(texts: list[bytes], width: int = WIDTH, gram: int = GRAM, level: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(text, first window start, windows, anchor hash, context hash) of all contexts; depends on each text alone."""
     out: list = []
     k = 0
     while k < len(texts):
         if len(texts[k]) > CHUNK:
             for base in range(0, len(texts[k]) - width + 1, CHUNK):
-                _contexts([texts[k][base : base + CHUNK + width - 1]], k, base, width, gram, out)
+                _contexts([texts[k][base : base + CHUNK + width - 1]], k, base, width, gram, out, level)
             k += 1
             continue
         first, size = k, 0
         while k < len(texts) and size + len(texts[k]) <= CHUNK:
             size += len(texts[k])
             k += 1
-        _contexts(texts[first:k], first, 0, width, gram, out)
+        _contexts(texts[first:k], first, 0, width, gram, out, level)
     return out
 
 
@@ -125,31 +127,32 @@ class RunLengthIndex:
         before = np.where(off > 0, rows[np.maximum(np.arange(len(off)) - 1, 0), 0].astype(np.int16), np.int16(-1))
         bwt, g = before[order], group[order]
         cut = np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] < 0) | (g[1:] != g[:-1])))
-        self.n_runs = int(cut.sum())
         heads = np.flatnonzero(cut)
         tails = np.concatenate((heads[1:], [len(order)])) - 1
-        self.up, self.down = np.full(len(order), -1), np.full(len(order), -1)
-        self._sample(self.up, order, g, rows, left, heads, -1)
-        self._sample(self.down, order, g, rows, left, tails, 1)
+        self.size, self.runs, self.lengths = len(order), bwt[heads], np.diff(np.concatenate((heads, [len(order)])))
+        self.up, self.down = self._sample(order, g, rows, left, heads, -1), self._sample(order, g, rows, left, tails, 1)
 
     @staticmethod
-    def _sample(into: np.ndarray, order, g, rows, left, ranks: np.ndarray, step: int) -> None:
-        """Common lengths with the neighbour of another run, by place in the text."""
-        into[order[ranks]] = 0
-        ranks = ranks[(ranks + step >= 0) & (ranks + step < len(order))]
-        ranks = ranks[g[ranks] == g[ranks + step]]
-        for k in range(0, len(ranks), 8192):
-            a, b = order[ranks[k : k + 8192]], order[ranks[k : k + 8192] + step]
+    def _sample(order, g, rows, left, ranks: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text of run ends, and the common lengths there with the neighbour of another run."""
+        places, lengths = order[ranks], np.zeros(len(ranks), np.int64)
+        near = np.flatnonzero((ranks + step >= 0) & (ranks + step < len(order)))
+        near = near[g[ranks[near]] == g[ranks[near] + step]]
+        for k in range(0, len(near), 8192):
+            part = near[k : k + 8192]
+            a, b = places[part], order[ranks[part] + step]
             differ = rows[a] != rows[b]
             at = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-            into[a] = np.minimum(at, np.minimum(left[a], left[b]))
+            lengths[part] = np.minimum(at, np.minimum(left[a], left[b]))
+        by_place = np.argsort(places)
+        return places[by_place], lengths[by_place]
 
-    @staticmethod
-    def _stream(samples: np.ndarray) -> np.ndarray:
-        """The statistic at every place: its sample, or one less than at the place before."""
-        at = np.arange(len(samples))
-        last = np.maximum.accumulate(np.where(samples >= 0, at, 0))
-        return samples[last] - (at - last)
+    def _stream(self, samples: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The statistic at every place: its sample, or one less than at the place before. Every text's begin is a sample."""
+        places, lengths = samples
+        at = np.arange(self.size)
+        last = np.searchsorted(places, at, "right") - 1
+        return lengths[last] - (at - places[last])
 
     def repeated(self) -> list[np.ndarray]:
         """For every context, which of its windows occur in another place of its group."""
@@ -273,6 +276,44 @@ def _counted(rows: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(pack, "a long, c long, mask binary")
 
 
+def _masked(rows: DataFrame, width: int, gram: int, hot: int, level: int = 1) -> DataFrame:
+    """rows: (a, c, text) of distinct contexts. (a, c, mask) of those with repeated windows, hot anchors in parts."""
+    crowd = written(rows.groupBy("a").agg(F.sum(F.octet_length("text") - (width - 1)).alias("m")).filter(F.col("m") > hot).select("a"), "repeats-crowd")
+    few = _indexed(rows.join(crowd, "a", "left_anti"), width)
+    if crowd.isEmpty():
+        return few
+    many = rows.join(crowd, "a", "left_semi")
+    if level > LEVELS:
+        return few.unionByName(_counted(many, width))
+
+    def divide(batches):
+        for batch in _parts(batches, "text", 1 << 20):
+            a, c, texts = (batch.column(x).to_pylist() for x in ("a", "c", "text"))
+            out = [(a[t], c[t], s, m, xxhash.xxh3_64_intdigest(a[t].to_bytes(8, "little", signed=True) + p.to_bytes(8, "little", signed=True)) - (1 << 63), q, texts[t][s : s + m + width - 1]) for t, s, m, p, q in contexts(texts, width, gram, level)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:6]), pa.array(cols[6], pa.binary())], names=["a", "c", "s", "m", "p", "q", "text"])
+
+    parts = written(many.repartition("a", "c").mapInArrow(divide, "a long, c long, s long, m long, p long, q long, text binary"), "repeats-parts")
+    distinct = written(parts.groupBy("p", "q").agg(F.count("*").alias("n"), F.first("text").alias("text")), "repeats-distinct")
+    whole = distinct.filter("n > 1").select("p", "q", F.lit(None).cast("binary").alias("mask"))
+    below = _masked(distinct.select(F.col("p").alias("a"), F.col("q").alias("c"), "text"), width, gram, hot, level + 1).select(F.col("a").alias("p"), F.col("c").alias("q"), "mask")
+    marks = whole.unionByName(below.join(whole.select("p", "q"), ["p", "q"], "left_anti"))
+    found = parts.select("a", "c", "s", "m", "p", "q").join(marks, ["p", "q"]).groupBy("a", "c").agg(F.collect_list(F.struct("s", "m", "mask")).alias("parts"))  # as many as a context has windows at most
+
+    def unite(batches):
+        for batch in batches:
+            masks = []
+            for found_ in batch.column("parts").to_pylist():
+                m = np.zeros(max(x["s"] + x["m"] for x in found_), np.uint8)
+                for x in found_:
+                    bits = np.ones(x["m"], np.uint8) if x["mask"] is None else np.unpackbits(np.frombuffer(x["mask"], np.uint8))[: x["m"]]
+                    m[x["s"] : x["s"] + len(bits)] = bits
+                masks.append(np.packbits(m).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("c"), pa.array(masks, pa.binary())], names=["a", "c", "mask"])
+
+    return few.unionByName(found.mapInArrow(unite, "a long, c long, mask binary"))
+
+
 def cut(data: bytes, marks: dict[tuple[int, int], bytes | None], found: list, width: int) -> tuple[int, int, bytes]:
     """(bytes removed, runs removed, what is left); marks: mask by context, None for all windows."""
     edge = np.zeros(len(data) + 1, np.int32)
@@ -320,8 +361,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = packed["id"].eqNullSafe(F.col("wid")) & (packed["th"] == F.col("wth"))
     handed = packed.join(wanted, same).dropDuplicates(["id", "th"]).select("z", "cs").mapInArrow(hand_in, "a long, c long, text binary")
     handed = written(handed.join(mixed.select("a", "c"), ["a", "c"], "left_semi"), "repeats-bytes")
-    crowd = handed.groupBy("a").agg(F.sum(F.octet_length("text") - (width - 1)).alias("m")).filter(F.col("m") > hot).select("a")
-    masks = _indexed(handed.join(crowd, "a", "left_anti"), width).unionByName(_counted(handed.join(crowd, "a", "left_semi"), width))
+    masks = _masked(handed, width, gram, hot)
     marks = written(whole.unionByName(masks.join(whole.select("a", "c"), ["a", "c"], "left_anti")), "repeats-marks")
     by_doc = again.select("id", "th", "a", "c").distinct().join(marks, ["a", "c"]).groupBy(F.col("id").alias("mid"), F.col("th").alias("mth")).agg(F.collect_list(F.struct("a", "c", "mask")).alias("marks"))
 

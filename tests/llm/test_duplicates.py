@@ -132,7 +132,7 @@ def passages(n=40):
 
 @pytest.mark.parametrize("hot", [R.HOT, 2])
 def test_repeats_match_brute_force(spark, edges, edge_rows, hot):
-    """With a low limit for hot anchors the counting path gives the same."""
+    """With a low limit hot anchors are divided at every level, and the rest counted, which gives the same."""
     rows = [(r[0], r[1]) for r in edge_rows] + [(100 + k, t) for k, t in passages()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.digest(R.without_repeats(docs, hot=hot)).collect())
