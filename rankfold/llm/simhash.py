@@ -10,9 +10,9 @@ Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that
 similarity of five-word shingle sets (near_grouped()) every distinct set therefore has BANDS short fingerprints of
 NEAR_BITS bits from independent hashes, each hashed by the same balls of radius 1; colliding pairs are deduplicated,
 tested on all their fingerprint bits, and verified on the whole sets; groups are the components of the verified links.
-One band goes first, so that large families are one component before the others pair what still is apart; each set
-meets its neighbour in a bucket, never all of it. A link is found if any band lies within two bits: at a similarity of exactly 0.8 that is
-97 of 100, more above (README has measured figures).
+Equal short fingerprints go first, so that large families are components before balls pair what still is apart; each set
+meets its neighbour in a bucket, never all of it. A link is found if any band lies within two bits: at a similarity of
+0.8 that is 9 of 10, more above (README has measured figures).
 
 Edge cases: a null text is an empty one; texts without words have fingerprint 0 and are linked like any others; a text
 of fewer words than a shingle has one shingle of all of them; rows with a null id take part and take the least id of
@@ -37,7 +37,7 @@ from .components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: For near copies by similarity: words of a shingle, the least similarity, and short fingerprints of so many bits.
-NEAR_SHINGLE, SIMILARITY, BANDS, NEAR_BITS = 5, 0.8, 12, 28
+NEAR_SHINGLE, SIMILARITY, BANDS, NEAR_BITS = 5, 0.8, 14, 30
 #: Standard deviations by which all fingerprints of a pair may differ more than expected before its sets aren't compared.
 SPREAD = 5.0
 #: Hashes that are unpacked to bits at once.
@@ -167,12 +167,15 @@ def _sketched(docs: DataFrame, kind: str, shingle: int, n_bands: int, bits: int)
     return docs.mapInArrow(run, f"id {kind}, th long, s long, n long, bands array<long>, members binary")
 
 
-def _colliding(nodes: DataFrame, first: int, last: int, bits: int) -> DataFrame:
-    """nodes: (k, bands). (a, b): distinct pairs of neighbours in a bucket of bands first to last - 1."""
-    band = lambda j: F.transform(variants(F.element_at("bands", j + 1), bits), lambda v: v + (j << bits))
-    near = nodes.select("k", F.explode(F.concat(*[band(j) for j in range(first, last)])).alias("x"))
-    chain = near.select(F.lag("k").over(W.partitionBy("x").orderBy("k")).alias("a"), F.col("k").alias("b")).filter(F.col("a").isNotNull())
-    return chain.distinct()
+def _colliding(nodes: DataFrame, n_bands: int, bits: int, ball: bool) -> DataFrame:
+    """nodes: (k, c, bands), c: the component, null for a node alone. (a, b): distinct pairs of neighbours of different
+    components in the buckets of all bands; a bucket is a fingerprint, or with `ball` a variant."""
+    of = lambda fp: variants(fp, bits) if ball else F.array(fp)
+    band = lambda j: F.transform(of(F.element_at("bands", j + 1)), lambda v: v + (j << bits))
+    near = nodes.select("k", "c", F.explode(F.concat(*[band(j) for j in range(n_bands)])).alias("x"))
+    order = W.partitionBy("x").orderBy("k")
+    chain = near.select(F.lag("k").over(order).alias("a"), F.col("k").alias("b"), (F.lag("c").over(order) == F.col("c")).alias("one"))
+    return chain.filter(F.col("a").isNotNull() & ~F.coalesce("one", F.lit(False))).select("a", "b").distinct()
 
 
 def _apart(a: str, b: str):
@@ -216,14 +219,15 @@ def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Bits in which sets of the least similarity may differ: expected by the angle between them, and some deviations more.
     p, total = math.acos(2 * similarity / (1 + similarity)) / math.pi, n_bands * bits
     most = math.ceil(p * total + SPREAD * math.sqrt(p * (1 - p) * total))
-    rooted = nodes.withColumn("r", F.col("s"))
-    links = _verified(_colliding(nodes, 0, 1, bits), rooted, sketches, similarity, most)
-    roots = components(links).select(F.col("node").alias("s"), F.col("root").alias("r"))
-    rooted = nodes.join(roots, "s", "left").select("k", "s", "n", "bands", F.coalesce("r", "s").alias("r"))
-    more = _verified(_colliding(nodes, 1, n_bands, bits), written(rooted, "simhash-rooted"), sketches, similarity, most)
+    alone = nodes.select("*", F.lit(None).cast("long").alias("c"), F.col("s").alias("r"))
+    links = _verified(_colliding(alone, n_bands, bits, False), alone, sketches, similarity, most)
+    roots = components(links).select(F.col("node").alias("s"), F.col("root").alias("c"))
+    roots = roots.unionByName(roots.select(F.col("c").alias("s"), "c").distinct())  # a root is in its component
+    rooted = written(nodes.join(roots, "s", "left").withColumn("r", F.coalesce("c", "s")), "simhash-rooted")
+    more = _verified(_colliding(rooted, n_bands, bits, True), rooted, sketches, similarity, most)
     roots = components(links.unionByName(more)).select(F.col("node").alias("s"), F.col("root").alias("r"))
     found = written(sketches.select("id", "th", "s").join(roots, "s", "left").select("id", "th", F.coalesce("r", "s").alias("fp")), "simhash-docs")
-    discard(sketches, nodes, links, more)
+    discard(sketches, nodes, rooted, links, more)
     least = found.groupBy("fp").agg(F.min("id").alias("component"))
     return found.join(least, "fp").select("id", "th", "fp", "component")
 

@@ -126,6 +126,7 @@ def top_tags(similar: DataFrame, key: str = "vec_id", threshold: float | None =
 def proxy_section(fingerprint: Column, tags: Column, model: str) -> Column:
     """The text section that stands in for an embedding; a note if there is none."""
     head = F.lit(f"# Embedding proxy ({model}):")
+    # Fixed value: the wording is part of the format.
     error = F.concat(head, F.lit("\n[Error: embedding unavailable — file could not be processed by the embedding model]\n"))
     return F.when(fingerprint == "", error).otherwise(F.concat(F.concat_ws("\n", head, F.when(tags != "", F.concat(F.lit("Tags: "), tags)), F.concat(F.lit("Fingerprint: "), fingerprint)), F.lit("\n")))
 

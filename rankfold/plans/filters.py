@@ -182,6 +182,7 @@ def description_text(spark, sf_dir):
     line = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c], F.lit("\n"))
     auto = F.when(F.col("idx") % 3 == 0, F.concat(F.lit("a "), "ext", F.lit(" file")))
     local = F.concat(F.coalesce(line("# Automatic description:\n", auto, "\n"), F.lit("")), line("# Internal metadata:"), line("title: t ", F.col("idx").cast("string")), F.when(F.length("text") <= 1000, line("body: ", F.col("text"))).otherwise(""), F.lit("\n"))
+    # Fixed value: the wording is part of the format.
     remote = F.lit("# Remote file note:\nOriginal file content is not fetched automatically. Rate this file to generate a permanent description in memory.\n\n")
     side = F.when(F.col("sidecar").isNotNull(), F.concat(line("# External metadata from '", name, ".meta' file:"), line(F.col("sidecar")))).otherwise("")
     return rows.select("idx", F.concat(line("File Name: ", name), line("File Path: ", F.col("path"), "\n"), F.when(F.col("is_local"), local).otherwise(remote), side).alias("description"))

@@ -44,6 +44,7 @@ def with_sidecar(files: DataFrame, sidecars: DataFrame, lines: int = 300, chars:
 
 def memory_records(rated: DataFrame, captured: str) -> DataFrame:
     """(day, file_stem, value) for rows (hash, file_path, user_rating, user_rating_date, description or null)."""
+    # Fixed value: the wording is part of the format.
     note = F.lit("# Note:\nOriginal file was not available; captured metadata is limited.\n")
     head = F.concat_ws("\n", F.concat(F.lit("Rating: "), F.col("user_rating").cast("string")), F.concat(F.lit("Soft Hash: "), "hash"), F.concat(F.lit("File Path: "), "file_path"), F.concat(F.lit("File Name: "), T.base_name(F.col("file_path"))), F.lit(f"Captured At: {captured}"), F.lit(""))
     return rated.select(F.coalesce(F.to_date("user_rating_date"), F.to_date(F.lit(captured))).cast("string").alias("day"), F.col("hash").alias("file_stem"), F.concat(head, F.lit("\n"), F.coalesce("description", note)).alias("value"))

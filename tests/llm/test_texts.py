@@ -48,6 +48,16 @@ def test_quality(spark, sf):
     assert np.mean([not k for q, k in judged if q == 0]) > 0.9
 
 
+def test_quality_on_held_out_rows(spark, sf):
+    """Rules learned without a third of the labels judge that third."""
+    docs, labels = (spark.read.parquet(f"{sf}/../sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels.filter("doc_id % 3 <> 1"))
+    d = quality.with_statistics(docs.join(labels.filter("doc_id % 3 = 1"), "doc_id").select("doc_id", "text", "quality"))
+    rows = d.filter(~quality.base_failed()).select("quality", quality.rejected(rules).alias("gone")).toPandas()
+    assert len(rows) > 1000
+    assert rows[rows.quality == 1].gone.mean() < 0.01 and rows[rows.quality == 0].gone.mean() > 0.95
+
+
 def test_learner_finds_planted_rules():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
