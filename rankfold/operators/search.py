@@ -15,6 +15,7 @@ from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_score
 from ..functions.numbers import number, uniform
 from ..sources.shared import stored
+from .ranking import global_rank
 
 BETA, FLOOR = 16.0, -50.0
 
@@ -239,24 +240,68 @@ def segment_scores(chunks: DataFrame, key: str) -> DataFrame:
     return c.select(key, "chunk_no", F.inline(F.filter(spans, lambda s: s["start"] < s["end"])))
 
 
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the points of a convex hull, of points in order of x; all places if a value is missing."""
+    if len(x) < 3 or np.isnan(y).any():
+        return np.arange(len(x))
+    keep: set[int] = set()
+    for sign in (1.0, -1.0):
+        chain: list[int] = []
+        for k in range(len(x)):
+            while len(chain) > 1:
+                i, j = chain[-2], chain[-1]
+                if sign * ((x[j] - x[i]) * (y[k] - y[i]) - (y[j] - y[i]) * (x[k] - x[i])) > 0:
+                    break
+                chain.pop()
+            chain.append(k)
+        keep.update(chain)
+    return np.array(sorted(keep))
+
+
 def lttb(series: DataFrame, points: int = 400) -> DataFrame:
-    """(series, x, y): each series cut to `points` points by largest triangles, end points kept; series run in parallel."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x").reset_index(drop=True)
-        n = len(pdf)
-        if points >= n or points < 3:
-            return pdf
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        edges = 1 + np.floor(np.arange(points - 1) * (n - 2) / (points - 2)).astype(int)
-        edges[-1] = n - 1
+    """(series, x, y): each series cut to `points` points by largest triangles, end points kept.
+
+    Only a bucket's convex hull can hold its largest triangle, whatever the point chosen before. So points are numbered
+    by the global ranking, dealt by (series, bucket), and reduced to hulls, once inside every batch and once by bucket;
+    the choice itself is one small step per series over its buckets' hulls and means.
+    """
+    own = series.select("series", "x", "y")
+    if points < 3:
+        return own
+    kinds = dict(own.dtypes)
+    ranked = global_rank(own, ["series", "x"], "__at")
+    sizes = ranked.groupBy("series").agg(F.min("__at").alias("__from"), F.count("*").alias("__n")).withColumnRenamed("series", "__s")
+    placed = ranked.join(sizes, F.col("series").eqNullSafe(F.col("__s"))).withColumn("__p", F.col("__at") - F.col("__from"))
+    inner = F.least(F.lit(points - 3), F.ceil(F.col("__p") * (points - 2) / (F.col("__n") - 2)) - 1)
+    bucket = F.when(F.col("__p") == 0, -1).when(F.col("__p") == F.col("__n") - 1, points - 2).otherwise(inner).cast("int")
+    dealt = placed.filter(F.col("__n") > points).select("series", bucket.alias("b"), "x", "y")
+    schema = f"series {kinds['series']}, b int, x {kinds['x']}, y {kinds['y']}"
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        return pdf.iloc[hull(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))]
+
+    def early(batches):
+        for pdf in batches:
+            parts = [reduced(g) for _, g in pdf.groupby(["series", "b"], dropna=False)]
+            yield pd.concat(parts) if parts else pdf
+
+    hulls = dealt.mapInPandas(early, schema).groupBy("series", "b").applyInPandas(reduced, schema)
+    means = dealt.groupBy(F.col("series").alias("__s"), F.col("b").alias("__b")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    ready = hulls.join(means, F.col("series").eqNullSafe(F.col("__s")) & (F.col("b") == F.col("__b"))).select("series", "b", "x", "y", "mx", "my")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["b", "x"]).reset_index(drop=True)
+        b, x, y = pdf["b"].to_numpy(), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        mx, my = pdf["mx"].to_numpy(float), pdf["my"].to_numpy(float)
+        edges = np.searchsorted(b, np.arange(-1, points))
         chosen = [0]
-        for k in range(points - 2):
+        for k in range(1, points - 1):
             lo, hi = edges[k], edges[k + 1]
-            nlo, nhi = (hi, edges[k + 2]) if k + 2 < len(edges) else (n - 1, n)
-            ax, ay, mx, my = x[chosen[-1]], y[chosen[-1]], x[nlo:nhi].mean(), y[nlo:nhi].mean()
-            area = np.abs((ax - mx) * (y[lo:hi] - ay) - (ax - x[lo:hi]) * (my - ay))
+            ax, ay = x[chosen[-1]], y[chosen[-1]]
+            area = np.abs((ax - mx[hi]) * (y[lo:hi] - ay) - (ax - x[lo:hi]) * (my[hi] - ay))
             chosen.append(lo + int(area.argmax()))
-        return pdf.iloc[[*chosen, n - 1]]
+        return pdf.iloc[[*chosen, len(pdf) - 1]][["series", "x", "y"]]
 
-    return series.groupBy("series").applyInPandas(cut, series.select("series", "x", "y").schema)
+    cut = ready.groupBy("series").applyInPandas(choose, f"series {kinds['series']}, x {kinds['x']}, y {kinds['y']}")
+    return placed.filter(F.col("__n") <= points).select("series", "x", "y").unionByName(cut)

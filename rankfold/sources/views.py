@@ -191,10 +191,12 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @view("SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS x, value AS y FROM events")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
+    from ..operators.ranking import global_rank
 
-    x = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), x.cast("long").alias("x"), F.col("value").alias("y"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), "ts", "event_id", F.col("value").alias("y"))
+    ranked = global_rank(rows, ["series", "ts", "event_id"])
+    first = ranked.groupBy(F.col("series").alias("s")).agg(F.min("rank").alias("first"))  # a few event types
+    return ranked.join(first, F.col("series").eqNullSafe(F.col("s"))).select("series", (F.col("rank") - F.col("first")).alias("x"), "y")
 
 
 @view("SELECT l.idx AS id, v.embedding AS features, coalesce(user_rating, model_rating, 5) AS label FROM library l JOIN vectors v ON vec_id = l.idx")

@@ -211,6 +211,32 @@ def test_lttb_keeps_ends(spark):
     assert search.lttb(short, 50).count() == 10
 
 
+def slow_lttb(x, y, points):
+    """The published algorithm over a whole series; places of the chosen points."""
+    n = len(x)
+    edges = [1 + k * (n - 2) // (points - 2) for k in range(points - 1)]
+    chosen = [0]
+    for k in range(points - 2):
+        lo, hi = edges[k], edges[k + 1]
+        nlo, nhi = (hi, edges[k + 2]) if k + 2 < len(edges) else (n - 1, n)
+        ax, ay, mx, my = x[chosen[-1]], y[chosen[-1]], x[nlo:nhi].mean(), y[nlo:nhi].mean()
+        area = np.abs((ax - mx) * (y[lo:hi] - ay) - (ax - x[lo:hi]) * (my - ay))
+        chosen.append(lo + int(area.argmax()))
+    return [*chosen, n - 1]
+
+
+@pytest.mark.parametrize("points", [3, 7, 50])
+def test_lttb_equals_the_published_algorithm(spark, points):
+    rng = np.random.default_rng(points)
+    rows, want = [], set()
+    for name, n in (("a", 51), ("b", 333), ("c", 1000), (None, 64)):
+        x, y = np.cumsum(rng.integers(1, 5, n)), rng.normal(size=n).cumsum()
+        rows += [(name, int(i), float(j)) for i, j in zip(x, y, strict=True)]
+        want |= {(name, int(x[k])) for k in slow_lttb(x.astype(float), y, points)}
+    df = spark.createDataFrame(rows, "series string, x long, y double").repartition(5)
+    assert {(r.series, r.x) for r in search.lttb(df, points).collect()} == want
+
+
 def test_segments_make_up_the_text(spark):
     text = " ".join(f"w{k}" for k in range(500))
     c = search.text_chunks(spark.createDataFrame([(1, text), (2, "short one"), (3, "")], "k int, t string"), "k", "t", 192, 64).withColumn("score", F.col("chunk_no").cast("double"))
