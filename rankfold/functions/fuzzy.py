@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,8 +33,24 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
-    return max(ratio(a, b[max(0, k) : k + n]) for k in range(1 - n, len(b)) if b[max(0, k) : k + n])
+    if a in b:
+        return 100.0
+    n, best = len(a), 0.0
+    need, have, common = Counter(a), Counter(), 0
+    for k in range(1 - n, len(b)):
+        # Characters that part and string share, counted as the part slides along: no ratio is above that share.
+        if k + n <= len(b):
+            c = b[k + n - 1]
+            common += have[c] < need[c]
+            have[c] += 1
+        if k > 0:
+            c = b[k - 1]
+            have[c] -= 1
+            common -= have[c] < need[c]
+        part = b[max(0, k) : k + n]
+        if 200.0 * common / (n + len(part)) > best:
+            best = max(best, ratio(a, part))
+    return best
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -77,6 +95,7 @@ def fuzzy_score(query: str, full: Column, base: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(f: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([max(1.3 * score(query, y or ""), score(query, x or "")) for x, y in zip(f, b, strict=True)], dtype=float)
+        once = {t: score(query, t) for t in {t or "" for t in [*f, *b]}}  # names repeat
+        return pd.Series([max(1.3 * once[y or ""], once[x or ""]) for x, y in zip(f, b, strict=True)], dtype=float)
 
     return scored(full, base)
