@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import discard, ship, written
 
 WIDTH, GRAM = 200, 32
 #: Window starts of one anchor beyond which it is divided (an index takes some 400 bytes a start), and how often at
@@ -363,6 +363,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     handed = written(handed.join(mixed.select("a", "c"), ["a", "c"], "left_semi"), "repeats-bytes")
     masks = _masked(handed, width, gram, hot)
     marks = written(whole.unionByName(masks.join(whole.select("a", "c"), ["a", "c"], "left_anti")), "repeats-marks")
+    discard(anchored, often, distinct, handed)
     by_doc = again.select("id", "th", "a", "c").distinct().join(marks, ["a", "c"]).groupBy(F.col("id").alias("mid"), F.col("th").alias("mth")).agg(F.collect_list(F.struct("a", "c", "mask")).alias("marks"))
 
     def clean(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 STEPS, FINE, PARTS = 1024, 4096, 64
 DIMS = ("__g0", "__g1", "__g2")
@@ -85,6 +85,7 @@ def _split(points: DataFrame) -> DataFrame:
     cum = inside.groupBy("__node", "rest", "__fine").agg(F.sum("__size").alias("w")).withColumn("cum", F.sum("w").over(upto))
     fine = cum.filter(2 * F.col("cum") - F.col("w") <= 2 * F.col("rest")).groupBy("__node").agg(F.max("__fine").alias("last"))
     cuts = written(coarse.join(fine, "__node", "left").select("__node", "dim", "at", F.coalesce("last", F.lit(-1)).alias("last")), "shard-cuts")
+    discard(nodes, coarse)
     right = (at > F.col("at")) | ((at == F.col("at")) & (F.col("__fine") > F.col("last")))
     split = points.join(cuts, "__node", "left").withColumn("right", F.coalesce(right, F.lit(False)))
     due = F.when(F.col("__due") == 1, F.lit(1)).otherwise(F.when(F.col("right"), F.col("__due") - half).otherwise(half))

@@ -101,6 +101,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Only fingerprints of several rows or with links need a lookup; all others are their own component.
     table = rooted.join(least, "root").filter((F.col("n") > 1) | F.col("linked")).select("fp", "component")
     table = written(table, "simhash-components").withColumn("known", F.lit(True))
+    discard(of_fp)
     out = slim.join(table, "fp", "left")
     return out.select("id", "th", "fp", F.when(F.col("known"), F.col("component")).otherwise(F.col("id")).alias("component"))
 
