@@ -190,7 +190,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarit
     side = lambda c: nodes.select(F.col("k").alias(c), *[F.col(x).alias(c + x) for x in ("s", "n", "r", "bands")])
     far = (F.col("ar") == F.col("br")) | (F.least("an", "bn") < F.greatest("an", "bn") * F.lit(similarity) - F.lit(1e-9)) | (_apart("abands", "bbands") > most)
     near = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far).select(F.col("as").alias("a"), F.col("bs").alias("b")), "simhash-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    # Written first, so that Spark knows its size when it plans the join: while it is small no sets are shuffled here.
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "simhash-wanted")
     sets = written(sketches.select("s", "members").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("members").alias("m")), "simhash-sets")
 
     def compare(batches):
@@ -200,7 +201,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarit
 
     joined = near.join(sets.select(F.col("s").alias("a"), F.col("m").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("m").alias("y")), "b")
     links = written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "simhash-links")
-    discard(near, sets)
+    discard(near, wanted, sets)
     return links
 
 
