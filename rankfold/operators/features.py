@@ -8,7 +8,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -93,10 +93,11 @@ def feature_ttl(features: DataFrame, now: str, ttl_seconds: int = 90 * 86400) ->
     return live.withColumns({"refreshed": refreshed, "written": F.when(refreshed, F.lit(now).cast("timestamp")).otherwise(F.col("written"))})
 
 
-def padded(sequences: DataFrame, key: str, column: str, batch: str, most: int = 512) -> DataFrame:
-    """(key, batch, values, mask): cut to `most`, padded with 0 to the longest of the batch; mask is true on padding."""
+def padded(sequences: DataFrame, key: str, column: str, batch: str, most: int = 512, fill: Column | None = None) -> DataFrame:
+    """(key, batch, values, mask): cut to `most`, padded with `fill` (0) to the longest of the batch; mask is true on padding."""
     cut = sequences.select(key, batch, F.slice(column, 1, most).alias("values"))
     width = cut.groupBy(batch).agg(F.max(F.size("values")).alias("width"))
     rows = cut.join(width, batch)
     pad = F.col("width") - F.size("values")
-    return rows.select(key, batch, F.concat("values", F.array_repeat(F.lit(0).cast("long"), pad)).alias("values"), F.concat(F.transform("values", lambda x: F.lit(False)), F.array_repeat(F.lit(True), pad)).alias("mask"))
+    fill = F.lit(0).cast("long") if fill is None else fill
+    return rows.select(key, batch, F.concat("values", F.array_repeat(fill, pad)).alias("values"), F.concat(F.transform("values", lambda x: F.lit(False)), F.array_repeat(F.lit(True), pad)).alias("mask"))

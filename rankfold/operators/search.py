@@ -15,6 +15,7 @@ from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_score
 from ..functions.numbers import number, uniform
 from ..sources.shared import stored
+from .neighbors import nearest_neighbor
 from .ranking import global_rank
 
 BETA, FLOOR = 16.0, -50.0
@@ -47,51 +48,10 @@ def smooth_max_search(chunks: DataFrame, query: DataFrame, item: str = "file_id"
     return per.select(item, (F.col("m") + (F.ln(spread) - F.ln(F.size("all").cast("double"))) / BETA).alias("score"))
 
 
-def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "embedding", block: int = 2048, queries: DataFrame | None = None) -> DataFrame:
-    """(key, neighbor, distance) to the nearest other item, least key of equals. Exact: quadratic work in blocks.
-
-    Items are dealt into blocks by hash; every pair of blocks is one task of bounded size (two blocks), each item is
-    sent to as many tasks as there are blocks, and minima are merged by aggregation. queries (key): the items asked for.
-    """
-    wanted = None if queries is None else queries.select(F.col(key).alias("i"), F.lit(True).alias("w"))
-    total = items.count()
-    n = max(1, -(-total // block))
-    b = items.select(F.col(key).alias("i"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
-    b = b.withColumn("w", F.lit(True)) if queries is None else b.join(wanted, "i", "left").withColumn("w", F.coalesce("w", F.lit(False)))
-    other = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("b")).alias("x"), F.greatest(k, F.col("b")).alias("y")))
-    dealt = b.withColumn("p", F.explode(other)).select("i", "v", "b", "w", "p.x", "p.y")
-
-    def pair(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(key_[0]), int(key_[1])
-        left = pdf[pdf["b"] == x].sort_values("i")
-        right = pdf[pdf["b"] == y].sort_values("i")
-        out = []
-        for a, c in ((left, right), (right, left)) if x != y else ((left, left),):
-            if not len(a) or not len(c) or not a["w"].any():
-                continue
-            p, q = np.stack(a["v"].to_numpy()).astype(float), np.stack(c["v"].to_numpy()).astype(float)
-            d = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
-            if a is c:
-                np.fill_diagonal(d, np.inf)
-            best = d.argmin(1)
-            keep = np.isfinite(d[np.arange(len(p)), best]) & a["w"].to_numpy(bool)
-            # What is as near but for rounding is compared by exact distance, then by key.
-            close = d <= d.min(1)[:, None] + 1e-9 * ((p * p).sum(1)[:, None] + (q * q).sum(1).max())
-            for r in np.flatnonzero(keep & (close.sum(1) > 1)):
-                at = np.flatnonzero(close[r])
-                best[r] = at[((p[r] - q[at]) ** 2).sum(1).argmin()]
-            exact = np.sqrt(((p - q[best]) ** 2).sum(1))
-            out.append(pd.DataFrame({"i": a["i"].to_numpy()[keep], "j": c["i"].to_numpy()[best][keep], "d": exact[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
-
-    found = dealt.groupBy("x", "y").applyInPandas(pair, "i long, j long, d double")
-    return found.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select(F.col("i").alias(key), F.col("m.j").alias("neighbor"), F.col("m.d").alias("distance"))
-
-
 def nearest_neighbor_lsh(items: DataFrame, key: str = "vec_id", embedding: str = "embedding", width: float = 0.6, tables: int = 24, threshold: float = 1.2, seed: int = 5) -> DataFrame:
     """Approximate twin for large inputs: random projections bring close items together; recall depends on the parameters.
 
-    Items that meet nothing within the threshold go to the exact block search.
+    Items that meet nothing within the threshold go to the exact search.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import features
 from ..operators import recommend as M
+from ..operators import sequences as Q
 from ..operators.library import latest_per_key
 from ..operators.ranking import Down, global_rank
+from ..operators.search import text_chunks
 from ..sources import files as S
 from ..sources import views as V
 from .joins import _OVERLAID, overlaid
@@ -124,10 +126,43 @@ def inverse_frequency_weights(spark, sf_dir):
 
 @query()
 def train_rater(spark, sf_dir):
-    _, log = M.train_best_rater(M.train_test_split(V.train_rows(spark, sf_dir)))
+    """The epochs of one run over single vectors; the weights of the best one are what is kept."""
+    _, log = Q.train_best(M.train_test_split(Q.as_sequence(V.train_rows(spark, sf_dir))), epochs=20)
     return log.select("epoch", F.round("train", 6).alias("train"), F.round("test", 6).alias("test"))
 
 
+def _chunked(spark, sf_dir, files):
+    """(idx, sequence): the vectors of a text's chunks."""
+    embedder = features.HashingEmbedder(32)
+    chunks = text_chunks(files, "idx", "text", 192, 64)
+    vectors = features.embedded(chunks.select(F.struct("idx", "chunk_no").alias("key"), "chunk"), embedder, "key", "chunk")
+    return Q.sequences(vectors.select("key.idx", "key.chunk_no", F.col("embedding").alias("features")), "idx")
+
+
+def _rated_sequences(spark, sf_dir):
+    files = V.files(spark, sf_dir).select("idx", "text")
+    rated = V.library(spark, sf_dir).select("idx", F.coalesce("user_rating", "model_rating").alias("label")).dropna()
+    rows = _chunked(spark, sf_dir, files.join(rated, "idx", "left_semi")).join(rated, "idx")
+    return M.inverse_frequency_weights(M.train_test_split(rows, "idx"))
+
+
+@query()
+def train_sequence_rater(spark, sf_dir):
+    """The history of a rater over the chunks of whole texts, rare ratings weighing more; `best` marks the epoch kept."""
+    kept, _, log = Q.train(_rated_sequences(spark, sf_dir), "idx", "weight", epochs=20)
+    best = M.best_epoch(log.fillna(0.0, ["test"])).select(F.col("epoch").alias("best_epoch"))
+    return log.crossJoin(F.broadcast(best)).select("epoch", F.round("train", 6).alias("train"), F.round("test", 6).alias("test"), (F.col("epoch") == F.col("best_epoch")).alias("best"))  # one row
+
+
+@query()
+def predict_sequence_ratings(spark, sf_dir):
+    """Every file's rating by its text's chunks; files without text get 0."""
+    rater, _ = Q.train_best(_rated_sequences(spark, sf_dir), key="idx", weight="weight", epochs=12)
+    files = V.files(spark, sf_dir).select("idx", "text")
+    rows = files.select("idx").join(_chunked(spark, sf_dir, files), "idx", "left")
+    return rater.predict(rows).select("idx", F.coalesce(F.size("sequence"), F.lit(0)).alias("n_chunks"), F.round("prediction", 6).alias("prediction"))
+
+
 @query()
 def predict_ratings(spark, sf_dir):
     rows = V.train_rows(spark, sf_dir)
