@@ -98,8 +98,10 @@ def learn(train: DataFrame) -> tuple[bytes, bytes] | None:
     rows = train.mapInArrow(spread, "h long, y int, k int, piece binary").filter(F.octet_length("piece") >= 8)
     samples = []
     for label in (1, 0):
-        chosen = rows.filter(F.col("y") == label).orderBy(F.xxhash64("h", "k"), "h", "k", "piece").limit(PIECES).collect()  # PIECES of PIECE bytes
-        samples.append([bytes(r.piece) for r in chosen])
+        # Written first: the cut is made by a shuffle of every task's best, not by the driver, which gets PIECES of PIECE bytes.
+        chosen = written(rows.filter(F.col("y") == label).select("piece", F.xxhash64("h", "k").alias("o"), "h", "k").orderBy("o", "h", "k", "piece").limit(PIECES), "compression-pieces")
+        samples.append([bytes(r.piece) for r in sorted(chosen.collect(), key=lambda r: (r.o, r.h, r.k, bytes(r.piece)))])
+        discard(chosen)
     return (dictionary(samples[0]), dictionary(samples[1])) if all(samples) else None
 
 
