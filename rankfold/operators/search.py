@@ -15,6 +15,7 @@ from ..functions import vectors as V
 from ..functions.fuzzy import fuzzy_score
 from ..functions.numbers import number, uniform
 from ..sources.shared import stored
+from .names import plain_query
 from .neighbors import nearest_neighbor
 from .ranking import global_rank
 
@@ -70,20 +71,6 @@ def similarity_keys(nearest: DataFrame, sizes: DataFrame, key: str = "vec_id") -
     return nearest.join(other, "neighbor").join(sizes, key)
 
 
-def tag_similarity(items: DataFrame, tags: DataFrame, key: str = "vec_id") -> DataFrame:
-    """(key, tag_no, tag, similarity): cosine of every item with every tag of a vocabulary."""
-    t = tags.select("tag_no", "tag", F.col("embedding").alias("te"))
-    return items.filter(~V.is_unindexed(F.col("embedding"))).crossJoin(t).select(key, "tag_no", "tag", V.cosine(F.col("embedding"), F.col("te")).alias("similarity"))
-
-
-def top_tags(similar: DataFrame, key: str = "vec_id", threshold: float | None = None, most: int = 15) -> DataFrame:
-    """(key, tags): best first, joined by commas; without a threshold the best 15 that aren't negative."""
-    kept = similar.filter(F.col("similarity") >= (0.0 if threshold is None else threshold))
-    listed = F.array_sort(F.collect_list(F.struct((-F.round("similarity", 9)).alias("s"), "tag_no", "tag")))
-    listed = F.slice(listed, 1, most) if threshold is None else listed
-    return kept.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["tag"]), ", ").alias("tags"))
-
-
 def proxy_section(fingerprint: Column, tags: Column, model: str) -> Column:
     """The text section that stands in for an embedding; a note if there is none."""
     head = F.lit(f"# Embedding proxy ({model}):")
@@ -94,8 +81,7 @@ def proxy_section(fingerprint: Column, tags: Column, model: str) -> Column:
 
 def filename_score(path: Column, query: str) -> Column:
     """Literal priority and fuzzy ratios as one score."""
-    q = " ".join(query.strip().lower().replace("_", " ").replace("-", " ").replace(".", " ").replace("/", " ").split())
-    return (10.0 * T.literal_priority(path, query) + fuzzy_score(q, T.normalize_text(path), T.normalize_text(T.base_name(path)))) / 100.0
+    return (10.0 * T.literal_priority(path, query) + fuzzy_score(plain_query(query), T.normalize_text(path), T.normalize_text(T.base_name(path)))) / 100.0
 
 
 def pixels(resolution: Column) -> Column:

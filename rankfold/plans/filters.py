@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import vectors as X
 from ..functions.fuzzy import fuzzy_score
 from ..functions.numbers import sampled_hash as sampled
-from ..operators import features, library as L, ranking as R, search
+from ..operators import features, library as L, names, ranking as R, search
 from ..sources import views as V
 from .registry import query
 
@@ -123,6 +123,13 @@ def filename_score(spark, sf_dir):
     return V.files(spark, sf_dir).select("idx", F.round(search.filename_score(F.col("path"), QUERY), 6).alias("score"))
 
 
+@query()
+def filename_search(spark, sf_dir):
+    """The 100 best names; ratios are computed only for names whose bound can reach them."""
+    found = names.name_search(names.name_index(V.files(spark, sf_dir)), "src1 doc 12", 100)
+    return found.select(F.col("key").alias("idx"), "path", F.round("score", 6).alias("score"))
+
+
 @query("""
 SELECT idx, k, CASE WHEN n >= 1073741824 THEN CAST(round(n / 1073741824.0::DOUBLE, 2) AS VARCHAR) || ' GB' WHEN n >= 1048576 THEN CAST(round(n / 1048576.0::DOUBLE, 2) AS VARCHAR) || ' MB'
   WHEN n >= 1024 THEN CAST(round(n / 1024.0::DOUBLE, 2) AS VARCHAR) || ' KB' WHEN n >= 1 THEN CAST(round(n / 1.0::DOUBLE, 2) AS VARCHAR) || ' B' ELSE '0B' END AS shown

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as X
 from ..operators import features
 from ..operators import search as O
+from ..operators import tags as G
 from ..operators.ranking import Down, global_rank
 from ..sources import views as V
 from .registry import query
@@ -61,12 +62,12 @@ _TAGGED = f"tagged AS (SELECT vec_id, tag_no, tag, {_DOT.replace('q', 'te')} / (
 
 @query(f"WITH {_TAGGED} SELECT vec_id, tag_no, tag, round(similarity, 6) AS similarity FROM tagged")
 def tag_similarity(spark, sf_dir):
-    return O.tag_similarity(V.vectors(spark, sf_dir), V.tags(spark, sf_dir)).select("vec_id", "tag_no", "tag", F.round("similarity", 6).alias("similarity"))
+    return G.tag_similarity(V.vectors(spark, sf_dir), V.tags(spark, sf_dir)).select("vec_id", "tag_no", "tag", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_TAGGED} SELECT vec_id, string_agg(tag, ', ' ORDER BY round(similarity, 9) DESC, tag_no) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(similarity, 9) DESC, tag_no) AS n FROM tagged WHERE similarity >= 0) WHERE n <= 15 GROUP BY vec_id")
 def top_tags(spark, sf_dir):
-    return O.top_tags(O.tag_similarity(V.vectors(spark, sf_dir), V.tags(spark, sf_dir)))
+    return G.best_tags(V.vectors(spark, sf_dir), V.tags(spark, sf_dir))
 
 
 @query(f"""
@@ -78,7 +79,7 @@ SELECT vec_id, coalesce(fingerprint, '') AS fingerprint, CASE WHEN fingerprint I
 """)
 def fingerprint(spark, sf_dir):
     v = V.vectors(spark, sf_dir)
-    t = O.top_tags(O.tag_similarity(v, V.tags(spark, sf_dir)))
+    t = G.best_tags(v, V.tags(spark, sf_dir))
     rows = v.select("vec_id", X.fingerprint(F.col("embedding")).alias("fingerprint")).join(t, "vec_id", "left")
     return rows.select("vec_id", "fingerprint", O.proxy_section(F.col("fingerprint"), F.coalesce("tags", F.lit("")), "m").alias("section"))
 
