@@ -72,9 +72,13 @@ def _whole_bound(text: Column, words: Column, q: str) -> Column:
     held = F.array_contains(words, q)
     distinct = (F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) + F.size(words) - 1).cast("double")
     sets = F.when(held, 100.0).otherwise(200 * F.least(c, n, distinct) / (n + distinct))
-    least = F.least(n, m)
-    # A part may be cut at the ends down to what is shared.
-    part = F.when(held, 100.0).otherwise(200 * F.least(c, least) / (least + F.least(c, least)))
+
+    def cut(size: Column) -> Column:
+        # A part may be cut at the ends down to what is shared.
+        least = F.least(n, size)
+        return 200 * F.least(c, least) / (least + F.least(c, least))
+
+    part = F.when(held, 100.0).otherwise(F.greatest(cut(m), cut(distinct)))  # repeated words count once in a word-wise part
     scale = F.when(longer <= 8.0, 0.9).otherwise(0.6)
     near = F.greatest(plain, 0.95 * plain, 0.95 * sets)
     return F.when((m == 0) | (c == 0), 0.0).when(longer < 1.5, near).otherwise(F.greatest(plain, scale * part))
@@ -96,10 +100,14 @@ def candidates(index: DataFrame, query: str, k: int) -> DataFrame:
         return index.filter("false").select("key", "path", F.lit(0.0).alias("score"))
     bounded = stored(index.withColumn("bound", score_bound(query)).select("key", "path", "full", "base", "bound"), "name-bounds")
     first = stored(bounded.orderBy(F.col("bound").desc(), F.col("key").asc_nulls_last()).limit(FIRST * k).withColumn("score", exact), "names-first")  # FIRST * k rows
-    kth = first.select("score").orderBy(F.col("score").desc()).limit(k).collect()
+    kth = first.select("score", "key").orderBy(F.col("score").desc(), F.col("key").asc_nulls_last()).limit(k).collect()
     last = first.agg(F.min("bound")).first()[0]
-    least = kth[-1].score if len(kth) == k else float("-inf")
-    rest = bounded.filter((F.col("bound") >= least) & (F.col("bound") <= F.lit(last if last is not None else 0.0)))
+    better = F.lit(True)
+    if len(kth) == k:
+        # What can only tie with the k-th comes before it by its key alone.
+        tie = F.col("key").isNotNull() if kth[-1].key is None else F.col("key") < F.lit(kth[-1].key)
+        better = (F.col("bound") > kth[-1].score + 2e-9) | ((F.col("bound") >= kth[-1].score) & tie)
+    rest = bounded.filter(better & (F.col("bound") <= F.lit(last if last is not None else 0.0)))
     scored = first.select(F.col("key").alias("__key"))
     rest = rest.join(F.broadcast(scored), F.col("key").eqNullSafe(F.col("__key")), "left_anti").withColumn("score", exact)  # FIRST * k keys
     return first.select("key", "path", "score").unionByName(rest.select("key", "path", "score"))
