@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..sources.shared import stored
 from .features import padded
@@ -173,7 +174,7 @@ class SequenceRater:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out)], names=[*names, "prediction"])
 
         cut = F.coalesce(F.slice(sequence, 1, self.most), F.array().cast("array<array<double>>"))
-        return rows.withColumn("__cut", cut).mapInArrow(run, rows.schema.add("prediction", "double"))
+        return rows.withColumn("__cut", cut).mapInArrow(run, StructType([*rows.schema.fields, StructField("prediction", DoubleType())]))
 
 
 def _epoch(batch: DataFrame, shape: Shape, flat: np.ndarray) -> np.ndarray:

@@ -1,9 +1,7 @@
-"""Streams of play and rating events, and incremental backfill."""
+"""Streams of play and rating events."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,38 +55,3 @@ def drained(stream: DataFrame, key: str = "item") -> DataFrame:
     rest = [c for c in stream.columns if c != key]
     last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "__tick").alias("__row"))
     return last.select(key, "__row.*").select(*stream.columns)
-
-
-def incremental_backfill(arrivals: DataFrame, missing: Callable[[DataFrame, DataFrame], DataFrame], process: Callable[[DataFrame], DataFrame], schema: str, cap: int | None = None) -> DataFrame:
-    """On each tick takes what has arrived and isn't done, at most `cap` rows, and appends what `process` makes of them.
-
-    missing(arrived, done): the arrived rows that aren't done. What a capped tick leaves waits for the next one; after
-    the source is exhausted ticks go on until nothing is missing. Ticks run one after another.
-    """
-    spark = arrivals.sparkSession
-    path = shared_path(spark, "backfill")
-    empty = spark.createDataFrame([], schema)
-    arrived: set[int] = set()
-    ticks: set[str] = set()
-
-    def read(kind: str, names, like) -> DataFrame:
-        return spark.read.schema(like.schema).parquet(*[f"{path}/{kind}/{n}" for n in sorted(names)]) if names else like
-
-    def tick(name: str) -> bool:
-        left = missing(read("arrived", arrived, arrivals), read("done", ticks - {name}, empty))
-        process(left if cap is None else left.limit(cap)).write.mode("overwrite").parquet(f"{path}/done/{name}")
-        ticks.add(name)
-        return not read("done", {name}, empty).isEmpty()
-
-    def step(batch: DataFrame, number: int) -> None:
-        # A batch that is repeated after a failure replaces its own output.
-        batch.write.mode("overwrite").parquet(f"{path}/arrived/{number}")
-        arrived.add(number)
-        tick(f"a{number}")
-
-    q = arrivals.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(step).start()
-    q.awaitTermination()
-    n = 0
-    while arrived and cap is not None and tick(f"b{n}"):
-        n += 1
-    return read("done", ticks, empty)
