@@ -66,6 +66,28 @@ def quarantine_unsafe_paths(spark, sf_dir):
     return rows.select("page_id", "kind", T.is_unsafe(F.col("value")).alias("unsafe"))
 
 
+_PAYLOADS = """(SELECT page_id, unnest(['{"data":{"files":[{"path":"' || u || '/../x"}]}}', '{"files":["normal.jpg",["' || u || '/%252e%252e/x"]]}', '{"a":{"b":{"c":"' || u || '"}},"n":5,"ok":true,"z":null}',
+  '{"../etc/passwd":{"/proc/x":"' || u || '"}}', '{"a":[[{"b":"\\u002e\\u002e/' || u || '"}]]}', u || '/../{']) AS payload, unnest([0, 1, 2, 3, 4, 5]) AS kind FROM (SELECT page_id, replace(replace(url, '\\', '\\\\'), '"', '\\"') AS u FROM pages))"""
+
+
+@query(f"""
+WITH v AS (SELECT page_id, kind, json_extract_string(t.atom, '$') AS value FROM {_PAYLOADS} p, json_tree(p.payload) t WHERE kind < 5 AND t.type = 'VARCHAR' UNION ALL SELECT page_id, kind, payload FROM {_PAYLOADS} WHERE kind = 5)
+SELECT page_id, kind, count(*) AS n_strings, count(*) FILTER (contains(v, '/etc/') OR contains(v, '/proc/') OR (contains(value, '/') AND list_contains(string_split(v, '/'), '..'))) AS n_unsafe
+FROM (SELECT *, lower(url_decode(url_decode(value))) AS v FROM v) GROUP BY page_id, kind
+""")
+def quarantine_unsafe_payloads(spark, sf_dir):
+    """Strings nested in JSON, at any depth."""
+    u = F.replace(F.replace(F.col("url"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    j = lambda before, after: F.concat(F.lit(before), u, F.lit(after))
+    payloads = F.array(
+        j('{"data":{"files":[{"path":"', '/../x"}]}}'), j('{"files":["normal.jpg",["', '/%252e%252e/x"]]}'), j('{"a":{"b":{"c":"', '"}},"n":5,"ok":true,"z":null}'),
+        j('{"../etc/passwd":{"/proc/x":"', '"}}'), j('{"a":[[{"b":"\\u002e\\u002e/', '"}]]}'), j("", "/../{"),
+    )
+    rows = V.table(spark, sf_dir, "pages").select("page_id", F.posexplode(payloads).alias("kind", "payload"))
+    values = rows.select("page_id", "kind", T.json_strings(F.col("payload")).alias("v"))
+    return values.select("page_id", "kind", F.size("v").cast("long").alias("n_strings"), F.size(F.filter("v", T.is_unsafe)).cast("long").alias("n_unsafe"))
+
+
 @query("SELECT idx, kind, CASE kind WHEN 0 THEN path_ WHEN 1 THEN '/mnt/media/b' WHEN 2 THEN NULL ELSE '/mnt/media' END AS resolved FROM (SELECT idx, '/mnt/media' || '/text/' || idx || ext AS path_, unnest([0, 1, 2, 3]) AS kind FROM files)")
 def within_base(spark, sf_dir):
     base = "/mnt/media"
