@@ -11,6 +11,8 @@ from ..functions.numbers import uniform
 from ..operators import library as L, ranking as R
 from ..sources import files as S
 from ..sources import views as V
+from ..sources.keyed import KeyedTable
+from ..sources.shared import shared_path
 from .registry import query
 
 EPOCH = "CAST(floor(epoch({0})) AS DOUBLE)"
@@ -188,14 +190,28 @@ def _rated(spark, sf_dir):
     return e.join(V.files(spark, sf_dir).select("idx", F.col("path").alias("file_path"), "hash"), F.col("item") == F.col("idx")).select("file_path", "hash", "ts", F.round("rating", 6).alias("value"))
 
 
-@query(f"""
+_RATE = f"""
 WITH r AS (SELECT path AS file_path, hash AS n_hash, ts, round(rating, 6) AS value FROM item_events JOIN files ON item = idx WHERE kind = 'click' QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, value DESC) = 1)
 SELECT file_path, CASE WHEN value IS NOT NULL THEN n_hash ELSE hash END AS hash, CASE WHEN value IS NOT NULL THEN value ELSE user_rating END AS user_rating, {EPOCH.format('CASE WHEN value IS NOT NULL THEN ts ELSE user_rating_date END')} AS rated_at, model_rating FROM library FULL JOIN r USING (file_path)
-""")
+"""
+
+
+@query(_RATE)
 def rate_file(spark, sf_dir):
     return L.rate_files(V.library(spark, sf_dir), _rated(spark, sf_dir)).select("file_path", "hash", "user_rating", _seconds("user_rating_date").alias("rated_at"), "model_rating")
 
 
+@query(_RATE)
+def rate_into_buckets(spark, sf_dir):
+    """The same ratings as an upsert into a bucketed table: touched buckets alone are rewritten, the repeated batch changes nothing."""
+    library = V.library(spark, sf_dir).select("file_path", "hash", "user_rating", "user_rating_date", "model_rating")
+    table = KeyedTable(spark, shared_path(spark, "library"), library.schema, ["file_path"])
+    table.upsert(library, "load")
+    for _ in range(2):
+        table.upsert(_rated(spark, sf_dir), "ratings", L.rate_files, ["ts", "value"])
+    return table.read().select("file_path", "hash", "user_rating", _seconds("user_rating_date").alias("rated_at"), "model_rating")
+
+
 # Ranking ------------------------------------------------------------------------------------------------------------
 
 _SCORES = "(SELECT f.idx, path, size, coalesce(user_rating, model_rating) AS score FROM files f LEFT JOIN library ON file_path = path)"

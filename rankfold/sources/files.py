@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .keyed import KeyedTable
 
 
 def extension(path: Column) -> Column:
@@ -50,9 +53,13 @@ def memory_records(rated: DataFrame, captured: str) -> DataFrame:
     return rated.select(F.coalesce(F.to_date("user_rating_date"), F.to_date(F.lit(captured))).cast("string").alias("day"), F.col("hash").alias("file_stem"), F.concat(head, F.lit("\n"), F.coalesce("description", note)).alias("value"))
 
 
-def write_memory(records: DataFrame, path: str) -> None:
-    """Dated folders of text records, one per key."""
-    records.write.partitionBy("day").mode("append").json(path)
+def write_memory(records: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Dated folders of text records, one per key: writing again replaces, a batch that is named is written once.
+
+    Only the buckets that the records fall into are replaced, when the job succeeds. False if the batch was there.
+    """
+    table = KeyedTable(records.sparkSession, path, "day string, file_stem string, value string", ["file_stem"], ("day",), 16, "json")
+    return table.upsert(records, batch or uuid.uuid4().hex)
 
 
 def parse_memory(records: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keyed import KeyedTable
 from ..sources.shared import shared_path
 
 
@@ -34,24 +35,19 @@ def event_stream(spark: SparkSession, sf_dir: str, like: DataFrame, files: int |
     return reader.parquet(f"{sf_dir}/events*.parquet")
 
 
-def drained(stream: DataFrame, key: str = "item") -> DataFrame:
+def drained(stream: DataFrame, key: str = "item", buckets: int = 64) -> DataFrame:
     """Runs a stream of changed rows until its source is exhausted; returns the last version of every key.
 
-    Every batch writes the rows that it changed, once; a batch that is repeated after a failure replaces its own.
+    Every batch replaces the buckets of the keys that it changed, so no older versions pile up; a batch that is repeated
+    after a failure changes nothing.
     """
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
-    ticks: set[int] = set()
+    table = KeyedTable(spark, f"{path}/state", stream.schema, [key], buckets=buckets)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__tick", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/changes/{number}")
-        ticks.add(number)
+        table.upsert(batch, str(number))
 
     q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    if not ticks:
-        return spark.createDataFrame([], stream.schema)
-    changes = spark.read.schema(stream.schema.add("__tick", "long")).parquet(*[f"{path}/changes/{n}" for n in sorted(ticks)])
-    rest = [c for c in stream.columns if c != key]
-    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "__tick").alias("__row"))
-    return last.select(key, "__row.*").select(*stream.columns)
+    return table.read()
