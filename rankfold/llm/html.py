@@ -17,11 +17,12 @@ blocks that two or three pages share are an article carried again if others are
 or by their position between kept blocks; a page of which nothing would be left keeps what the fewest pages share.
 
 Any run of RUN + 3 tokens is found, but for up to three tokens at its start, and one of RUN tokens if it begins a block. Words in class and id never empty an
-article: inside it only names that are boilerplate as a whole count (class="ad"); others (class="legal-analysis") make
-the block doubtful, and the array decides.
+article: inside it only names that are boilerplate as a whole count (class="ad"); others (class="legal-analysis", and
+names that an article's own parts bear, as class="menu") make the block doubtful, and the array decides.
 
 Edge cases: null html is empty; a page without text gives an empty string; broken mark-up is read as browsers do
-where it matters (unclosed paragraphs, bare ampersands, unclosed comments); a null or odd url is a host of its own
+where it matters (unclosed paragraphs, bare ampersands, unclosed comments, elements that close themselves, quotes inside
+unquoted values); formulas are text; a null or odd url is a host of its own
 kind; rows with one page id are one page and can't prove a repeat, null ids are different pages unless url and html
 agree; an empty table gives an empty result; further columns are ignored.
 """
@@ -48,7 +49,18 @@ COPIES, FEW, LONG = 3, 4, 40
 #: Pages parsed at once.
 SLICE = 512
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|button|math|object|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+[^>]*+>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>", re.S | re.I)
+#: Attributes: a quote opens a value after an equals sign only; elsewhere (don't) it is a character.
+_ATTRIBUTES = r"((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)"
+#: Comments; elements whose content is no text, up to the page's end if they aren't closed; elements that are left out with
+#: what they hold, only their tag if they close themselves or nothing closes them; all other tags; declarations.
+_TAG = re.compile(
+    r"<!--(?:.*?-->|.*\Z)"
+    rf"|<(?P<raw>script|style|template|iframe|textarea|xmp|noembed)(?=[\s/>]){_ATTRIBUTES}>(?:.*?</(?P=raw)(?=[\s/>])[^>]*+>|.*\Z)"
+    rf"|<(?P<left>noscript|svg|select|button|object|annotation|annotation-xml)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?</(?P=left)(?=[\s/>])[^>]*+>"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+){_ATTRIBUTES}>"
+    r"|<[!?][^>]*+>",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Names of elements; words in class, id and role.
@@ -62,6 +74,8 @@ SELF_ENDING = frozenset("p li td th tr dt dd h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 #: Names that speak of boilerplate by themselves, those that do so only beside such a name, and those that may go along.
 SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus respond pagination pager banner".split())
+#: Those that an article's own parts may have too (the menu of a restaurant, a notice, the banner of its heading): inside one they only make a block doubtful.
+OWN = frozenset("menu notice notices banner masthead modal overlay promo promotion signup subscribe".split())
 MAYBE = frozenset("share sharing social related recommended replies reply copyright legal login search widget follow tags".split())
 ALONG = frozenset("area bar block box body bottom buttons container content desktop form group header holder inner item items left links list main mobile outer page panel posts primary right secondary section site slot text thread top unit wrap wrapper".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -70,8 +84,8 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 OPEN, ARTICLE, DOUBTFUL, OUTSIDE = range(4)
 
 
-def _named(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether class, id or role surely speak of boilerplate, may speak of it, or speak of the main part."""
+def _named(attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether class, id or role surely speak of boilerplate, may speak of it, or speak of the main part; inside an article or not."""
     sure = maybe = main = False
     for m in _NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -81,7 +95,7 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
         main = main or value in MAIN
         for name in value.split():
             words = set(filter(None, _SPLIT.split(name)))
-            if not words.isdisjoint(SURE) and words <= SURE | MAYBE | ALONG:
+            if not words.isdisjoint(SURE) and words <= SURE | MAYBE | ALONG and not (inside and words & SURE <= OWN):
                 sure = True
             elif not words.isdisjoint(SURE | MAYBE):
                 maybe = maybe or words <= MAYBE | ALONG or not words.isdisjoint(SURE | MAYBE)
@@ -156,11 +170,11 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         if m.start() > at and not stack.counts[0]:
             parts.append(html[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
             continue
-        name, closing, attributes = name.lower(), m[2], m[4]
-        sure, maybe, good = _named(attributes) if attributes and not closing else (False, False, False)
+        name, closing, attributes = name.lower(), m["close"], m[m.lastindex]
+        sure, maybe, good = _named(attributes, stack.counts[4] > 0) if attributes and not closing else (False, False, False)
         if name not in BLOCKS:
             if name == "br":
                 parts.append(" ")
@@ -352,7 +366,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 out.clear()
         yield packed()
 
-    # n: suffixes of the host with these first RUN tokens. The window deals the rows out; no group is held in memory.
+    # n: suffixes of the host with these first RUN tokens. The window holds one host's distinct suffixes of one such beginning,
+    # and spills; equal ones are counted before.
     array = distinct.withColumn("n", F.sum("n").over(W.partitionBy("o", "head"))).sortWithinPartitions("o", "suffix").select("o", "suffix", "a", "b", "n")
     repeated = array.mapInArrow(compare, "o long, suffix binary, length int, n long")
     runs = suffixes.join(repeated, ["o", "suffix"]).groupBy("j").agg(F.collect_set(F.struct("at", "length", "n")).alias("runs"))  # as many as a page has tokens at most

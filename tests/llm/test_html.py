@@ -37,6 +37,16 @@ from .conftest import story
         ("<div>open <span class=ad>x</div><div>b</div>", "open\n\nb"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a\n\nb\n\n1\n\n2"),
         ("<div role=navigation>x</div><div role=main>y</div><div>z</div>", "y"),
+        # Elements that close themselves or aren't closed, custom elements, formulas, quotes inside unquoted values.
+        ('<article><p>Before</p><svg class="i"/><p>After one</p><p>After two</p></article>', "Before\n\nAfter one\n\nAfter two"),
+        ("<article><p>a</p><svg viewBox='0 0 1 1'><text>icon</text></svg><p>b</p><svg><p>c</p></article>", "a\n\nb\n\nc"),
+        ("<article><p>Since <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "Since x=1 holds"),
+        ("<article><math/><p>a<math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation></semantics></math></p></article>", "ay"),
+        ("<article><button-group><p>Custom text</p></button-group><script-like>b</script-like><button>no</button></article>", "Custom text\n\nb"),
+        ("<article><p data-x=don't>It's fine here</p><p title=\"a>b\" alt='c>d'>and 'here'</p></article>", "It's fine here\n\nand 'here'"),
+        ("<article><p class=\"x>y</p><p>it's</p></article>", "y\n\nit's"),
+        ('<article><header class="banner"><h1>The title</h1></header><ul class="menu"><li>Soup of the day</li></ul><div class="notice">Mind this.</div></article><div class="menu">m</div>', "The title\n\nSoup of the day\n\nMind this."),
+        ("<script>if (a < b) '</p>'</script ><p>t</p><SCRIPT>open", "t"),
     ],
 )
 def test_structure(page, text):
@@ -147,7 +157,7 @@ def test_sample_pages(spark, sf):
     got = H.extracted(pages).collect()
     assert len(got) == len(rows)
     assert all(r.text == "\n\n".join(article(rows[r.page_id].html)) and r.n_chars == len(r.text) for r in got)
-    assert sum(r.by_array > 0 for r in got) > 0.5 * len(got)  # the array decides on most pages
+    assert sum(r.by_array > 0 for r in got) > 0.5 * len(got)  # it covers boilerplate there; structure alone would drop the same, as every page marks its article
     bare = spark.createDataFrame([(k, r.url, stripped(r.html)) for k, r in rows.items()], "page_id long, url string, html string")
     kept = found = want = 0
     for r in H.extracted(bare).collect():
