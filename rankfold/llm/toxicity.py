@@ -142,9 +142,9 @@ def held_out(id_col: str):
 
 
 def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(t, y) of at most SAMPLE labelled rows that aren't held out."""
+    """(t, hy) of the rows of at most SAMPLE labels that aren't held out: text, and a hash of the id with the label."""
     sample = labels.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).dropna().orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id").select("t", "y")  # SAMPLE rows of two numbers
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id").select("t", "y", F.struct(F.xxhash64("id").alias("h"), "y").alias("hy"))  # SAMPLE rows of two numbers
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], set[str]]:
@@ -170,6 +170,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], set[str]]:
     weights = {r.w: o for r in rows if (o := _odds(r.a, r.b, ta, tb)) > LEAST}
     often = [r.w for r in rows if r.w in weights and r.b >= 3]
     if not often:
+        discard(seen, counts)
         return weights, set()
     words = train.sparkSession.createDataFrame([(w,) for w in often], "w string")
     clean = seen.filter(F.col("good") & ~F.col("bad") & (F.col("before") != "") & (F.col("n") >= REPEATS)).join(words, "w", "left_semi")
@@ -212,7 +213,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(spark)
     train = training(docs, labels, id_col, text_col, label_col)
     lexicon = spark.sparkContext.broadcast(learn_lexicon(train))
-    rows = _weighed(train, "y", dict(train.dtypes)["y"], lexicon).toPandas()  # SAMPLE labels, as often as their id is repeated
+    rows = _weighed(train, "hy", dict(train.dtypes)["hy"], lexicon).select("hy.*", *WEIGHED)
+    rows = rows.orderBy("h", "y", *WEIGHED).limit(SAMPLE).toPandas()  # numbers, bounded also where an id is on many rows
     rows = rows.sort_values(["y", *WEIGHED])  # sums don't depend on the order of partitions
     y = rows["y"].to_numpy(float)
     x = inputs(*(rows[c].to_numpy(float) for c in WEIGHED))

@@ -228,3 +228,15 @@ def test_pipeline_edges(spark, sf, edges, nothing):
             assert all(r[c] == "mine" for r in rows for c in CLASHES)
             docs = spark.createDataFrame(rows, docs.schema)
         assert p.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_one_labelled_id_on_very_many_rows(spark, monkeypatch):
+    """The curve is fitted on bounded rows of numbers, however often a labelled id is repeated."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 500)
+    seen = []
+    real = toxicity.inputs
+    monkeypatch.setattr(toxicity, "inputs", lambda weight, *rest: seen.append(len(weight)) or real(weight, *rest))
+    docs = spark.range(100_000).selectExpr("CAST(IF(id > 50, 7, id) AS long) AS doc_id", "concat('some text of row ', id) AS text")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(50)], "doc_id long, toxic int")
+    assert toxicity.scored(docs, labels).count() == 100_000
+    assert seen and max(seen) <= 500
