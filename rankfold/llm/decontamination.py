@@ -35,8 +35,9 @@ from .common import ship, written
 
 Q, SHORT_Q, SHORTEST, PROBE, EDITS, STEP, NEAR = 8, 5, 8, 96, 0.1, 16, 32
 #: Bytes of benchmark text in one block, of one piece of a long item, and of document text in one numpy pass; hits that
-#: are spread to bands at once; indexes that a worker holds.
-BLOCK, PIECE, CHUNK, HITS, HELD = 2 << 20, 32 << 10, 4 << 20, 2 << 20, 2
+#: are spread to bands at once; indexes that a worker holds;
+#: bytes of documents that every block goes over before the next round, where there are more blocks than that.
+BLOCK, PIECE, CHUNK, HITS, HELD, SWEEP = 2 << 20, 32 << 10, 4 << 20, 2 << 20, 2, 64 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
 
@@ -312,6 +313,20 @@ def _index(block) -> Indexes:
     return _indexes[block.id]
 
 
+def _rounds(batches, column: str | int, blocks: list):
+    """Lists of batches, and the blocks in the order to take them in. What a worker can't hold is built once for some
+    SWEEP bytes of documents, and the order turns round each time, so that the last indexes serve again."""
+    held, size, turned = [], 0, False
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if len(blocks) <= HELD or size >= SWEEP:
+            yield held, blocks[::-1] if turned else blocks
+            held, size, turned = [], 0, not turned
+    if held:
+        yield held, blocks[::-1] if turned else blocks
+
+
 class _Block:
     """A broadcast list of (hash of the item's text, piece of it), known by a number."""
 
@@ -362,16 +377,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     queries = blocks(benchmark, item_col, item_text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
-            found = []
-            for block in queries:
-                items = block.value
-                found += [(t, items[i][0], a, b, e) for t, i, a, b, e in _index(block).find(texts)]
-            found = _merged(found)
-            place = lambda f, k: len(texts[f[0]][: f[k]].decode("utf-8", "ignore"))  # noqa: B023, E731
-            cols = [pa.array([f[1] for f in found], pa.int64()), pa.array([place(f, 2) for f in found], pa.int64()), pa.array([place(f, 3) for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array([f[0] for f in found], pa.int64())), *cols], names=["d", "h", "start", "end", "edits"])
+        for held, order in _rounds(batches, "t", queries):
+            texts = [[t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()] for batch in held]
+            every: list[list] = [[] for _ in held]
+            for block in order:
+                items, index = block.value, _index(block)
+                for own, into in zip(texts, every, strict=True):
+                    into += [(t, items[i][0], a, b, e) for t, i, a, b, e in index.find(own)]
+            for batch, own, found in zip(held, texts, map(_merged, every), strict=True):
+                place = lambda f, k: len(own[f[0]][: f[k]].decode("utf-8", "ignore"))  # noqa: B023, E731
+                cols = [pa.array([f[1] for f in found], pa.int64()), pa.array([place(f, 2) for f in found], pa.int64()), pa.array([place(f, 3) for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array([f[0] for f in found], pa.int64())), *cols], names=["d", "h", "start", "end", "edits"])
 
     found = d.mapInArrow(run, f"d {dict(d.dtypes)['d']}, h long, start long, end long, edits int")
     out = found.join(_items(benchmark, item_col, item_text_col).select("h", "i"), "h")
@@ -385,12 +401,15 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     queries = blocks(benchmark, item_col, item_text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            left = list(range(len(texts)))
-            for block in queries:
-                found = {f[0] for f in _index(block).find([texts[k] for k in left])}
-                left = [k for n, k in enumerate(left) if n not in found]
-            yield batch.take(pa.array(left, pa.int64()))
+        for held, order in _rounds(batches, at, queries):
+            texts = [[t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()] for batch in held]
+            left = [list(range(len(own))) for own in texts]
+            for block in order:
+                index = _index(block)
+                for n, own in enumerate(texts):
+                    found = {f[0] for f in index.find([own[k] for k in left[n]])}
+                    left[n] = [k for m, k in enumerate(left[n]) if m not in found]
+            for batch, rows in zip(held, left, strict=True):
+                yield batch.take(pa.array(rows, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -109,3 +109,25 @@ def test_blocks_pieces_and_equal_items(spark, monkeypatch):
     kept = D.cleaned(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {391, 392, 393}
     assert D.contaminations(d.limit(0), b).count() == 0 and D.contaminations(d, b.limit(0)).count() == 0 and D.cleaned(d, b.limit(0)).count() == len(docs)
+
+
+def test_indexes_are_built_once_a_round(monkeypatch):
+    """With six blocks an index isn't built anew for every batch, and every batch meets every block."""
+    import types
+
+    import pyarrow as pa
+
+    built, met = [], []
+    monkeypatch.setattr(D, "Indexes", lambda items: built.append(1) or items)
+    monkeypatch.setattr(D, "SWEEP", 1000)
+    monkeypatch.setattr(D, "_indexes", type(D._indexes)())
+    parts = [types.SimpleNamespace(id=k, value=[(0, b"x")]) for k in range(6)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["y" * 96])], names=["t"]) for _ in range(50)]
+    for held, order in D._rounds(iter(batches), "t", parts):
+        assert [b.id for b in order] in (list(range(6)), list(range(5, -1, -1)))
+        for b in order:
+            D._index(b)
+        met += held
+    assert len(met) == 50 and len(built) <= 6 + 4 * 5
+    built.clear()
+    assert [len(h) for h, _ in D._rounds(iter(batches), "t", parts[:2])] == [1] * 50
