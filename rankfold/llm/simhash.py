@@ -215,9 +215,11 @@ def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     sketches = written(_sketched(d, dict(d.dtypes)["id"], shingle, n_bands, bits), "simhash-sketches")
-    # Short numbers k for the sets keep the rows of the one large shuffle small.
+    # Short numbers k for the sets keep the rows of the one large shuffle small. They go by the sets' sizes: near copies are
+    # of about one size, so they are neighbours in a bucket though strangers of other sizes share it.
     nodes = sketches.groupBy("s").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("k", F.monotonically_increasing_id()), "simhash-nodes")
+    ordered = nodes.repartitionByRange("n", "s").sortWithinPartitions("n", "s")
+    nodes = written(ordered.withColumn("k", F.monotonically_increasing_id()), "simhash-nodes")
     # Bits in which sets of the least similarity may differ: expected by the angle between them, and some deviations more.
     p, total = math.acos(2 * similarity / (1 + similarity)) / math.pi, n_bands * bits
     most = math.ceil(p * total + SPREAD * math.sqrt(p * (1 - p) * total))

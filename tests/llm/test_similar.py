@@ -73,6 +73,22 @@ def test_near_copies_against_brute_force(spark, seed):
     check_groups([got[k] for k in range(len(texts))], want, 0.95)
 
 
+def test_crowded_buckets(spark):
+    """With 9 bits some eight strangers share a bucket, as they do with 30 bits among some 10^8 texts: copies still meet."""
+    r = random.Random(9)
+    texts = [story(7000 + k, r.randint(20, 400)) for k in range(400)]
+    for t in texts[:70]:
+        w = t.split()
+        for _ in range(max(1, len(w) // 60)):
+            w[r.randrange(len(w))] = f"z{r.random()}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_groups(texts)
+    got = {r.id: r.component for r in S.near_grouped(docs, bits=9).collect()}
+    assert len(texts) - len(set(want)) > 50
+    check_groups([got[k] for k in range(len(texts))], want, 0.95)
+
+
 def test_recall_on_the_sample(spark, sf):
     """Ten thousand documents: at least 0.9 of the near copies that aren't equal sets, and no false link."""
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/../sf0.1/documents.parquet").select("doc_id", "text").collect())
