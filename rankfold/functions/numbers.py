@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on key and seed alone, so on no partitioning."""
-    return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    """A number in (0, 1) that depends on key and seed alone, so on no partitioning; from MD5, which every engine has."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def uniform_sql(key: str, seed: int) -> str:
+    """The same in SQL."""
+    return f"((CAST(CAST('0x' || substr(md5({key} || ':{seed}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496)"
 
 
 def race_key(score: Column, temperature: float, u: Column) -> Column:

@@ -160,6 +160,8 @@ def text_chunks(texts: DataFrame, key: str, text: str, size: int, overlap: int)
     """(key, chunk_no, start, end, chunk): windows of white-space tokens, as character ranges of the text.
 
     A chunk's start is the sum of the lengths of the steps before it, so no token is joined more than size / step times.
+    The list of sums is copied for each chunk: with c chunks that is c * c / 2 numbers, little beside the text up to
+    some thousands of chunks.
     """
     step = size - overlap if size > overlap else size
     rows = texts.filter(F.length(text) > 0).select(F.col(key), F.split(text, " ").alias("__w"))

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.numbers import uniform
+from ..functions.numbers import uniform, uniform_sql
 from ..operators import library as L, ranking as R
 from ..sources import files as S
 from ..sources import views as V
@@ -228,12 +228,12 @@ def rank_by_score(spark, sf_dir):
     return R.rank_by_score(s).join(back, "idx").select("idx", "score", "rank", "reverse_rank")
 
 
-@query()
+@query(f"SELECT idx, score, row_number() OVER (ORDER BY ln(greatest(score, 1e-9)) / 0.5 - ln(-ln({uniform_sql('path', 7)})) DESC, idx) - 1 AS rank FROM {_SCORES} WHERE score IS NOT NULL")
 def temperature_shuffle(spark, sf_dir):
     return R.temperature_shuffle(_scores(spark, sf_dir), 0.5, seed=7).select("idx", "score", "rank")
 
 
-@query()
+@query(f"SELECT idx, {uniform_sql('path', 7)} AS score FROM files")
 def random_order(spark, sf_dir):
     return V.files(spark, sf_dir).select("idx", uniform(F.col("path"), 7).alias("score"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import uniform_sql
 from ..operators import features
 from ..operators import recommend as M
 from ..operators import sequences as Q
@@ -95,12 +96,20 @@ def gather_training_pairs(spark, sf_dir):
     return out.select("content", "file_stem", "chunk_no", "rating", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
-@query()
+_SPLIT = f"split_rows AS (SELECT id, label, CASE WHEN row_number() OVER (ORDER BY {uniform_sql('id', 42)}, id) - 1 < ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM train_rows)"
+
+
+@query(f"WITH {_SPLIT} SELECT * FROM split_rows")
 def train_test_split(spark, sf_dir):
     return M.train_test_split(V.train_rows(spark, sf_dir).select("id", "label"))
 
 
-@query()
+@query(f"""
+WITH {_SPLIT}, n AS (SELECT CAST(round_even(count(*) FILTER (split = 'test') * 2000.0::DOUBLE / greatest(1, count(*) FILTER (split = 'train') + 2000), 0) AS BIGINT) AS share FROM split_rows),
+i AS (SELECT -1 - k AS id FROM (SELECT unnest(range(0, 2000 + (SELECT share FROM n))) AS k))
+SELECT id, 0 AS chunk_no, label, split, 64 AS dims FROM split_rows
+UNION ALL SELECT id, unnest(range(0, CAST(floor({uniform_sql('(-1 - id)', 7)} * 5) AS BIGINT) + 1)), 0.0, CASE WHEN id < -2000 THEN 'test' ELSE 'train' END, 64 FROM i
+""")
 def noise_negatives(spark, sf_dir):
     rows = M.train_test_split(V.train_rows(spark, sf_dir))
     return M.with_noise(rows, 64).select("id", "chunk_no", "label", "split", F.size("features").alias("dims"))
