@@ -71,7 +71,7 @@ def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "em
     heads = stored(rows.groupBy("v").agg(F.min("i").alias("i"), F.count("*").alias("n"), F.max("w").alias("any")), "nearest-distinct")
     own = heads.join(rows.select(F.col("i").alias("__i"), "w"), F.col("i") == F.col("__i")).select("i", "v", "w")
     single = heads.filter("n = 1").select("i")
-    found = _distinct(stored(own, "nearest-heads"), heads.count(), kind, block, counter).join(single, "i", "left_semi")
+    found = _distinct(own, heads.count(), kind, block, counter).join(single, "i", "left_semi")
     # Copies: the least key, and for that the least of the others.
     copies = rows.join(heads.filter("n > 1").select("v", F.col("i").alias("first")), "v")
     others = copies.filter(F.col("i") != F.col("first"))
@@ -84,7 +84,20 @@ def nearest_neighbor(items: DataFrame, key: str = "vec_id", embedding: str = "em
 def _distinct(rows: DataFrame, n: int, kind: str, block: int, counter: Accumulator | None) -> DataFrame:
     """(i, j, d) for distinct vectors (i, v, w), of those with w."""
     spark = rows.sparkSession
-    many = min(PIVOTS, max(1, -(-4 * n // block))) if n > block else 1
+    if n <= block:
+
+        def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("i").reset_index(drop=True)
+            x, i, asked = _stack(pdf["v"]), pdf["i"].to_numpy(), np.flatnonzero(pdf["w"].to_numpy(bool))
+            if counter is not None:
+                counter.add(len(asked) * len(x))
+            best, d = closest(x[asked], x, asked) if len(asked) else (asked, np.zeros(0))
+            fine = np.isfinite(d)
+            return pd.DataFrame({"i": i[asked][fine], "j": i[best][fine], "d": d[fine]})
+
+        return rows.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(1))).groupBy("b").applyInPandas(alone, f"i {kind}, j {kind}, d double")  # one block
+    rows = stored(rows, "nearest-heads")
+    many = min(PIVOTS, -(-4 * n // block))
     chosen = rows.orderBy(F.xxhash64("i"), "i").limit(many).select("i", "v").orderBy("i").toPandas()  # PIVOTS rows
     if not len(chosen):
         return spark.createDataFrame([], f"i {kind}, j {kind}, d double")
@@ -129,8 +142,6 @@ def _distinct(rows: DataFrame, n: int, kind: str, block: int, counter: Accumulat
 
     schema = f"i {kind}, v array<double>, w boolean, c int, b int, r double, j {kind}, d double"
     ready = dealt.select("i", "v", "w", "c", "b", "r", "j", "d").groupBy("c", "b").applyInPandas(inside, schema)
-    if len(stats) == 1 and blocks[stats[0].c] == 1:
-        return ready.filter("w AND d < double('infinity')").select("i", "j", "d")
     ready = stored(ready, "nearest-bounds")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
