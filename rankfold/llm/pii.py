@@ -46,7 +46,7 @@ BASE = {
 WIDE = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:@|[(\[{<](?:(?i:at)|@)[)\]}>]) ?| (?i:at) (?=[A-Za-z0-9-]++ (?i:dot) ))[A-Za-z0-9-]++(?:(?: ?\. ?(?=[A-Za-z0-9-])| ?[(\[{<](?:(?i:dot)|\.)[)\]}>] ?| (?i:dot) )[A-Za-z0-9-]++)++",
     "dotted": r"(?<![0-9A-Za-z])[0-9]{1,3}+(?:(?: ?[(\[{<](?:\.|(?i:dot))[)\]}>] ?| \. ?| (?i:dot) )[0-9]{1,3}+){3,}+(?![0-9A-Za-z])",
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:(?:\[\.\]|\(\.\)|[().\x20/_\u2013-]{0,3}+)[0-9]){6,21}+(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:(?:\[\.\]|\(\.\)|[().\x20/_\u2013-]{0,5}+)[0-9]){6,21}+(?![0-9A-Za-z])",
 }
 #: Documents of the training sample, plantings in each, size of the model, and the precision asked for.
 SAMPLE, PLANTINGS, TREES, DEPTH, PRECISION = 2_500, 4, 12, 4, 0.98
