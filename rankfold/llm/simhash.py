@@ -6,13 +6,15 @@ on the variant brings all linked pairs together. At most 65 distinct fingerprint
 of them are within the radius of each other, so consecutive ones are linked: that loses no connection and no
 group grows with the data, however many copies a text has (grouped()).
 
-Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that can be enumerated. For a stated
-similarity of five-word shingle sets (near_grouped()) every distinct set therefore has BANDS short fingerprints of
-NEAR_BITS bits from independent hashes, each hashed by the same balls of radius 1; colliding pairs are deduplicated,
-tested on all their fingerprint bits, and verified on the whole sets; groups are the components of the verified links.
-Equal short fingerprints go first, so that large families are components before balls pair what still is apart; each set
-meets its neighbour in a bucket, never all of it. A link is found if any band lies within two bits: at a similarity of
-0.8 that is 9 of 10, more above (README has measured figures).
+Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that can be enumerated, so near_grouped()
+joins the sets of five-word shingles themselves, exactly. Sets of a similarity J and sizes s <= l differ in
+D = (1 - J) / (1 + J) * (s + l) members at most. Members are dealt by hash into more than D parts, so similar sets have equal
+parts, and the strongest of these (by members in it, then by hash: the same order for all sets) has at most D others before
+it in either set: every set names its D + 1 strongest parts, and sets that are similar meet at one (signatures()). The
+number of parts goes by classes of sizes, and a set names parts for each class that its smaller partners can be in.
+Neighbours at a part are verified first, so that large families are components before what is still apart there is paired;
+pairs are tested by size and by parities (a bit for each residue of the members' hashes: two sets differ in as many members
+as bits at least), and then on the whole sets. Groups are the components of the verified links.
 
 Edge cases: a null text is an empty one; texts without words have fingerprint 0 and are linked like any others; a text
 of fewer words than a shingle has one shingle of all of them; rows with a null id take part and take the least id of
@@ -22,11 +24,13 @@ columns are ignored or carried along, whatever their names and types.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,10 +40,14 @@ from .common import discard, ship, written
 from .components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
-#: For near copies by similarity: words of a shingle, the least similarity, and short fingerprints of so many bits.
-NEAR_SHINGLE, SIMILARITY, BANDS, NEAR_BITS = 5, 0.8, 14, 30
-#: Standard deviations by which all fingerprints of a pair may differ more than expected before its sets aren't compared.
-SPREAD = 5.0
+#: For near copies by similarity: words of a shingle, the least similarity, bits of a part's name.
+NEAR_SHINGLE, SIMILARITY, NEAR_BITS = 5, 0.8, 64
+#: Parts beyond those that similar sets may differ in, by their number: the weakest of so many aren't named.
+SPARE = 0.5
+#: Bits of a set's parities.
+PARITIES = 1024
+#: Sets that a task remembers, so that exact copies are dealt out once.
+RECENT = 100_000
 #: Hashes that are unpacked to bits at once.
 BLOCK = 1 << 14
 
@@ -130,17 +138,45 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def bands(s: np.ndarray, n: int = BANDS, bits: int = NEAR_BITS) -> list[int]:
-    """Short fingerprints of a set, each from other hashes of its members; two come from one 64-bit hash."""
-    out: list[int] = []
-    for b in range(0, n, 2):
-        votes = np.zeros(64, np.int64)
-        for k in range(0, len(s), BLOCK):
-            h = _mixed(s[k : k + BLOCK] + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        fp = int(np.packbits(2 * votes > len(s), bitorder="little").view("<u8")[0])
-        out += [fp & (1 << bits) - 1, fp >> 32 & (1 << bits) - 1]
-    return out[:n]
+def differing(size: int, similarity: float) -> int:
+    """Members at most in which a set of this size and a similar one that isn't smaller differ."""
+    return int((1 - similarity) / (1 + similarity) * (size + int(size / similarity + 1e-6)) + 1e-6)
+
+
+def classes(most: int, similarity: float) -> list[int]:
+    """The least size of every class of sizes up to `most`, and of the next one."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] / similarity - 1e-9)))
+    return out
+
+
+def signatures(s: np.ndarray, similarity: float, lows: list[int]) -> np.ndarray:
+    """Names of the strongest parts of a set of distinct hashes, for the class of its size and those of similar smaller sets."""
+    out = []
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    h = _mixed(s.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    weights = _mixed(h + np.uint64(0xD6E8FEB86659FD93))
+    first = bisect.bisect_right(lows, max(1, math.ceil(len(s) * similarity - 1e-6))) - 1
+    for c in range(first, bisect.bisect_right(lows, len(s))):
+        d = differing(lows[c + 1] - 1, similarity)
+        n = d + 1 + (math.ceil(SPARE * d) + 2 if d else 0)
+        part = (h % np.uint64(n)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        count = np.bincount(part, minlength=n)
+        held = np.flatnonzero(count)
+        total = np.zeros(n, np.uint64)
+        total[held] = np.add.reduceat(weights[order], np.concatenate(([0], np.cumsum(count[held])[:-1])))
+        name = _mixed(total ^ _mixed(np.arange(n, dtype=np.uint64) + np.uint64(((c + 1) << 40) % (1 << 64))))
+        out.append(name[np.lexsort((name, -count))[: d + 1]])
+    return np.concatenate(out)
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """For every residue whether an odd number of members has it."""
+    odd = np.bincount((s % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -151,8 +187,8 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _sketched(docs: DataFrame, kind: str, shingle: int, n_bands: int, bits: int) -> DataFrame:
-    """docs: (id, th, t). With the set's id s, its size n, short fingerprints, and its members as 32-bit hashes."""
+def _sketched(docs: DataFrame, kind: str, shingle: int) -> DataFrame:
+    """docs: (id, th, t). With the set's id s, its size n, its parities, and its members as 32-bit hashes."""
 
     def run(batches):
         for batch in batches:
@@ -161,35 +197,49 @@ def _sketched(docs: DataFrame, kind: str, shingle: int, n_bands: int, bits: int)
                 sets = [shingles(t.as_py(), shingle) for t in part.column("t").cast(pa.binary())]
                 cols = [
                     pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bands(s, n_bands, bits) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *cols], names=["id", "th", "s", "n", "bands", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *cols], names=["id", "th", "s", "n", "parities", "members"])
 
-    return docs.mapInArrow(run, f"id {kind}, th long, s long, n long, bands array<long>, members binary")
+    return docs.mapInArrow(run, f"id {kind}, th long, s long, n long, parities array<long>, members binary")
 
 
-def _colliding(nodes: DataFrame, n_bands: int, bits: int, ball: bool) -> DataFrame:
-    """nodes: (k, c, bands), c: the component, null for a node alone. (a, b): distinct pairs of neighbours of different
-    components in the buckets of all bands; a bucket is a fingerprint, or with `ball` a variant."""
-    of = lambda fp: variants(fp, bits) if ball else F.array(fp)
-    band = lambda j: F.transform(of(F.element_at("bands", j + 1)), lambda v: v + (j << bits))
-    near = nodes.select("k", "c", F.explode(F.concat(*[band(j) for j in range(n_bands)])).alias("x"))
-    order = W.partitionBy("x").orderBy("k")
-    chain = near.select(F.lag("k").over(order).alias("a"), F.col("k").alias("b"), (F.lag("c").over(order) == F.col("c")).alias("one"))
-    return chain.filter(F.col("a").isNotNull() & ~F.coalesce("one", F.lit(False))).select("a", "b").distinct()
+def _named(sketches: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """(s, x): the sets by the names of their parts; copies within a task once, as far as RECENT sets reach back."""
+
+    def run(batches):
+        lows, seen = classes(1, similarity), set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                new = [x for x in dict.fromkeys(part.column("s").to_pylist()) if x not in seen]
+                if len(seen) > RECENT:
+                    seen.clear()
+                seen.update(new)
+                part = part.take(pc.index_in(pa.array(new, pa.int64()), part.column("s")))
+                sets = [np.frombuffer(m.as_buffer(), "<u4") for m in part.column("members")]
+                if max(map(len, sets), default=0) >= lows[-1]:
+                    lows = classes(max(map(len, sets)), similarity)
+                names = [signatures(s, similarity, lows) for s in sets]
+                x = (np.concatenate([np.zeros(0, np.uint64), *names]) >> np.uint64(64 - bits)).view(np.int64)
+                s = np.repeat(part.column("s").to_numpy(zero_copy_only=False), [len(n) for n in names])
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(x)], names=["s", "x"])
+
+    return sketches.select("s", "members").mapInArrow(run, "s long, x long")
 
 
 def _apart(a: str, b: str):
-    """Bits in which the short fingerprints differ."""
+    """Bits in which the parities differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarity: float, most: int) -> DataFrame:
-    """The pairs (a, b) of nodes (k, s, n, r, bands) in different components r that are similar. Sets are only shuffled
-    for pairs that differ in `most` fingerprint bits at most."""
-    side = lambda c: nodes.select(F.col("k").alias(c), *[F.col(x).alias(c + x) for x in ("s", "n", "r", "bands")])
-    far = (F.col("ar") == F.col("br")) | (F.least("an", "bn") < F.greatest("an", "bn") * F.lit(similarity) - F.lit(1e-9)) | (_apart("abands", "bbands") > most)
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far).select(F.col("as").alias("a"), F.col("bs").alias("b")), "simhash-pairs")
+def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (s, n, parities) that are similar. Sets are only shuffled for pairs that sizes and
+    parities don't rule out."""
+    side = lambda c: nodes.select(F.col("s").alias(c), *[F.col(x).alias(c + x) for x in ("n", "parities")])
+    share = F.lit((1 - similarity) / (1 + similarity))
+    far = (F.least("an", "bn") < F.greatest("an", "bn") * F.lit(similarity) - F.lit(1e-9)) | (_apart("aparities", "bparities") > share * (F.col("an") + F.col("bn")) + F.lit(1e-6))
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(~far).select("a", "b"), "simhash-pairs")
     # Written first, so that Spark knows its size when it plans the join: while it is small no sets are shuffled here.
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "simhash-wanted")
     sets = written(sketches.select("s", "members").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("members").alias("m")), "simhash-sets")
@@ -205,33 +255,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarit
     return links
 
 
-def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, n_bands: int = BANDS, bits: int = NEAR_BITS) -> DataFrame:
+def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> DataFrame:
     """(id, th, fp, component) like grouped(), for texts whose shingle sets are so similar; fp: one number for each group.
 
-    More bands find more links; more bits keep strangers out of the buckets (each has distinct texts * bits / 2^bits).
+    All pairs of that similarity count. bits: of a part's name; fewer bring more strangers together and change no result.
     """
-    if not 0 < similarity <= 1 or shingle < 1 or not 2 <= n_bands <= 64 or not 8 <= bits <= 32:
-        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least; 2 to 64 bands of 8 to 32 bits")
+    if not 0 < similarity <= 1 or shingle < 1 or not 8 <= bits <= 64:
+        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least; a part's name has 8 to 64 bits")
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    sketches = written(_sketched(d, dict(d.dtypes)["id"], shingle, n_bands, bits), "simhash-sketches")
-    # Short numbers k for the sets keep the rows of the one large shuffle small. They go by the sets' sizes: near copies are
-    # of about one size, so they are neighbours in a bucket though strangers of other sizes share it.
-    nodes = sketches.groupBy("s").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    ordered = nodes.repartitionByRange("n", "s").sortWithinPartitions("n", "s")
-    nodes = written(ordered.withColumn("k", F.monotonically_increasing_id()), "simhash-nodes")
-    # Bits in which sets of the least similarity may differ: expected by the angle between them, and some deviations more.
-    p, total = math.acos(2 * similarity / (1 + similarity)) / math.pi, n_bands * bits
-    most = math.ceil(p * total + SPREAD * math.sqrt(p * (1 - p) * total))
-    alone = nodes.select("*", F.lit(None).cast("long").alias("c"), F.col("s").alias("r"))
-    links = _verified(_colliding(alone, n_bands, bits, False), alone, sketches, similarity, most)
+    sketches = written(_sketched(d, dict(d.dtypes)["id"], shingle), "simhash-sketches")
+    part = W.partitionBy("x")
+    met = _named(sketches, similarity, bits).select("s", "x", F.min("s").over(part).alias("low"), F.max("s").over(part).alias("high"))
+    met = written(met.filter("low <> high").select("x", "s").distinct(), "simhash-met")
+    wanted = written(met.select("s").distinct(), "simhash-met-sets")
+    nodes = sketches.select("s", "n", "parities").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("parities").alias("parities"))
+    nodes = written(nodes, "simhash-nodes")
+    # Near copies are of about one size, so they are neighbours at a part though strangers of other sizes share it.
+    sized = met.join(nodes.select("s", "n"), "s")
+    chain = sized.select(F.lag("s").over(part.orderBy("n", "s")).alias("p"), "s").filter("p IS NOT NULL")
+    links = _verified(chain.select(F.least("p", "s").alias("a"), F.greatest("p", "s").alias("b")).distinct(), nodes, sketches, similarity)
+    # What is in different components and still shares a part is compared pair by pair.
     roots = components(links).select(F.col("node").alias("s"), F.col("root").alias("c"))
     roots = roots.unionByName(roots.select(F.col("c").alias("s"), "c").distinct())  # a root is in its component
-    rooted = written(nodes.join(roots, "s", "left").withColumn("r", F.coalesce("c", "s")), "simhash-rooted")
-    more = _verified(_colliding(rooted, n_bands, bits, True), rooted, sketches, similarity, most)
+    rooted = sized.join(roots, "s", "left").select("x", "s", "n", F.coalesce("c", "s").alias("r"))
+    open_ = rooted.select("*", F.min("r").over(part).alias("low"), F.max("r").over(part).alias("high")).filter("low <> high")
+    open_ = written(open_.select("x", "s", "n", "r"), "simhash-open")
+    other = open_.select("x", *[F.col(c).alias(f"o{c}") for c in ("s", "n", "r")])
+    fits = (F.col("r") < F.col("or")) & (F.least("n", "on") >= F.greatest("n", "on") * F.lit(similarity) - F.lit(1e-9))
+    more = _verified(open_.join(other, "x").filter(fits).select(F.least("s", "os").alias("a"), F.greatest("s", "os").alias("b")).distinct(), nodes, sketches, similarity)
     roots = components(links.unionByName(more)).select(F.col("node").alias("s"), F.col("root").alias("r"))
     found = written(sketches.select("id", "th", "s").join(roots, "s", "left").select("id", "th", F.coalesce("r", "s").alias("fp")), "simhash-docs")
-    discard(sketches, nodes, rooted, links, more)
+    discard(sketches, met, wanted, nodes, open_, links, more)
     least = found.groupBy("fp").agg(F.min("id").alias("component"))
     return found.join(least, "fp").select("id", "th", "fp", "component")
 

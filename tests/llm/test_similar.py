@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,33 @@ def test_recall_on_the_sample(spark, sf):
     assert mergeable > 30 and merged >= 0.9 * mergeable
 
 
+def test_no_link_is_left_out(spark, sf):
+    """All groups of brute force, with the links at exactly 0.8: on ten thousand documents, and on pairs whose sets differ in as much as they may."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/../sf0.1/documents.parquet").select("doc_id", "text").collect())
+    r = random.Random(21)
+    for k in range(300):
+        words = story(40_000 + k, 4 + r.randint(1, 60)).split()
+        n = len(words) - 4
+        rows += [(1_000_000 + 2 * k, " ".join(words)), (1_000_001 + 2 * k, " ".join([*words, *(f"w{k}x{j}" for j in range(n // 4))]))]
+    got = {x.id: x.component for x in S.near_grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow_groups([t for _, t in rows])
+    assert [got[d] for d, _ in rows] == [rows[k][0] for k in want]
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.8, 0.95])
+def test_similar_sets_share_a_part(similarity):
+    r = np.random.default_rng(4)
+    lows = S.classes(5000, similarity)
+    for n in [*range(1, 60), 200, 999, 3000]:
+        for _ in range(20):
+            s = np.unique(r.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+            r.shuffle(s)
+            both = int(r.integers(1, n + 1))
+            a, b = s[:n], s[n - both : n - both + int(r.integers(max(1, both), n + 1))]
+            if S.alike(np.sort(a), np.sort(b), similarity):
+                assert np.isin(S.signatures(a, similarity, lows), S.signatures(b, similarity, lows)).any()
+
+
 def test_large_family(spark):
     """Three hundred near copies of one text are one group; verification never compares all pairs."""
     r = random.Random(3)
