@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rankfold.operators import neighbors
@@ -69,3 +70,35 @@ def test_few_rows(spark):
     df = frame(spark, v, [5, 3, 9]).union(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>"))
     assert sorted(map(tuple, neighbors.nearest_neighbor(df).collect())) == [(3, 5, 0.0), (5, 3, 0.0), (9, 3, 5.0)]
     assert neighbors.nearest_neighbor(df.filter("vec_id = 9")).count() == 0 and neighbors.nearest_neighbor(df.limit(0)).count() == 0
+
+
+def test_routes_go_by_bundles(spark):
+    """Directions that no bound tells apart: an item is compared with everything about once, in bundles."""
+    v = np.random.default_rng(8).normal(size=(3000, 32))
+    counter = spark.sparkContext.accumulator(0)
+    got = {x.vec_id: x.neighbor for x in neighbors.nearest_neighbor(frame(spark, v, list(range(3000))), block=64, counter=counter).collect()}
+    assert got == {k: x[0] for k, x in brute(v, list(range(3000))).items()}
+    assert counter.value < 1.5 * 3000 * 3000
+    assert max(len(p) for p in neighbors._parts(iter([pd.DataFrame({"i": range(5000)})]))) <= neighbors.PART
+
+
+def test_lsh_on_near_copies_and_strangers(spark, monkeypatch):
+    """Near copies meet in buckets, strangers whose neighbours are far go to the exact search: nine of ten are right, and few buckets are compared."""
+    from rankfold.operators import search
+
+    r = np.random.default_rng(12)
+    v = r.normal(size=(3000, 64))
+    v[2400:] = v[:600] + r.normal(0, 0.05, (600, 64))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    asked = []
+    exact = search.nearest_neighbor
+
+    def watched(*a, queries=None, **k):
+        asked.append(queries.count())
+        return exact(*a, queries=queries, **k)
+
+    monkeypatch.setattr(search, "nearest_neighbor", watched)
+    got = {x.vec_id: x.neighbor for x in search.nearest_neighbor_lsh(frame(spark, v, list(range(3000)))).collect()}
+    want = brute(v, list(range(3000)))
+    assert set(got) == set(want) and np.mean([got[k] == want[k][0] for k in want]) >= 0.9
+    assert asked[0] <= 1900
