@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 
 import pyarrow as pa
 import regex
@@ -60,6 +61,8 @@ class Counter:
     """Counts tokens in one worker; frequent: pre-token -> count, shared and read-only."""
 
     def __init__(self, tokenizer: str, frequent: dict[str, int]):
+        # Spark's tasks keep the cores busy; the library's own threads for small batches cost more than they do.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.frequent, self.seen = _file(tokenizer), frequent, {}
         self.tok = _load(self.path)
         with open(self.path, encoding="utf-8") as f:

@@ -240,3 +240,14 @@ def test_one_labelled_id_on_very_many_rows(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(k % 2)) for k in range(50)], "doc_id long, toxic int")
     assert toxicity.scored(docs, labels).count() == 100_000
     assert seen and max(seen) <= 500
+
+
+def test_the_tokenizer_starts_no_threads(monkeypatch):
+    """Spark's tasks keep the cores busy: threads for each text's few new pieces more than doubled the CPU seconds."""
+    import os
+
+    from rankfold.llm import tokens
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    tokens.Counter("byte_bpe_50k.json", {})
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
