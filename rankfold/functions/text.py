@@ -18,7 +18,9 @@ def _decomposed(s: pd.Series) -> pd.Series:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, no accents, runs of separators and white space as one space, trimmed."""
-    plain = _decomposed(F.lower(c))
+    low = F.lower(c)
+    # Only texts beyond ASCII go to Python; the others have nothing to decompose.
+    plain = F.coalesce(_decomposed(F.when(F.octet_length(low) != F.length(low), low)), low)
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[\\/._\-]+", " "), r"\s+", " "))
 
 

@@ -360,6 +360,12 @@ def test_noise_and_pairs(spark):
     assert pairs(full=full) == pairs() | {("b", n) for n in range(5)}
 
 
+def test_only_texts_beyond_ascii_go_to_python(spark):
+    df = spark.createDataFrame([("Plain.Text",), ("Café_au-lait",), (None,), ("",)], "t string").select(T.normalize_text(F.col("t")).alias("p"))
+    assert [r.p for r in df.collect()] == ["plain text", "cafe au lait", None, ""]
+    assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lsh_recall(spark, sf):
     from rankfold.operators import search
     from rankfold.sources import views
