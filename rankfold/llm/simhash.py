@@ -7,13 +7,16 @@ of them are within the radius of each other, so consecutive ones are linked: tha
 group grows with the data, however many copies a text has (grouped()).
 
 Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that can be enumerated, so near_grouped()
-joins the sets of five-word shingles themselves, exactly. Sets of a similarity J and sizes s <= l differ in
-D = (1 - J) / (1 + J) * (s + l) members at most. Members are dealt by hash into more than D parts, so similar sets have equal
-parts, and the strongest of these (by members in it, then by hash: the same order for all sets) has at most D others before
-it in either set: every set names its D + 1 strongest parts, and sets that are similar meet at one (signatures()). The
-number of parts goes by classes of sizes, and a set names parts for each class that its smaller partners can be in.
-Neighbours at a part are verified first, so that large families are components before what is still apart there is paired;
-pairs are tested by size and by parities (a bit for each residue of the members' hashes: two sets differ in as many members
+joins the sets of five-word shingles themselves, exactly. With all members in one order, the first one that two similar
+sets have in common has few before it in either: what a set has alone is bounded by both sizes (shared()). So every set
+names its first members, each with its place, and similar sets meet at a member whose two places the bound allows. Any
+order will do; rare members come first, so neither a common passage nor what a large family of copies shares brings sets
+together that have enough of their own, be they a template's strangers or copies that are changed too much. Which members
+are frequent is counted by task (frequent()); where a set has to name frequent ones too, it names them for each class of
+sizes that its partners can be in, as far as that class's bound goes (placed()).
+At a member all are first compared with the one that has the fewest before it: in a family that is the least changed copy.
+What is then still in different components is compared with its neighbour in size, and the rest pair by pair. Pairs are
+tested by places, by sizes and by parities (a bit for each residue of the members' hashes: two sets differ in as many members
 as bits at least), and then on the whole sets. Groups are the components of the verified links.
 
 Edge cases: a null text is an empty one; texts without words have fingerprint 0 and are linked like any others; a text
@@ -24,13 +27,11 @@ columns are ignored or carried along, whatever their names and types.
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,10 +41,12 @@ from .common import discard, ship, written
 from .components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
-#: For near copies by similarity: words of a shingle, the least similarity, bits of a part's name.
+#: For near copies by similarity: words of a shingle, the least similarity, bits of a member's name.
 NEAR_SHINGLE, SIMILARITY, NEAR_BITS = 5, 0.8, 64
-#: Parts beyond those that similar sets may differ in, by their number: the weakest of so many aren't named.
-SPARE = 0.5
+#: Members that a task counts at once, the least number of sets there that makes one count as frequent, and how many are told apart at most.
+COUNTED, OFTEN, FREQUENT = 1 << 22, 4, 1 << 19
+#: Growth of the classes of sizes for which frequent members are named.
+WIDTH = 1.03
 #: Bits of a set's parities.
 PARITIES = 1024
 #: Sets that a task remembers, so that exact copies are dealt out once.
@@ -138,39 +141,43 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def differing(size: int, similarity: float) -> int:
-    """Members at most in which a set of this size and a similar one that isn't smaller differ."""
-    return int((1 - similarity) / (1 + similarity) * (size + int(size / similarity + 1e-6)) + 1e-6)
+def shared(a, b, similarity: float):
+    """Members that similar sets of these sizes have in common at least; numbers or arrays."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6).astype(np.int64)
 
 
-def classes(most: int, similarity: float) -> list[int]:
+def classes(most: int, similarity: float) -> np.ndarray:
     """The least size of every class of sizes up to `most`, and of the next one."""
     out = [1]
     while out[-1] <= most:
-        out.append(max(out[-1] + 1, math.ceil(out[-1] / similarity - 1e-9)))
-    return out
+        out.append(max(out[-1] + 1, int(out[-1] * min(WIDTH, 1 / similarity))))
+    return np.array(out)
 
 
-def signatures(s: np.ndarray, similarity: float, lows: list[int]) -> np.ndarray:
-    """Names of the strongest parts of a set of distinct hashes, for the class of its size and those of similar smaller sets."""
-    out = []
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    h = _mixed(s.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    weights = _mixed(h + np.uint64(0xD6E8FEB86659FD93))
-    first = bisect.bisect_right(lows, max(1, math.ceil(len(s) * similarity - 1e-6))) - 1
-    for c in range(first, bisect.bisect_right(lows, len(s))):
-        d = differing(lows[c + 1] - 1, similarity)
-        n = d + 1 + (math.ceil(SPARE * d) + 2 if d else 0)
-        part = (h % np.uint64(n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        count = np.bincount(part, minlength=n)
-        held = np.flatnonzero(count)
-        total = np.zeros(n, np.uint64)
-        total[held] = np.add.reduceat(weights[order], np.concatenate(([0], np.cumsum(count[held])[:-1])))
-        name = _mixed(total ^ _mixed(np.arange(n, dtype=np.uint64) + np.uint64(((c + 1) << 40) % (1 << 64))))
-        out.append(name[np.lexsort((name, -count))[: d + 1]])
-    return np.concatenate(out)
+def placed(s: np.ndarray, similarity: float, lows: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the first members of a set of distinct hashes, their places, and whether the name is for the set's own class.
+
+    levels: of how many sets each member is, on any scale; 0: rare. A rare member has one name, a frequent one has one for
+    each class of sizes; two similar sets meet at a name that is for the class of the smaller one.
+    """
+    n = len(s)
+    levels = np.zeros(n, np.int64) if levels is None else levels
+    order = np.lexsort((s, levels))[: n - math.ceil(similarity * n - 1e-6) + 1]
+    first, rare = s[order], int((levels[order] == 0).sum())
+    names, places, own = [_mixed(first[:rare])], [np.arange(rare)], [np.ones(rare, bool)]
+    if rare < len(first):
+        mine = int(np.searchsorted(lows, n, "right")) - 1
+        for c in range(int(np.searchsorted(lows, max(1, math.ceil(n * similarity - 1e-6)), "right")) - 1, mine + 1):
+            more = first[rare : n - int(shared(n, int(lows[c]), similarity)) + 1]
+            names.append(_mixed(_mixed(more) + np.uint64(c + 1)))
+            places.append(np.arange(rare, rare + len(more)))
+            own.append(np.full(len(more), c == mine))
+    return np.concatenate(names), np.concatenate(places), np.concatenate(own)
+
+
+def signatures(s: np.ndarray, similarity: float, lows: np.ndarray, levels: np.ndarray | None = None) -> np.ndarray:
+    """The names alone: similar sets have one in common."""
+    return placed(s, similarity, lows, levels)[0]
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -187,45 +194,95 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _sketched(docs: DataFrame, kind: str, shingle: int) -> DataFrame:
-    """docs: (id, th, t). With the set's id s, its size n, its parities, and its members as 32-bit hashes."""
+def _distinct_sets(batch: pa.RecordBatch, shingle: int, seen: set) -> tuple[list[np.ndarray], list[int], list[bool]]:
+    """The sets of the texts `t`, their ids, and whether the task sees one first, as far as RECENT sets reach back."""
+    sets = [shingles(t.as_py(), shingle) for t in batch.column("t").cast(pa.binary())]
+    ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+    new = []
+    for s in ids:
+        new.append(s not in seen)
+        seen.add(s)
+    if len(seen) > RECENT:
+        seen.clear()
+    return sets, ids, new
 
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                sets = [shingles(t.as_py(), shingle) for t in part.column("t").cast(pa.binary())]
-                cols = [
-                    pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *cols], names=["id", "th", "s", "n", "parities", "members"])
 
-    return docs.mapInArrow(run, f"id {kind}, th long, s long, n long, parities array<long>, members binary")
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of many sets, sorted, and the logarithm of how many; docs: (t). Every task counts its own sets in blocks, and
+    what is frequent in none of them counts as rare: that decides about the order of members and so about time, never about a result."""
 
+    def run(batches):
+        seen, held, size = set(), [], 0
 
-def _named(sketches: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """(s, x): the sets by the names of their parts; copies within a task once, as far as RECENT sets reach back."""
+        def counted():
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN].astype(np.int64))], names=["h", "n"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                sets, _, new = _distinct_sets(batch.slice(k, 512), shingle, seen)
+                held += [s for s, fresh in zip(sets, new, strict=True) if fresh]
+                size += sum(len(s) for s, fresh in zip(sets, new, strict=True) if fresh)
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
+
+    sums = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
+    sums = written(sums, "simhash-frequent")
+    least, total = 0, 0
+    for level, n in sorted(sums.groupBy("level").count().collect(), reverse=True):  # a row for each power of two
+        total += n
+        if total > FREQUENT:
+            break
+        least = level
+    kept = sums.filter(F.col("level") >= least).toArrow() if total else None
+    discard(sums)
+    if kept is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    h = kept.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], kept.column("level").to_numpy()[order].astype(np.uint8)
+
+
+def _sketched(docs: DataFrame, kind: str, shingle: int, similarity: float, bits: int) -> DataFrame:
+    """docs: (id, th, t). With the set's id s, its size n, its parities, its members as 32-bit hashes, and what it names:
+    twice the place, and one more if the name is for its own class; copies within a task name nothing again."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs.select("t"), shingle))
 
     def run(batches):
+        often, often_levels = known.value
         lows, seen = classes(1, similarity), set()
+
+        def level(s):
+            if not len(often):
+                return None
+            at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+            return np.where(often[at] == s, often_levels[at], 0)
+
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                new = [x for x in dict.fromkeys(part.column("s").to_pylist()) if x not in seen]
-                if len(seen) > RECENT:
-                    seen.clear()
-                seen.update(new)
-                part = part.take(pc.index_in(pa.array(new, pa.int64()), part.column("s")))
-                sets = [np.frombuffer(m.as_buffer(), "<u4") for m in part.column("members")]
+                sets, ids, new = _distinct_sets(part, shingle, seen)
                 if max(map(len, sets), default=0) >= lows[-1]:
                     lows = classes(max(map(len, sets)), similarity)
-                names = [signatures(s, similarity, lows) for s in sets]
-                x = (np.concatenate([np.zeros(0, np.uint64), *names]) >> np.uint64(64 - bits)).view(np.int64)
-                s = np.repeat(part.column("s").to_numpy(zero_copy_only=False), [len(n) for n in names])
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(x)], names=["s", "x"])
+                named = [placed(s, similarity, lows, level(s)) if fresh and len(s) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)) for s, fresh in zip(sets, new, strict=True)]
+                cols = [
+                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    pa.array([(x >> np.uint64(64 - bits)).view(np.int64) for x, _, _ in named], pa.list_(pa.int64())), pa.array([(2 * p + o).astype(np.int32) for _, p, o in named], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), *cols], names=["id", "th", "s", "n", "parities", "members", "names", "places"])
+
+    return docs.mapInArrow(run, f"id {kind}, th long, s long, n long, parities array<long>, members binary, names array<long>, places array<int>")
+
 
-    return sketches.select("s", "members").mapInArrow(run, "s long, x long")
+def _allowed(similarity: float, a: str = "", b: str = "o") -> Column:
+    """Whether the sizes and places of two rows (place, own, n) leave a similarity open; a, b: before their columns' names."""
+    one, two = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
+    both = F.ceil(F.lit(similarity / (1 + similarity)) * (one("n") + two("n")) - F.lit(1e-6))
+    sizes = F.least(one("n"), two("n")) >= F.greatest(one("n"), two("n")) * F.lit(similarity) - F.lit(1e-9)
+    return (one("own") | two("own")) & sizes & (one("n") - one("place") >= both) & (two("n") - two("place") >= both)
 
 
 def _apart(a: str, b: str):
@@ -258,32 +315,51 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarit
 def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> DataFrame:
     """(id, th, fp, component) like grouped(), for texts whose shingle sets are so similar; fp: one number for each group.
 
-    All pairs of that similarity count. bits: of a part's name; fewer bring more strangers together and change no result.
+    All pairs of that similarity count. bits: of a member's name; fewer bring more strangers together and change no result.
     """
     if not 0 < similarity <= 1 or shingle < 1 or not 8 <= bits <= 64:
-        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least; a part's name has 8 to 64 bits")
+        raise ValueError("similarity lies above 0 and up to 1, a shingle has a word at least; a member's name has 8 to 64 bits")
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    sketches = written(_sketched(d, dict(d.dtypes)["id"], shingle), "simhash-sketches")
+    sketches = written(_sketched(d, dict(d.dtypes)["id"], shingle, similarity, bits), "simhash-sketches")
     part = W.partitionBy("x")
-    met = _named(sketches, similarity, bits).select("s", "x", F.min("s").over(part).alias("low"), F.max("s").over(part).alias("high"))
-    met = written(met.filter("low <> high").select("x", "s").distinct(), "simhash-met")
+    named = sketches.select("s", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("names", "places")).alias("name"))
+    named = named.select(F.col("name.names").alias("x"), "s", "n", F.col("name.places").alias("p"))
+    met = named.select("*", F.min("s").over(part).alias("low"), F.max("s").over(part).alias("high")).filter("low <> high")
+    met = written(met.select("x", "s", "n", F.expr("p div 2").cast("int").alias("place"), (F.col("p") % 2 == 1).alias("own")).distinct(), "simhash-met")
     wanted = written(met.select("s").distinct(), "simhash-met-sets")
     nodes = sketches.select("s", "n", "parities").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("parities").alias("parities"))
     nodes = written(nodes, "simhash-nodes")
-    # Near copies are of about one size, so they are neighbours at a part though strangers of other sizes share it.
-    sized = met.join(nodes.select("s", "n"), "s")
-    chain = sized.select(F.lag("s").over(part.orderBy("n", "s")).alias("p"), "s").filter("p IS NOT NULL")
-    links = _verified(chain.select(F.least("p", "s").alias("a"), F.greatest("p", "s").alias("b")).distinct(), nodes, sketches, similarity)
-    # What is in different components and still shares a part is compared pair by pair.
-    roots = components(links).select(F.col("node").alias("s"), F.col("root").alias("c"))
-    roots = roots.unionByName(roots.select(F.col("c").alias("s"), "c").distinct())  # a root is in its component
-    rooted = sized.join(roots, "s", "left").select("x", "s", "n", F.coalesce("c", "s").alias("r"))
-    open_ = rooted.select("*", F.min("r").over(part).alias("low"), F.max("r").over(part).alias("high")).filter("low <> high")
-    open_ = written(open_.select("x", "s", "n", "r"), "simhash-open")
-    other = open_.select("x", *[F.col(c).alias(f"o{c}") for c in ("s", "n", "r")])
-    fits = (F.col("r") < F.col("or")) & (F.least("n", "on") >= F.greatest("n", "on") * F.lit(similarity) - F.lit(1e-9))
-    more = _verified(open_.join(other, "x").filter(fits).select(F.least("s", "os").alias("a"), F.greatest("s", "os").alias("b")).distinct(), nodes, sketches, similarity)
+    pair = [F.least("s", "os").alias("a"), F.greatest("s", "os").alias("b")]
+
+    def verified(rows: DataFrame) -> DataFrame:
+        """rows: (s, n, place, own, o: the same of another one)."""
+        wide = rows.select("s", "n", "place", "own", *[F.col(f"o.{c}").alias(f"o{c}") for c in ("s", "n", "place", "own")])
+        return _verified(wide.filter((F.col("s") != F.col("os")) & _allowed(similarity)).select(*pair).distinct(), nodes, sketches, similarity)
+
+    def apart(links: DataFrame) -> DataFrame:
+        """The rows at whose member there are several components, with their component r."""
+        roots = components(links).select(F.col("node").alias("s"), F.col("root").alias("c"))
+        roots = roots.unionByName(roots.select(F.col("c").alias("s"), "c").distinct())  # a root is in its component
+        rooted = met.join(roots, "s", "left").select("x", "s", "n", "place", "own", F.coalesce("c", "s").alias("r"))
+        held = rooted.select("*", F.min("r").over(part).alias("low"), F.max("r").over(part).alias("high")).filter("low <> high")
+        return written(held.drop("low", "high"), "simhash-open")
+
+    # The least changed of all, and of those in whose class the others meet.
+    me = F.struct("place", "s", "n", "own")
+    centres = met.select("*", F.array_distinct(F.array(F.min(me).over(part), F.min(F.when(F.col("own"), me)).over(part))).alias("os"))
+    links = verified(centres.select("s", "n", "place", "own", F.explode("os").alias("o")).filter("o IS NOT NULL"))
+    held = apart(links)
+    # Near copies are of about one size, so they are neighbours at a member though strangers of other sizes share it.
+    before = F.lag(F.struct("s", "n", "place", "own", "r")).over(part.orderBy("n", "place", "s"))
+    more = verified(held.select("*", before.alias("o")).filter("o.r <> r"))
+    chained, links = links, written(links.unionByName(more), "simhash-links")
+    discard(chained, more, held)
+    # What is in different components and still shares a member is compared pair by pair.
+    open_ = apart(links)
+    other = open_.select("x", *[F.col(c).alias(f"o{c}") for c in ("s", "n", "place", "own", "r")])
+    fits = (F.col("r") < F.col("or")) & _allowed(similarity)
+    more = _verified(open_.join(other, "x").filter(fits).select(*pair).distinct(), nodes, sketches, similarity)
     roots = components(links.unionByName(more)).select(F.col("node").alias("s"), F.col("root").alias("r"))
     found = written(sketches.select("id", "th", "s").join(roots, "s", "left").select("id", "th", F.coalesce("r", "s").alias("fp")), "simhash-docs")
     discard(sketches, met, wanted, nodes, open_, links, more)

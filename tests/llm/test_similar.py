@@ -171,3 +171,38 @@ def test_names_and_types_of_further_columns(spark, sf):
     kept = corpus_pipeline.near_duplicates(spark, docs, sf)
     assert kept.columns == docs.columns and kept.schema == docs.schema
     assert sorted((r.doc_id, r.row["a"], r["th"], r["a.b"]) for r in kept.collect()) == [(1, 1, "clash", "clash"), (3, 3, "clash", "clash")]
+
+
+def test_changed_copies_are_not_paired(spark, monkeypatch):
+    """A family whose copies are mostly changed too much to be near each other, and strangers with a long common passage: the groups of brute force, from few pairs."""
+    r = random.Random(8)
+    base, passage = story(78, 150).split(), story(79, 60).split()
+    texts = [" ".join(base)]
+    for k in range(250):
+        w = list(base)
+        for at in sorted(r.sample(range(len(w)), r.randint(2, 7)), reverse=True):
+            w[at : at + 1] = [[], [f"y{r.random()}"], [w[at], f"y{r.random()}"]][k % 3]
+        texts.append(" ".join(w))
+    texts += [" ".join(story(9000 + k, r.randint(15, 40)).split() + passage) for k in range(250)]
+    pairs, verified = [], S._verified
+    monkeypatch.setattr(S, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    got = {x.id: x.component for x in S.near_grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[k] for k in range(len(texts))] == slow_groups(texts)
+    assert sum(pairs) < 8 * len(texts)
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.8, 0.95])
+def test_places_with_frequent_members(similarity):
+    """Whichever members count as frequent, similar sets share a name whose places and classes the join allows."""
+    r = np.random.default_rng(5)
+    lows = S.classes(5000, similarity)
+    for n in [*range(1, 40), 200, 999]:
+        for _ in range(20):
+            u = r.permutation(np.unique(r.integers(0, 1 << 63, 2 * n).astype(np.uint64)))
+            level = dict(zip(u.tolist(), (r.integers(0, 4, len(u)) * (r.random(len(u)) < r.random())).tolist(), strict=True))
+            both = int(r.integers(1, n + 1))
+            a, b = u[:n], u[n - both : n - both + int(r.integers(max(1, both), n + 1))]
+            if S.alike(np.sort(a), np.sort(b), similarity):
+                one, two = ({x: (p, o) for x, p, o in zip(*(c.tolist() for c in S.placed(s, similarity, lows, np.array([level[m] for m in s.tolist()]))), strict=True)} for s in (a, b))
+                o = int(S.shared(len(a), len(b), similarity))
+                assert any((one[x][1] or two[x][1]) and len(a) - one[x][0] >= o and len(b) - two[x][0] >= o for x in one.keys() & two.keys())
