@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -33,24 +32,23 @@ class Lifetime(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("written", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        events = sorted((int(t), kind != "write", kind) for pdf in rows for t, kind in zip(pdf["at"], pdf["kind"], strict=True))
-        before = at = self.state.get()[0] if self.state.exists() else None
-        out = []
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        events = sorted((r.at, r.kind != "write", r.kind) for r in rows)
+        before = at = self._written()
         for t, _, kind in events:
             if at is not None and t - at > self.ttl:
-                out.append((key[0], "expired", at + self.ttl, None))
+                yield Row(key=key[0], outcome="expired", at=at + self.ttl, written=None)
                 at = None
             if kind == "write":
                 at = t if at is None else max(at, t)
-                out.append((key[0], "written", t, at))
+                yield Row(key=key[0], outcome="written", at=t, written=at)
             elif at is None:
-                out.append((key[0], "miss", t, None))
+                yield Row(key=key[0], outcome="miss", at=t, written=None)
             elif t - at >= self.renew:
                 at = t
-                out.append((key[0], "refreshed", t, at))
+                yield Row(key=key[0], outcome="refreshed", at=t, written=at)
             else:
-                out.append((key[0], "hit", t, at))
+                yield Row(key=key[0], outcome="hit", at=t, written=at)
         if at != before:
             if before is not None:
                 self.handle.deleteTimer(before + self.ttl + 1)
@@ -59,18 +57,17 @@ class Lifetime(StatefulProcessor):
             else:
                 self.state.update((at,))
                 self.handle.registerTimer(at + self.ttl + 1)
-        yield self._frame(out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = self.state.get()[0] if self.state.exists() else None
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        at = self._written()
         if at is None or at + self.ttl >= expiredTimerInfo.getExpiryTimeInMs():
             return
         self.state.clear()
-        yield self._frame([(key[0], "expired", at + self.ttl, None)])
+        yield Row(key=key[0], outcome="expired", at=at + self.ttl, written=None)
 
-    @staticmethod
-    def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "outcome", "at", "written"]).astype({"at": "Int64", "written": "Int64"})
+    def _written(self) -> int | None:
+        found = self.state.get()  # one call to the store; None where there is no state
+        return found[0] if found else None
 
     def close(self) -> None:
         pass
@@ -91,7 +88,7 @@ def lifetimes(events: DataFrame, ttl_seconds: int = 90 * 86400, delay: str = DEL
     """(key, outcome, at, written) of a stream of (key, kind: write or read, ts)."""
     kind = dict(events.dtypes)["key"]
     marked = events.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
-    return marked.select("key", "kind", "at", "ts").groupBy("key").transformWithStateInPandas(statefulProcessor=Lifetime(1000 * ttl_seconds), outputStructType=f"key {kind}, outcome string, at long, written long", outputMode="Append", timeMode="EventTime")
+    return marked.select("key", "kind", "at", "ts").groupBy("key").transformWithState(statefulProcessor=Lifetime(1000 * ttl_seconds), outputStructType=f"key {kind}, outcome string, at long, written long", outputMode="Append", timeMode="EventTime")
 
 
 def run(events: DataFrame, path: str, ttl_seconds: int = 90 * 86400, delay: str = DELAY) -> DataFrame:

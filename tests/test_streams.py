@@ -6,6 +6,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rankfold.operators import features
@@ -135,3 +136,30 @@ def test_caps(spark, cap):
     q = queue(spark, [], cap=cap, tries=1)
     q.put(spark.createDataFrame(rows(3), SCHEMA), "a")
     assert len(q.waiting) == (3 if cap == 1 else 1)
+
+
+def test_a_key_costs_few_calls_to_the_store():
+    """Rows go in and out without frames; a new key reads its state once, writes it once and sets one timer."""
+    calls = []
+
+    class Store:
+        at = None
+
+        def __getattr__(self, name):
+            if name == "getValueState":
+                return lambda *a: self
+
+            def call(*args):
+                calls.append(name)
+                if name in ("update", "clear"):
+                    self.at = args[0] if args else None
+                return self.at if name == "get" else None
+
+            return call
+
+    life = lifetimes.Lifetime(1000 * 3600)
+    life.init(Store())
+    event = lambda at, kind: Row(key=1, kind=kind, at=at, ts=None)
+    out = list(life.handleInputRows((1,), iter([event(2_000_000, "read"), event(0, "write")]), None))
+    assert [(r.key, r.outcome, r.at, r.written) for r in out] == [(1, "written", 0, 0), (1, "refreshed", 2_000_000, 2_000_000)]
+    assert calls == ["get", "update", "registerTimer"]
