@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words whose hashes an embedder remembers.
+WORDS = 1 << 17
+
+
 class Embedder(Protocol):
     """What a module brings along: a version that invalidates old vectors, and the vectors of a batch of texts."""
 
@@ -28,12 +32,16 @@ class HashingEmbedder:
         self.dims, self.version = dims, f"hashing-{dims}"
 
     def embed(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+        out, known = [], {}
         for t in texts:
-            v = np.zeros(self.dims)
-            for w in t.lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                v[h % self.dims] += 1 if h >> 63 else -1
+            words = t.lower().split()
+            for w in set(words):
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            h = np.array([known[w] for w in words], np.uint64)
+            if len(known) > WORDS:
+                known = {}
+            v = np.bincount((h % np.uint64(self.dims)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dims)
             n = np.linalg.norm(v)
             out.append(v / n if n else v)
         return out

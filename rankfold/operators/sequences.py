@@ -177,24 +177,40 @@ class SequenceRater:
         return rows.withColumn("__cut", cut).mapInArrow(run, StructType([*rows.schema.fields, StructField("prediction", DoubleType())]))
 
 
-def _epoch(batch: DataFrame, shape: Shape, flat: np.ndarray) -> np.ndarray:
-    """Sums over all rows: of the training rows the gradient, loss, weight, error share and count; of the test rows error share and count."""
+BLOCK = "n int, values binary, valid binary, label binary, weight binary, test binary"
+
+
+def _blocks(batch: DataFrame, dims: int) -> DataFrame:
+    """Rows of equal length as one row of numbers in bytes: epochs read them without unpacking lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape.size + 6)
         for b in batches:
-            x, size = _tensor(b.column("values"), shape.dims)
-            pad = b.column("mask").flatten().to_numpy(zero_copy_only=False).astype(bool)
+            x, size = _tensor(b.column("values"), dims)
+            valid = ~b.column("mask").flatten().to_numpy(zero_copy_only=False).astype(bool)
             first = np.concatenate([[0], np.cumsum(size)]).astype(int)
             y, weight, test = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight", "test"))
             for n, own in _groups(size):
                 at = first[own][:, None] + np.arange(n)
-                loss, g, got = gradient(shape, flat, x[at], ~pad[at], y[own], np.where(test[own].astype(bool), 0.0, weight[own]))
-                off, t = np.abs(got - y[own]) / (y[own] + 1), test[own].astype(bool)
-                total += np.concatenate([g, [loss, weight[own][~t].sum(), off[~t].sum(), (~t).sum(), off[t].sum(), t.sum()]])
+                parts = [x[at], valid[at], y[own].astype(float), weight[own].astype(float), test[own].astype(bool)]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=["n", "values", "valid", "label", "weight", "test"])
+
+    return batch.mapInArrow(run, BLOCK)
+
+
+def _epoch(blocks: DataFrame, shape: Shape, flat: np.ndarray) -> np.ndarray:
+    """Sums over all rows: of the training rows the gradient, loss, weight, error share and count; of the test rows error share and count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape.size + 6)
+        for b in batches:
+            for k, n in enumerate(b.column("n").to_pylist()):
+                x, valid, y, weight, test = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in (("values", float), ("valid", bool), ("label", float), ("weight", float), ("test", bool)))
+                loss, g, got = gradient(shape, flat, x.reshape(-1, n, shape.dims), valid.reshape(-1, n), y, np.where(test, 0.0, weight))
+                off = np.abs(got - y) / (y + 1)
+                total += np.concatenate([g, [loss, weight[~test].sum(), off[~test].sum(), (~test).sum(), off[test].sum(), test.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    return batch.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).treeReduce(np.add)
+    return blocks.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).treeReduce(np.add)
 
 
 def train(rows: DataFrame, key: str = "id", weight: str | None = None, epochs: int = 40, rate: float = 0.02, decay: float = 1e-4, seed: int = 1, most: int = MOST, **sizes) -> tuple[list[np.ndarray], Shape, DataFrame]:
@@ -208,7 +224,7 @@ def train(rows: DataFrame, key: str = "id", weight: str | None = None, epochs: i
         raise ValueError("no labelled sequence to train on")
     shape = Shape(dims, scale=float(mean or 1.0) ** -0.5, **sizes)
     labels = known.select(key, F.col("label").cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), (F.col("split") == "test").alias("test"))
-    data = stored(batched(known.select(key, "sequence"), key, dims, most=most).join(labels, key).select("values", "mask", "label", "weight", "test"), "sequences")
+    data = stored(_blocks(batched(known.select(key, "sequence"), key, dims, most=most).join(labels, key).select("values", "mask", "label", "weight", "test"), dims), "sequences")
     flat, m, v = shape.start(seed), np.zeros(shape.size), np.zeros(shape.size)
     kept, log = [], []
     for epoch in range(1, epochs + 1):

@@ -13,6 +13,7 @@ from ..operators.ranking import Down, global_rank
 from ..operators.search import text_chunks
 from ..sources import files as S
 from ..sources import views as V
+from ..sources.shared import stored
 from .joins import _OVERLAID, overlaid
 from .registry import query
 
@@ -141,17 +142,19 @@ def train_rater(spark, sf_dir):
 
 
 def _chunked(spark, sf_dir, files):
-    """(idx, sequence): the vectors of a text's chunks."""
+    """(idx, sequence): the vectors of a text's chunks, stored: training reads them many times."""
     embedder = features.HashingEmbedder(32)
     chunks = text_chunks(files, "idx", "text", 192, 64)
     vectors = features.embedded(chunks.select(F.struct("idx", "chunk_no").alias("key"), "chunk"), embedder, "key", "chunk")
-    return Q.sequences(vectors.select("key.idx", "key.chunk_no", F.col("embedding").alias("features")), "idx")
+    return stored(Q.sequences(vectors.select("key.idx", "key.chunk_no", F.col("embedding").alias("features")), "idx"), "chunked")
 
 
-def _rated_sequences(spark, sf_dir):
-    files = V.files(spark, sf_dir).select("idx", "text")
-    rated = V.library(spark, sf_dir).select("idx", F.coalesce("user_rating", "model_rating").alias("label")).dropna()
-    rows = _chunked(spark, sf_dir, files.join(rated, "idx", "left_semi")).join(rated, "idx")
+def _rated_sequences(spark, sf_dir, chunked=None):
+    """chunked: the sequences of all files, where they are at hand."""
+    rated = stored(V.library(spark, sf_dir).select("idx", F.coalesce("user_rating", "model_rating").alias("label")).dropna(), "labels")
+    if chunked is None:
+        chunked = _chunked(spark, sf_dir, V.files(spark, sf_dir).select("idx", "text").join(rated, "idx", "left_semi"))
+    rows = chunked.join(rated, "idx")
     return M.inverse_frequency_weights(M.train_test_split(rows, "idx"))
 
 
@@ -166,9 +169,10 @@ def train_sequence_rater(spark, sf_dir):
 @query()
 def predict_sequence_ratings(spark, sf_dir):
     """Every file's rating by its text's chunks; files without text get 0."""
-    rater, _ = Q.train_best(_rated_sequences(spark, sf_dir), key="idx", weight="weight", epochs=12)
     files = V.files(spark, sf_dir).select("idx", "text")
-    rows = files.select("idx").join(_chunked(spark, sf_dir, files), "idx", "left")
+    chunked = _chunked(spark, sf_dir, files)
+    rater, _ = Q.train_best(_rated_sequences(spark, sf_dir, chunked), key="idx", weight="weight", epochs=12)
+    rows = files.select("idx").join(chunked, "idx", "left")
     return rater.predict(rows).select("idx", F.coalesce(F.size("sequence"), F.lit(0)).alias("n_chunks"), F.round("prediction", 6).alias("prediction"))
 
 

@@ -107,3 +107,24 @@ def test_sequences_are_in_order_and_cut(spark):
     chunks = spark.range(30).selectExpr("id % 2 AS id", "CAST(29 - id AS int) AS chunk_no", "IF(id = 7, NULL, array(CAST(id AS double))) AS features")
     got = {r.id: [x[0] for x in r.sequence] for r in Q.sequences(chunks, "id", most=10).collect()}
     assert got == {0: [28.0, 26.0, 24.0, 22.0, 20.0], 1: [29.0, 27.0, 25.0, 23.0, 21.0]}
+
+
+def test_sequences_are_embedded_once(spark, sf):
+    """What training reads many times is stored: its plan has no Python, so no pass embeds a text again."""
+    from rankfold.plans import learning
+
+    rows = learning._rated_sequences(spark, sf)
+    assert "InPandas" not in rows._jdf.queryExecution().toString() and rows.count() > 0
+
+
+def test_embedder_counts_words():
+    import xxhash
+
+    from rankfold.operators.features import HashingEmbedder
+
+    texts = ["a b A c", "", "b b b", " x\ty "]
+    for text, v in zip(texts, HashingEmbedder(8).embed(texts), strict=True):
+        want = np.zeros(8)
+        for h in map(xxhash.xxh64_intdigest, text.lower().split()):
+            want[h % 8] += 1 if h >> 63 else -1
+        assert np.array_equal(v, want / np.linalg.norm(want) if want.any() else want)
