@@ -101,9 +101,9 @@ def feature_ttl(features: DataFrame, now: str, ttl_seconds: int = 90 * 86400) ->
     return live.withColumns({"refreshed": refreshed, "written": F.when(refreshed, F.lit(now).cast("timestamp")).otherwise(F.col("written"))})
 
 
-def padded(sequences: DataFrame, key: str, column: str, batch: str, most: int = 512, fill: Column | None = None) -> DataFrame:
-    """(key, batch, values, mask): cut to `most`, padded with `fill` (0) to the longest of the batch; mask is true on padding."""
-    cut = sequences.select(key, batch, F.slice(column, 1, most).alias("values"))
+def padded(sequences: DataFrame, key: str, column: str, batch: str, most: int | None = 512, fill: Column | None = None) -> DataFrame:
+    """(key, batch, values, mask): cut to `most` (None: whole), padded with `fill` (0) to the longest of the batch; mask is true on padding."""
+    cut = sequences.select(key, batch, (F.col(column) if most is None else F.slice(column, 1, most)).alias("values"))
     width = cut.groupBy(batch).agg(F.max(F.size("values")).alias("width"))
     rows = cut.join(width, batch)
     pad = F.col("width") - F.size("values")

@@ -9,8 +9,10 @@ Training is gradient descent on all rows: in each epoch every task computes the
 sums are added up in a tree, and the driver makes one Adam step on a parameter vector of fixed size. The weights of every
 epoch are kept, with the accuracies that they reach on training and test rows, so the best epoch is one of a single run.
 
-Edge cases: items without chunks are predicted 0 and not trained on; sequences are cut to `most` chunks; rows without a
-label aren't trained on; what a batch is padded to makes no difference to any row.
+Every chunk of an item counts, however many there are; only a caller that names `most` has sequences cut to so many.
+
+Edge cases: items without chunks are predicted 0 and not trained on; rows without a label aren't trained on; what a batch
+is padded to makes no difference to any row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -28,8 +30,6 @@ from ..sources.shared import stored
 from .features import padded
 
 CLASSES = 11
-#: Chunks of an item that count at most.
-MOST = 512
 
 
 @dataclass(frozen=True)
@@ -138,16 +138,20 @@ def _groups(size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(n), rows[k : k + most]
 
 
-def sequences(chunks: DataFrame, key: str, order: str = "chunk_no", features: str = "features", most: int = MOST) -> DataFrame:
-    """(key, sequence): the first `most` vectors of every item, in order."""
+def sequences(chunks: DataFrame, key: str, order: str = "chunk_no", features: str = "features", most: int | None = None) -> DataFrame:
+    """(key, sequence): all vectors of every item, or the first `most`, in order."""
     kept = chunks.filter(F.col(features).isNotNull()).select(key, F.struct(F.col(order).alias("o"), F.col(features).alias("f")).alias("c"), F.col(order).alias("o"))
     listed = F.array_sort(F.collect_list("c"))
-    return kept.filter(F.col("o") < most).groupBy(key).agg(F.transform(listed, lambda c: c["f"]).alias("sequence"))
+    return (kept if most is None else kept.filter(F.col("o") < most)).groupBy(key).agg(F.transform(listed, lambda c: c["f"]).alias("sequence"))
+
+
+def _cut(column: str, most: int | None) -> Column:
+    return F.col(column) if most is None else F.slice(column, 1, most)
 
 
-def batched(rows: DataFrame, key: str, dims: int, size: int = 256, most: int = MOST) -> DataFrame:
+def batched(rows: DataFrame, key: str, dims: int, size: int = 256, most: int | None = None) -> DataFrame:
     """(key, values, mask) in padded batches of about one length: lengths on a doubling scale, dealt by hash into batches of about `size`."""
-    n = F.least(F.size("sequence"), F.lit(most))
+    n = F.size("sequence") if most is None else F.least(F.size("sequence"), F.lit(most))
     own = rows.filter(F.size("sequence") > 0).select(key, "sequence", F.ceil(F.log2(n.cast("double"))).cast("int").alias("class"))
     many = own.groupBy("class").agg((F.floor(F.count("*") / size) + 1).alias("many"))  # a row for each length class
     dealt = own.join(F.broadcast(many), "class").withColumn("batch", F.concat_ws(":", "class", F.pmod(F.xxhash64(key), "many")))
@@ -155,7 +159,7 @@ def batched(rows: DataFrame, key: str, dims: int, size: int = 256, most: int = M
 
 
 class SequenceRater:
-    def __init__(self, shape: Shape, flat: np.ndarray, most: int = MOST):
+    def __init__(self, shape: Shape, flat: np.ndarray, most: int | None = None):
         self.shape, self.flat, self.most = shape, flat, most
 
     def predict(self, rows: DataFrame, sequence: str = "sequence") -> DataFrame:
@@ -173,7 +177,7 @@ class SequenceRater:
                         out[own] = expected(forward(shape, flat, stack, np.ones((len(own), n), bool))["p"])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out)], names=[*names, "prediction"])
 
-        cut = F.coalesce(F.slice(sequence, 1, self.most), F.array().cast("array<array<double>>"))
+        cut = F.coalesce(_cut(sequence, self.most), F.array().cast("array<array<double>>"))
         return rows.withColumn("__cut", cut).mapInArrow(run, StructType([*rows.schema.fields, StructField("prediction", DoubleType())]))
 
 
@@ -213,11 +217,11 @@ def _epoch(blocks: DataFrame, shape: Shape, flat: np.ndarray) -> np.ndarray:
     return blocks.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).treeReduce(np.add)
 
 
-def train(rows: DataFrame, key: str = "id", weight: str | None = None, epochs: int = 40, rate: float = 0.02, decay: float = 1e-4, seed: int = 1, most: int = MOST, **sizes) -> tuple[list[np.ndarray], Shape, DataFrame]:
+def train(rows: DataFrame, key: str = "id", weight: str | None = None, epochs: int = 40, rate: float = 0.02, decay: float = 1e-4, seed: int = 1, most: int | None = None, **sizes) -> tuple[list[np.ndarray], Shape, DataFrame]:
     """rows: (key, sequence, label, split). The weights of every epoch, the shape, and the history (epoch, train, test)."""
     spark = rows.sparkSession
     known = rows.filter((F.size("sequence") > 0) & F.col("label").isNotNull())
-    vectors = known.select(F.explode(F.slice("sequence", 1, most)).alias("x"))
+    vectors = known.select(F.explode(_cut("sequence", most)).alias("x"))
     squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)
     dims, mean = vectors.agg(F.max(F.size("x")), F.avg(squares / F.size("x"))).first()
     if dims is None:
@@ -244,7 +248,7 @@ def train_best(rows: DataFrame, **options) -> tuple[SequenceRater, DataFrame]:
 
     kept, shape, history = train(rows, **options)
     best = best_epoch(history.fillna(0.0, ["test"])).first()["epoch"]
-    return SequenceRater(shape, kept[best - 1], options.get("most", MOST)), history
+    return SequenceRater(shape, kept[best - 1], options.get("most")), history
 
 
 def as_sequence(rows: DataFrame, features: str = "features") -> DataFrame:

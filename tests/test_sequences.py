@@ -109,6 +109,33 @@ def test_sequences_are_in_order_and_cut(spark):
     assert got == {0: [28.0, 26.0, 24.0, 22.0, 20.0], 1: [29.0, 27.0, 25.0, 23.0, 21.0]}
 
 
+def test_whole_texts_become_sequences(spark, sf):
+    """A text of more than 512 chunks: the last vector is that of its last chunk."""
+    from rankfold.operators.features import HashingEmbedder
+    from rankfold.plans import learning
+
+    words = [f"w{k % 977}" for k in range(192 + 128 * 620)]
+    files = spark.createDataFrame([(1, " ".join(words)), (2, "a b")], "idx long, text string")
+    got = {r.idx: r.sequence for r in learning._chunked(spark, sf, files).collect()}
+    assert (len(got[1]), len(got[2])) == (621, 1)
+    assert np.allclose(got[1][-1], HashingEmbedder(32).embed([" ".join(words[-192:])])[0])
+
+
+def test_ends_of_long_sequences_count(spark):
+    """Two tables that differ beyond the 600th chunk alone: other weights, and other predictions."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4, 640, 3))
+    kinds = "id long, sequence array<array<double>>, label double, split string"
+    one, two = (spark.createDataFrame([(k, np.concatenate([x[k, :600], sign * x[k, 600:]]).tolist(), 2.0 + 2 * k, "test" if k == 3 else "train") for k in range(4)], kinds) for sign in (1, -1))
+    assert {b["mask"].count(False) for b in Q.batched(one, "id", 3).collect()} == {640}
+    (kept, shape, _), (others, _, _) = (Q.train(rows, epochs=3) for rows in (one, two))
+    assert not np.allclose(kept[-1], others[-1])
+    rater, _ = Q.train_best(one, epochs=3)
+    assert rater.most is None
+    p, q = ({r.id: r.prediction for r in Q.SequenceRater(shape, kept[-1]).predict(rows).collect()} for rows in (one, two))
+    assert all(abs(p[k] - q[k]) > 1e-9 for k in p)
+
+
 def test_sequences_are_embedded_once(spark, sf):
     """What training reads many times is stored: its plan has no Python, so no pass embeds a text again."""
     from rankfold.plans import learning
