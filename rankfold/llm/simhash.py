@@ -6,7 +6,7 @@ on the variant brings all linked pairs together. At most 65 distinct fingerprint
 of them are within the radius of each other, so consecutive ones are linked: that loses no connection and no
 group grows with the data, however many copies a text has (grouped()).
 
-Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that can be enumerated, so near_grouped()
+Copies of similarity 0.8 differ in some ten of 64 bits, far beyond any ball that can be enumerated, so near_rooted()
 joins the sets of five-word shingles themselves, exactly. With all members in one order, the first one that two similar
 sets have in common has few before it in either: what a set has alone is bounded by both sizes (shared()). So every set
 names its first members, each with its place, and similar sets meet at a member whose two places the bound allows. Any
@@ -21,8 +21,8 @@ as bits at least), and then on the whole sets. Groups are the components of the
 
 Edge cases: a null text is an empty one; texts without words have fingerprint 0 and are linked like any others; a text
 of fewer words than a shingle has one shingle of all of them; rows with a null id take part and take the least id of
-their group (null if it has none); equal rows fall into one group; an empty table gives an empty result; further
-columns are ignored or carried along, whatever their names and types.
+their group (null if it has none); equal rows fall into one group, rows that only have their id in common don't; an empty table
+gives an empty result; further columns are ignored or carried along, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -103,18 +103,18 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, fp, component): component is the least id that links reach."""
+    """(id, th, fp, root, component): root is one number for each group, component the least id that links reach."""
     slim = written(fingerprints(docs.select(id_col, text_col), id_col, text_col), "simhash-docs")
     of_fp = written(slim.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-fps")
     roots = components(links(of_fp.select("fp")))
     rooted = of_fp.join(roots, of_fp["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("hung"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.max("hung").alias("linked"))
     # Only fingerprints of several rows or with links need a lookup; all others are their own component.
-    table = rooted.join(least, "root").filter((F.col("n") > 1) | F.col("linked")).select("fp", "component")
+    table = rooted.join(least, "root").filter((F.col("n") > 1) | F.col("linked")).select("fp", "root", "component")
     table = written(table, "simhash-components").withColumn("known", F.lit(True))
     discard(of_fp)
     out = slim.join(table, "fp", "left")
-    return out.select("id", "th", "fp", F.when(F.col("known"), F.col("component")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "th", "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("known"), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,8 +312,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, similarit
     return links
 
 
-def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> DataFrame:
-    """(id, th, fp, component) like grouped(), for texts whose shingle sets are so similar; fp: one number for each group.
+def near_rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, bits: int = NEAR_BITS) -> DataFrame:
+    """(id, th, root) of every row; root: one number for each group of texts whose shingle sets are so similar.
 
     All pairs of that similarity count. bits: of a member's name; fewer bring more strangers together and change no result.
     """
@@ -361,20 +361,26 @@ def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fits = (F.col("r") < F.col("or")) & _allowed(similarity)
     more = _verified(open_.join(other, "x").filter(fits).select(*pair).distinct(), nodes, sketches, similarity)
     roots = components(links.unionByName(more)).select(F.col("node").alias("s"), F.col("root").alias("r"))
-    found = written(sketches.select("id", "th", "s").join(roots, "s", "left").select("id", "th", F.coalesce("r", "s").alias("fp")), "simhash-docs")
+    found = written(sketches.select("id", "th", "s").join(roots, "s", "left").select("id", "th", F.coalesce("r", "s").alias("root")), "simhash-docs")
     discard(sketches, met, wanted, nodes, open_, links, more)
-    least = found.groupBy("fp").agg(F.min("id").alias("component"))
-    return found.join(least, "fp").select("id", "th", "fp", "component")
+    return found
+
+
+def near_grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, th, root, component): near_rooted() with the least id of every group."""
+    found = near_rooted(docs, id_col, text_col, **options)
+    least = found.groupBy("root").agg(F.min("id").alias("component"))
+    return found.join(least, "root").select("id", "th", "root", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = grouped) -> DataFrame:
     """One document of each group, the one of least id (of several with that id, the one of least text hash).
 
-    groups: what makes the groups, grouped() or near_grouped().
+    groups: what makes the groups, grouped() or near_rooted().
     """
     found = groups(docs, id_col, text_col)
-    # Null ids: a group without any id keeps its row of least text hash.
-    best = found.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("best"))
+    # By root, as several groups may have the same least id. Null ids: a group without any id keeps its row of least text hash.
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("best"))
     keep = written(best.select(F.col("best.id").alias("kid"), F.col("best.th").alias("kth")).distinct(), "simhash-kept")
     # The caller's columns stay in one struct, so no name or type of theirs matters.
     own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))

@@ -165,6 +165,16 @@ def test_edges(spark, edges, edge_rows, nothing, sf):
     assert corpus_pipeline.near_duplicates(spark, nothing, sf).count() == 0
 
 
+@pytest.mark.parametrize("groups", [S.grouped, S.near_grouped])
+def test_one_id_for_several_texts(spark, sf, groups):
+    """Groups that have the same least id, or none, are still groups of their own: each keeps a document."""
+    rows = [(1, story(1)), (1, story(2)), (1, story(2)), (2, story(3)), (2, story(1)), (3, story(2)), (3, story(4)), (None, story(5)), (None, story(6)), (None, story(6)), (None, story(3)), (4, ""), (4, None), (4, story(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, story(1)), (1, story(2)), (2, story(3)), (3, story(4)), (None, story(5)), (None, story(6)), (4, ""), (4, story(7))], key=str)
+    assert sorted(((r.doc_id, r.text or "") for r in S.deduplicated(docs, groups=groups).collect()), key=str) == want
+    assert sorted(((r.doc_id, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()), key=str) == want
+
+
 def test_names_and_types_of_further_columns(spark, sf):
     docs = spark.createDataFrame([(1, story(1)), (1, story(1)), (2, story(1)), (3, story(3))], "doc_id long, text string")
     docs = docs.select("*", F.create_map(F.lit("a"), "doc_id").alias("row"), *[F.lit("clash").alias(c) for c in ("th", "__th", "id", "kid", "nth", "fp", "s", "a.b", "component")])
